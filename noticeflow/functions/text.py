@@ -48,13 +48,19 @@ def py_strip(c) -> Column:
 
 
 def _expand_multi(s: Column, multi) -> Column:
+    """Characters that expand to several letters, via a per-character map lookup.
+
+    Constant expression depth (a chain of ``replace`` calls would nest hundreds
+    deep); only rows containing such a character (one guarded regex test) pay
+    for the split into characters.
+    """
     if not multi:
         return s
     guard = um.java_class(ch for ch, _ in multi)
-    out = s
-    for ch, rep in multi:
-        out = F.replace(out, F.lit(ch), F.lit(rep))
-    return F.when(s.rlike(guard), out).otherwise(s)
+    table = F.create_map(*[F.lit(x) for pair in multi for x in pair])
+    chars = F.regexp_extract_all(s, F.lit("(?s)."), 0)
+    expanded = F.array_join(F.transform(chars, lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    return F.when(s.rlike(guard), expanded).otherwise(s)
 
 
 def text_key(c) -> Column:

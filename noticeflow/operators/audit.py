@@ -96,6 +96,6 @@ def obsolete_report(diff: DataFrame, name: str = "name", first: int = 5) -> Data
     """One row: number of obsolete names and the first few (sorted) joined by ', '."""
     obs = diff.where(F.col("status") == "obsolete").select(name)
     head = obs.orderBy(name).limit(first)
-    report = head.agg(F.listagg(name, ", ").withinGroup(F.col(name)).alias("first_obsolete"))
+    report = head.agg(F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("first_obsolete"))
     n = obs.select(F.count(F.lit(1))).scalar()
     return report.select(n.alias("n_obsolete"), F.coalesce("first_obsolete", F.lit("")).alias("first_obsolete"))

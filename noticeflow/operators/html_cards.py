@@ -1,0 +1,195 @@
+"""Per-page helper run inside ``mapInPandas``: tolerant HTML -> raw card strings.
+
+Only tokenizing lives here (stdlib ``html.parser``; unclosed tags nest, a stray
+end tag closes the nearest open element of that name, script/style text and
+comments are not text).  Selection supports the selector subset the portals
+need: ``tag``, ``.class``, ``[attr="v"]``, ``[attr*="v"]``, ``[attr$="v"]``,
+combinations of these, descendant chains (``h2 a``) and comma groups.
+"""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+NON_TEXT = {"script", "style", "template"}
+_WS = re.compile(r"\s+")
+
+
+class Node:
+    __slots__ = ("tag", "attrs", "children", "parent")
+
+    def __init__(self, tag, attrs, parent):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+
+    def classes(self):
+        return (self.attrs.get("class") or "").split()
+
+    def strings(self):
+        for ch in self.children:
+            if isinstance(ch, str):
+                yield ch
+            elif ch.tag not in NON_TEXT:
+                yield from ch.strings()
+
+    def text(self):
+        return " ".join(s.strip() for s in self.strings() if s.strip())
+
+    def descendants(self):
+        for ch in self.children:
+            if isinstance(ch, Node):
+                yield ch
+                yield from ch.descendants()
+
+    def ancestors(self):
+        p = self.parent
+        while p is not None and p.tag != "#root":
+            yield p
+            p = p.parent
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = Node("#root", {}, None)
+        self.cur = self.root
+
+    def handle_starttag(self, tag, attrs):
+        n = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
+        self.cur.children.append(n)
+        if tag not in VOID:
+            self.cur = n
+
+    def handle_startendtag(self, tag, attrs):
+        self.cur.children.append(Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur))
+
+    def handle_endtag(self, tag):
+        n = self.cur
+        while n is not None and n.tag != "#root":
+            if n.tag == tag:
+                self.cur = n.parent
+                return
+            n = n.parent
+
+    def handle_data(self, data):
+        self.cur.children.append(data)
+
+
+def parse(html: str) -> Node:
+    b = _Builder()
+    b.feed(html)
+    b.close()
+    return b.root
+
+
+_SIMPLE = re.compile(r'([a-zA-Z][a-zA-Z0-9]*)|\.([-\w]+)|\[([-\w]+)(?:([*$^]?=)"([^"]*)")?\]')
+
+
+def _compile_simple(s: str):
+    tag, conds = None, []
+    for m in _SIMPLE.finditer(s):
+        if m.group(1):
+            tag = m.group(1).lower()
+        elif m.group(2):
+            conds.append(("class", m.group(2), None))
+        else:
+            conds.append(("attr", m.group(3), (m.group(4), m.group(5))))
+    return tag, conds
+
+
+def _matches(node: Node, simple) -> bool:
+    tag, conds = simple
+    if tag and node.tag != tag:
+        return False
+    for kind, name, op in conds:
+        if kind == "class":
+            if name not in node.classes():
+                return False
+        else:
+            if name not in node.attrs:
+                return False
+            if op[0] is None:
+                continue
+            v, want = node.attrs.get(name) or "", op[1]
+            if (op[0] == "=" and v != want) or (op[0] == "*=" and want not in v) \
+                    or (op[0] == "$=" and not v.endswith(want)) or (op[0] == "^=" and not v.startswith(want)):
+                return False
+    return True
+
+
+def compile_selector(group):
+    """A comma group (list or string) -> list of descendant chains of simple selectors."""
+    items = group if isinstance(group, (list, tuple)) else group.split(",")
+    return [[_compile_simple(p) for p in item.split()] for item in items if item.strip()]
+
+
+def _match_chain(node: Node, chain, scope: Node) -> bool:
+    if not _matches(node, chain[-1]):
+        return False
+    rest = chain[:-1]
+    anc = node.parent
+    while rest and anc is not None and anc is not scope.parent:
+        if _matches(anc, rest[-1]):
+            rest = rest[:-1]
+        anc = anc.parent
+    return not rest
+
+
+def select(scope: Node, chains):
+    return [n for n in scope.descendants() if any(_match_chain(n, c, scope) for c in chains)]
+
+
+def select_one(scope: Node, chains):
+    for n in scope.descendants():
+        if any(_match_chain(n, c, scope) for c in chains):
+            return n
+    return None
+
+
+def _ancestor_card(link: Node, rule: dict):
+    tags = set(rule.get("tags", ()))
+    pat = re.compile(rule["text_pattern"], re.I) if rule.get("text_pattern") else None
+    for a in link.ancestors():
+        if tags and a.tag not in tags:
+            continue
+        cls = a.classes()
+        ok = not any(k in rule for k in ("class_token", "class_contains", "attr_eq"))
+        ok = ok or any(t in cls for t in rule.get("class_token", ()))
+        ok = ok or any(t in " ".join(cls).casefold() for t in rule.get("class_contains", ()))
+        ok = ok or any(a.attrs.get(k) == v for k, v in rule.get("attr_eq", {}).items())
+        if not ok:
+            continue
+        if rule.get("max_chars") is not None or pat is not None:
+            t = _WS.sub(" ", a.text()).strip()
+            if rule.get("max_chars") is not None and len(t) > rule["max_chars"]:
+                continue
+            if pat is not None and not pat.search(t):
+                continue
+        return a
+    return link.parent
+
+
+def cards_of_page(page_id: int, html: str, spec: dict):
+    root = parse(html)
+    link_sel = compile_selector(spec.get("link", ["a"]))
+    field_sels = {k: compile_selector(v) for k, v in spec.get("fields", {}).items()}
+    if spec.get("mode", "container") == "container":
+        pairs = [(c, select_one(c, link_sel)) for c in select(root, compile_selector(spec["card"]))]
+    else:
+        pairs = [(_ancestor_card(l, spec.get("ancestor", {})), l) for l in select(root, link_sel)]
+    out = []
+    for pos, (card, link) in enumerate(pairs):
+        fields = {}
+        for name, sel in field_sels.items():
+            n = select_one(card, sel)
+            if n is not None:
+                fields[name] = n.text()
+        out.append((page_id, pos, card.text(),
+                    None if link is None else link.attrs.get("href", ""),
+                    None if link is None else link.text(),
+                    None if link is None else link.attrs.get("title"),
+                    fields,
+                    [p.text() for p in select(card, compile_selector(["p"]))],
+                    [s.strip() for s in card.strings() if s.strip()]))
+    return out

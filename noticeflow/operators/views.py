@@ -14,7 +14,7 @@ from .common import broadcast_if_small
 def location_parts(df: DataFrame, loc: str = "ubicacion", dept: str = "departamento",
                    prov: str = "provincia", dist: str = "distrito") -> DataFrame:
     """Explicit columns when non-empty, else the location split on '-' (no spaces needed)."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(loc), F.lit("")), "-"), lambda x: F.btrim(x)),
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(loc), F.lit("")), "-"), lambda x: tx.py_strip(x)),
                      lambda x: x != "")
 
     def part(i):
@@ -101,8 +101,8 @@ def index_cards(df: DataFrame) -> DataFrame:
     )
 
 
-def detail_view(df: DataFrame) -> DataFrame:
-    """The data part of a detail page, as columns (no HTML)."""
+def detail_view(df: DataFrame, keep=("id",)) -> DataFrame:
+    """The data part of a detail page, as columns (no HTML); ``keep`` columns pass through."""
     app, consult = F.coalesce(_opt(df, "url_postulacion"), F.lit("")), F.coalesce(_opt(df, "url_consulta"), F.lit(""))
     action = F.when(app != "", F.lit("direct")).when(consult != "", F.lit("portal")).otherwise(F.lit("none"))
     portal = F.coalesce(_opt(df, "fuente"), F.lit("")).isin(*fv.PORTAL_SOURCES)
@@ -113,7 +113,7 @@ def detail_view(df: DataFrame) -> DataFrame:
         lambda x: F.struct(F.coalesce(F.nullif(x["titulo"], F.lit("")), F.lit(fv.DEFAULT_DOC_TITLE)).alias("titulo"),
                            x["url"].alias("url")))
     return df.select(
-        "id",
+        *keep,
         action.alias("action_kind"),
         consult.contains(fv.CERTIFICATE_NOTICE_LINK).alias("certificate_notice"),
         F.when(portal, F.lit("publication")).otherwise(F.lit("range")).alias("date_label"),
