@@ -25,6 +25,17 @@ def ws_class() -> str:
     return um.java_class(um.python_whitespace())
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda over a Column).
+
+    ``transform(array(v), x -> body(x))[1]``: the usual way to bind an
+    intermediate result inside one Spark SQL expression, so an expensive value
+    referenced several times is computed once even when the plan runs without
+    common-subexpression elimination.
+    """
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+
+
 def truthy(c) -> Column:
     """Python truthiness of an optional string: present and non-empty."""
     c = _c(c)
@@ -37,8 +48,7 @@ def empty_to_null(c) -> Column:
 
 def clean(c) -> Column:
     """Collapse every whitespace run to one space and strip (no case/accent change)."""
-    collapsed = F.regexp_replace(F.coalesce(_c(c), F.lit("")), ws_class() + "+", " ")
-    return F.btrim(collapsed, F.lit(" "))
+    return F.btrim(collapse_ws(F.coalesce(_c(c), F.lit(""))), F.lit(" "))
 
 
 def py_strip(c) -> Column:
@@ -47,20 +57,45 @@ def py_strip(c) -> Column:
     return F.regexp_replace(_c(c), "^" + w + "+|" + w + "+$", "")
 
 
-def _expand_multi(s: Column, multi) -> Column:
-    """Characters that expand to several letters, via a per-character map lookup.
+# Expansions that occur in ordinary Latin text (ß, ligatures, Ǆ ...) take the
+# direct path: a short replace chain behind one regex test.  The remaining rare
+# ones (enclosed numbers, Roman numerals, ...) take a per-character map lookup
+# behind their own test; both keep the expression depth small.
+_DIRECT_LIMIT = 0x250
 
-    Constant expression depth (a chain of ``replace`` calls would nest hundreds
-    deep); only rows containing such a character (one guarded regex test) pay
-    for the split into characters.
-    """
+
+def _expand_multi(s: Column, multi) -> Column:
     if not multi:
         return s
-    guard = um.java_class(ch for ch, _ in multi)
-    table = F.create_map(*[F.lit(x) for pair in multi for x in pair])
-    chars = F.regexp_extract_all(s, F.lit("(?s)."), 0)
-    expanded = F.array_join(F.transform(chars, lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-    return F.when(s.rlike(guard), expanded).otherwise(s)
+    direct = [(a, b) for a, b in multi if ord(a) < _DIRECT_LIMIT or ord(a) in um.LIGATURES]
+    rare = [(a, b) for a, b in multi if not (ord(a) < _DIRECT_LIMIT or ord(a) in um.LIGATURES)]
+    direct_cls = um.java_class(a for a, _ in direct)
+    rare_cls = um.java_class(a for a, _ in rare)
+    rare_span = um.span_class(a for a, _ in rare)
+    table = F.create_map(*[F.lit(x) for pair in rare for x in pair])
+
+    def direct_step(t):
+        chain = t
+        for a, b in direct:
+            chain = F.replace(chain, F.lit(a), F.lit(b))
+        return F.when(t.rlike(direct_cls), chain).otherwise(t)
+
+    def rare_step(t):
+        chars = F.regexp_extract_all(t, F.lit("(?s)."), 0)
+        expanded = F.array_join(F.transform(chars, lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+        return F.when(t.rlike(rare_span) & t.rlike(rare_cls), expanded).otherwise(t)
+
+    return let(let(s, direct_step), rare_step)
+
+
+@functools.lru_cache(maxsize=None)
+def _collapse_pattern() -> str:
+    """Any run of whitespace (replaced by one space)."""
+    return um.java_class(um.python_whitespace()) + "+"
+
+
+def collapse_ws(c) -> Column:
+    return F.regexp_replace(_c(c), _collapse_pattern(), " ")
 
 
 def text_key(c) -> Column:
@@ -70,10 +105,8 @@ def text_key(c) -> Column:
     multi-letter expansions above U+3000 (use ``text_key_exact``).
     """
     matching, replacement, multi = um.key_maps()
-    s = F.translate(F.coalesce(_c(c), F.lit("")), matching, replacement)
-    s = _expand_multi(s, multi)
-    s = F.regexp_replace(s, ws_class() + "+", " ")
-    return F.btrim(s, F.lit(" "))
+    s = let(F.translate(F.coalesce(_c(c), F.lit("")), matching, replacement), lambda t: _expand_multi(t, multi))
+    return F.btrim(collapse_ws(s), F.lit(" "))
 
 
 @F.pandas_udf(T.StringType())
@@ -89,8 +122,7 @@ def text_key_exact(c) -> Column:
 def search_key(c) -> Column:
     """Search normalization: NFD, U+0300-036F removed, lower case, JS-trimmed (no collapse)."""
     matching, replacement, multi = um.search_maps()
-    s = F.translate(F.coalesce(_c(c), F.lit("")), matching, replacement)
-    s = _expand_multi(s, multi)
+    s = let(F.translate(F.coalesce(_c(c), F.lit("")), matching, replacement), lambda t: _expand_multi(t, multi))
     t = um.java_class(um.js_trim_chars())
     return F.regexp_replace(s, "^" + t + "+|" + t + "+$", "")
 

@@ -29,8 +29,26 @@ def _bmp():
 
 
 def java_class(chars) -> str:
-    """A regex character class usable by Java and RE2 (``\\x{HHHH}`` escapes)."""
-    return "[" + "".join("\\x{%04X}" % ord(c) for c in sorted(set(chars))) + "]"
+    """A regex character class usable by Java and RE2 (``\\x{HHHH}`` escapes).
+
+    Consecutive code points are merged into ranges: Java tests a class as a
+    chain of predicates, so fewer items make every position cheaper.
+    """
+    cps = sorted({ord(c) for c in chars})
+    items, i = [], 0
+    while i < len(cps):
+        j = i
+        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+            j += 1
+        items.append("\\x{%04X}" % cps[i] if i == j else "\\x{%04X}-\\x{%04X}" % (cps[i], cps[j]))
+        i = j + 1
+    return "[" + "".join(items) + "]"
+
+
+def span_class(chars) -> str:
+    """One range covering all given characters (a cheap pre-check)."""
+    cps = [ord(c) for c in chars]
+    return "[\\x{%04X}-\\x{%04X}]" % (min(cps), max(cps))
 
 
 @functools.lru_cache(maxsize=None)
