@@ -50,14 +50,15 @@ def is_recent(c, max_days: int = fv.MAX_AGE_DAYS) -> Column:
 
 
 def parse_dmy(c) -> Column:
-    """Tolerant ``dd/mm/yyyy`` parse; anything else (incl. 31/02) -> NULL."""
+    """Tolerant ``dd/mm/yyyy`` parse; anything else (incl. 31/02) -> NULL.
+
+    One regex pass rewrites an accepted text to ``\u0001yyyy-m-d``; a text that
+    does not match stays unchanged, so "changed" means "accepted".
+    """
     c = _c(c)
-    day = F.btrim(F.regexp_extract(c, DMY_PATTERN, 1), F.lit(" "))
-    month = F.regexp_extract(c, DMY_PATTERN, 2)
-    year = F.regexp_extract(c, DMY_PATTERN, 3)
-    iso = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
-    ok = c.rlike(DMY_PATTERN) & (year != F.lit("0000"))
-    return F.when(ok, F.try_to_date(iso, "yyyy-MM-dd"))
+    iso = F.regexp_replace(c, DMY_PATTERN, "\u0001$3-$2-$1")
+    ok = (iso != c) & (F.substring(iso, 2, 4) != F.lit("0000"))
+    return F.when(ok, F.try_to_date(F.translate(F.substring(iso, 2, 16), " ", ""), "yyyy-M-d"))
 
 
 def parse_dmy_stripped(c) -> Column:

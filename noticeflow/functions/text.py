@@ -129,9 +129,13 @@ def search_key(c) -> Column:
 
 def stable_id(entity, reference, title, location, code=None) -> Column:
     """First 20 hex of SHA-256 over the keys; the code is a fifth part only when truthy."""
-    parts = [text_key(entity), text_key(reference), text_key(title), text_key(location)]
-    if code is not None:
-        parts.append(F.when(truthy(code), text_key(code)))
+    code_key = None if code is None else F.when(truthy(code), text_key(code))
+    return id_from_keys(text_key(entity), text_key(reference), text_key(title), text_key(location), code_key)
+
+
+def id_from_keys(entity_k, reference_k, title_k, location_k, code_k=None) -> Column:
+    """Stable id from already computed keys (``code_k`` NULL when the code is absent)."""
+    parts = [entity_k, reference_k, title_k, location_k] + ([code_k] if code_k is not None else [])
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 20)
 
 
@@ -141,7 +145,12 @@ def base_key(entity, reference, title, location) -> Column:
 
 
 def slugify(c, limit: int = 80) -> Column:
-    s = F.regexp_replace(text_key(c), "[^a-z0-9]+", "-")
+    return slug_from_key(text_key(c), limit)
+
+
+def slug_from_key(k, limit: int = 80) -> Column:
+    """Slug of an already computed key: non-alphanumerics as '-', cut, 'oferta' when empty."""
+    s = F.regexp_replace(_c(k), "[^a-z0-9]+", "-")
     s = F.btrim(s, F.lit("-"))
     s = F.substring(s, 1, limit)
     s = F.when(s == "", F.lit("oferta")).otherwise(s)

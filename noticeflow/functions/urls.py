@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from .text import _c, py_strip
+from .text import _c, let, py_strip
 
 URL_PATTERN = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -71,6 +71,23 @@ def fragment(u) -> Column:
     return _group(prepare(u), 5)
 
 
+def parts(u) -> Column:
+    """All components at once: struct(scheme, netloc, host, path, params, query, fragment).
+
+    The URL is prepared and split once (bound with ``let``), so predicates that
+    look at several components do not re-run the regular expressions.
+    """
+    def split(p):
+        n = _group(p, 2)
+        rp = _group(p, 3)
+        return F.struct(
+            F.lower(_group(p, 1)).alias("scheme"), n.alias("netloc"), host_of_netloc(n).alias("host"),
+            F.regexp_replace(rp, r";[^/]*$", "").alias("path"),
+            F.regexp_extract(rp, r";([^/]*)$", 1).alias("params"),
+            _group(p, 4).alias("query"), _group(p, 5).alias("fragment"))
+    return let(prepare(u), split)
+
+
 def without_fragment(u) -> Column:
     return F.regexp_replace(_c(u), "#.*$", "")
 
@@ -168,19 +185,24 @@ def key_param_url(href, base: str, name: str = "jk", path_str: str = "/viewjob")
     return F.when(code != "", F.concat(F.lit(base + path_str + "?" + name + "="), code)).otherwise(F.lit(""))
 
 
+def _http(P) -> Column:
+    return P["scheme"].isin("http", "https") & (P["host"] != "")
+
+
 def is_http(u) -> Column:
-    return scheme(u).isin("http", "https") & (host(u) != "")
+    return let(parts(u), _http)
 
 
 def is_direct_link(u) -> Column:
     """A specific application page: http(s), a host, not a blocked host or (host, path) pair."""
-    s = py_strip(F.coalesce(_c(u), F.lit("")))
-    h = host(s)
-    p = F.regexp_replace(path(s), "/+$", "")
-    ok = is_http(s) & ~h.isin(*fv.BLOCKED_DIRECT_HOSTS)
-    for bh, bp in fv.BLOCKED_DIRECT_PAIRS:
-        ok = ok & ~((h == bh) & (p == bp))
-    return ok
+    def rule(P):
+        h = P["host"]
+        p = F.regexp_replace(P["path"], "/+$", "")
+        ok = _http(P) & ~h.isin(*fv.BLOCKED_DIRECT_HOSTS)
+        for bh, bp in fv.BLOCKED_DIRECT_PAIRS:
+            ok = ok & ~((h == bh) & (p == bp))
+        return ok
+    return let(parts(py_strip(F.coalesce(_c(u), F.lit("")))), rule)
 
 
 def under_domains(h: Column, domains) -> Column:
@@ -195,7 +217,7 @@ def is_official(u, domains=fv.OFFICIAL_DOMAINS) -> Column:
 
 
 def is_valid_application(u, blocked=fv.BLOCKED_APPLICATION_DOMAINS) -> Column:
-    return is_http(u) & ~under_domains(host(u), blocked)
+    return let(parts(u), lambda P: _http(P) & ~under_domains(P["host"], blocked))
 
 
 def is_individual_listing(source, u) -> Column:
@@ -204,17 +226,20 @@ def is_individual_listing(source, u) -> Column:
     NULL for sources without a portal rule.
     """
     src = F.lower(F.coalesce(_c(source), F.lit("")))
-    h, p, q = host(u), path(u), query(u)
-    return (
-        F.when(src == fv.SOURCE_COMPUTRABAJO.lower(),
-               (h == fv.HOST_COMPUTRABAJO) & p.contains("/ofertas-de-trabajo/"))
-        .when(src == fv.SOURCE_INDEED.lower(),
-              (h == fv.HOST_INDEED) & (p == "/viewjob") & q.contains("jk="))
-        .when(src == fv.SOURCE_LINKEDIN.lower(),
-              (h == fv.HOST_LINKEDIN) & p.startswith("/jobs/view/"))
-        .when(src == fv.SOURCE_BUMERAN.lower(),
-              (h == fv.HOST_BUMERAN) & p.startswith("/empleos/") & p.endswith(".html"))
-    )
+
+    def rule(P):
+        h, p, q = P["host"], P["path"], P["query"]
+        return (
+            F.when(src == fv.SOURCE_COMPUTRABAJO.lower(),
+                   (h == fv.HOST_COMPUTRABAJO) & p.contains("/ofertas-de-trabajo/"))
+            .when(src == fv.SOURCE_INDEED.lower(),
+                  (h == fv.HOST_INDEED) & (p == "/viewjob") & q.contains("jk="))
+            .when(src == fv.SOURCE_LINKEDIN.lower(),
+                  (h == fv.HOST_LINKEDIN) & p.startswith("/jobs/view/"))
+            .when(src == fv.SOURCE_BUMERAN.lower(),
+                  (h == fv.HOST_BUMERAN) & p.startswith("/empleos/") & p.endswith(".html"))
+        )
+    return let(parts(u), rule)
 
 
 def is_document_link(url, text) -> Column:

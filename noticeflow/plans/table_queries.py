@@ -26,7 +26,7 @@ from ..operators import outbox as ob
 from ..operators import refresh as rf
 from ..operators import search as se
 from ..operators import views as vw
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 
 # Reference dates inside the driver tables (orders run 1995-01-01 .. 2001-08-01,
 # lineitem ships to 2001-11-04, events cover January 2024).
@@ -101,8 +101,9 @@ def slug_name(spark, sf):
 
 def doc_slug(spark, sf):
     d = table(spark, sf, "documents")
-    ident = tx.stable_id("source", _s("doc_id"), "lang", "text")
-    return d.select("doc_id", tx.slugify("text").alias("slug"), tx.file_name(ident, "lang").alias("file_name"))
+    keyed = d.select("doc_id", "source", "lang", tx.text_key("text").alias("k"))
+    ident = tx.id_from_keys(tx.text_key("source"), tx.text_key(_s("doc_id")), tx.text_key("lang"), F.col("k"))
+    return keyed.select("doc_id", tx.slug_from_key("k").alias("slug"), tx.file_name(ident, "lang").alias("file_name"))
 
 
 def url_parts(spark, sf):
@@ -219,7 +220,10 @@ def topk_per_group(spark, sf):
 def duplicate_ids(spark, sf):
     d = table(spark, sf, "documents")
     ident = F.substring(F.sha2(tx.text_key("text"), 256), 1, 20)
-    dup = dd.duplicate_rows(d.select("doc_id", ident.alias("id")), "id", F.col("doc_id"))
+    # The narrow (doc_id, id) projection feeds both the aggregate and the join;
+    # it is checkpointed so the whole-text key is computed once.
+    narrow = materialize(d.select("doc_id", ident.alias("id")))
+    dup = dd.duplicate_rows(narrow, "id", F.col("doc_id"))
     return dup.select("doc_id", "id")
 
 
