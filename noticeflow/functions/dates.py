@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from .text import _c, contains_any, py_strip, text_key
+from .text import _c, contains_any, let, py_strip, text_key
 
 # Day/month/year exactly as ``strptime("%d/%m/%Y")`` accepts it: one or two
 # digit day and month (a single digit may be preceded by one space), four digit
@@ -55,10 +55,14 @@ def parse_dmy(c) -> Column:
     One regex pass rewrites an accepted text to ``\u0001yyyy-m-d``; a text that
     does not match stays unchanged, so "changed" means "accepted".
     """
+    def from_iso(iso):
+        ok = F.startswith(iso, F.lit("\u0001")) & (F.substring(iso, 2, 4) != F.lit("0000"))
+        return F.when(ok, F.try_to_date(F.translate(F.substring(iso, 2, 16), " ", ""), "yyyy-M-d"))
+    # A text starting with \u0001 cannot match the pattern, so it is rejected
+    # up front; otherwise a leading \u0001 in the result means "rewritten".
     c = _c(c)
-    iso = F.regexp_replace(c, DMY_PATTERN, "\u0001$3-$2-$1")
-    ok = (iso != c) & (F.substring(iso, 2, 4) != F.lit("0000"))
-    return F.when(ok, F.try_to_date(F.translate(F.substring(iso, 2, 16), " ", ""), "yyyy-M-d"))
+    rewritten = let(F.regexp_replace(c, DMY_PATTERN, "\u0001$3-$2-$1"), from_iso)
+    return F.when(~F.startswith(c, F.lit("\u0001")), rewritten)
 
 
 def parse_dmy_stripped(c) -> Column:
@@ -77,17 +81,16 @@ def published_from_age(age_text, as_of) -> Column:
 
 def still_open(end_text, as_of) -> Column:
     """Open while the close date is unknown/unparsable or not before as_of (text not stripped)."""
-    d = parse_dmy(end_text)
-    return d.isNull() | (d >= as_date(as_of))
+    return let(parse_dmy(end_text), lambda d: d.isNull() | (d >= as_date(as_of)))
 
 
 def not_expired(end_text, as_of) -> Column:
     """Expiry rule on stripped text: unparsable/empty close dates are kept."""
-    d = parse_dmy_stripped(F.coalesce(_c(end_text), F.lit("")))
-    return d.isNull() | (d >= as_date(as_of))
+    return let(parse_dmy_stripped(F.coalesce(_c(end_text), F.lit(""))),
+               lambda d: d.isNull() | (d >= as_date(as_of)))
 
 
 def age_in_window(start_text, as_of, max_days: int = fv.MAX_AGE_DAYS) -> Column:
     """0 <= as_of - published <= max_days; unparsable/missing -> False."""
     diff = F.datediff(as_date(as_of), parse_dmy(start_text))
-    return F.coalesce(diff.between(0, max_days), F.lit(False))
+    return F.coalesce(let(diff, lambda x: (x >= 0) & (x <= max_days)), F.lit(False))
