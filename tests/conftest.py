@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from noticeflow.session import get_session
     ckpt = tempfile.mkdtemp(prefix="nf-test-ckpt-")
-    s = get_session(master="local[4]", shuffle_partitions=4, extra={"spark.checkpoint.dir": ckpt})
+    s = get_session(master="local[4]", shuffle_partitions=4, extra={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g"})
     yield s
     s.stop()
 
