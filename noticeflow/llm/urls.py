@@ -108,12 +108,13 @@ def train(spark: SparkSession, rows: list[tuple[str, int]] | None = None) -> lis
     hashed = data.select(F.sort_array(F.array_distinct(buckets(host_of(url), path_of(url)))).alias("b"),
                          F.col("r.label").alias("y"), url.alias("url")).orderBy("url", "y").collect()
     w, bias, seen = [0.0] * BUCKETS, 0.0, [1e-6] * BUCKETS
-    share = max(1, len(hashed))
+    bad = max(1, sum(r.y for r in hashed))
+    share = {1: 2.0 * bad, 0: 2.0 * max(1, len(hashed) - bad)}       # both labels weigh the same
     for _ in range(ROUNDS):
         grad, grad_bias = [DECAY * x for x in w], 0.0
         for r in hashed:
             z = bias + sum(w[k] for k in r.b) / math.sqrt(len(r.b))
-            miss = (1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))) - r.y) / share
+            miss = (1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))) - r.y) / share[r.y]
             grad_bias += miss
             step = miss / math.sqrt(len(r.b))
             for k in r.b:
