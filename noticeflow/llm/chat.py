@@ -76,8 +76,9 @@ def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     A branch ends at a message that nobody answers; its rank follows the mean
     score of its messages, then the smaller leaf id.
     """
-    nodes = nodes.groupBy("conv", "node").agg(F.min(F.struct("role", "text", "parent", "score")).alias("m")).select(
-        "conv", "node", "m.parent", "m.score")
+    nodes = saved(nodes.groupBy("conv", "node").agg(
+        F.min(F.struct("role", "text", "parent", "score")).alias("m")).select(
+        "conv", "node", "m.parent", "m.score"))
     rooted, tables = _jump_tables(nodes)
     answered = nodes.where(F.col("parent").isNotNull()).select("conv", F.col("parent").alias("node")).distinct()
     leaves = rooted.join(answered, ["conv", "node"], "left_anti")
@@ -101,6 +102,7 @@ def format_branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     ``loss_spans`` holds (start, length) in code points of every assistant text
     as written in ``formatted``.
     """
+    nodes = saved(nodes.select("conv", "node", "parent", "role", "text", "score"))
     texts = nodes.groupBy("conv", "node").agg(F.min(F.struct("role", "text")).alias("m"))
     path = branches(nodes, best).join(texts, ["conv", "node"])
     turns = path.groupBy("conv", "leaf", "rank").agg(F.sort_array(F.collect_list(

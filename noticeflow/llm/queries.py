@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import chat, merkle, mixing, urls
+from noticeflow.llm import chat, merkle, mixing, toxicity, urls
 from noticeflow.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents", "doc_id", "text"),
+                           table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -39,7 +44,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.train(spark)).select("page_id", "host", "path", "rule", "verdict", "p_bad")
 
 
-QUERIES = {q.__name__: q for q in (op2_mixing, op6_merkle, op7_chat, op8_urls)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_mixing, op6_merkle, op7_chat, op8_urls)}
 
 
 OP7_SQL = r"""
