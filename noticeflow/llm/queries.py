@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import chat, merkle, mixing, toxicity, urls
+from noticeflow.llm import chat, merkle, mixing, repeats, toxicity, urls
 from noticeflow.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -44,7 +48,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.train(spark)).select("page_id", "host", "path", "rule", "verdict", "p_bad")
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_mixing, op6_merkle, op7_chat, op8_urls)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_mixing, op4_suffix_dedup, op6_merkle, op7_chat, op8_urls)}
 
 
 OP7_SQL = r"""
