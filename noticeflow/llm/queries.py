@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import chat, merkle, mixing, near_join, repeats, toxicity, urls
+from noticeflow.llm import chat, decontaminate, merkle, mixing, near_join, repeats, toxicity, urls
 from noticeflow.llm.common import table
 
 
@@ -48,12 +48,17 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.train(spark)).select("page_id", "host", "path", "rule", "verdict", "p_bad")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents", "doc_id", "text"),
+                               table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(table(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", "class_id", "n_links", "set_id")
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_mixing, op4_suffix_dedup, op6_merkle, op7_chat, op8_urls, op10_near_join)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_mixing, op4_suffix_dedup, op6_merkle, op7_chat, op8_urls, op9_decontaminate, op10_near_join)}
 
 
 OP7_SQL = r"""
