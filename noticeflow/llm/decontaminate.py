@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 WINDOW = 8
 LITERALS = 4
 RUN = 13
-BLOCK_CHARS = 50_000_000
+BLOCK_CHARS = 10_000_000
 CACHE_WORDS = 400_000
 NUMBER, NAME, UNIT = 1, 2, 3
 MIX = 0x9E3779B97F4A7C15
@@ -226,10 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_token, n_tokens, changed) for every document and item it leaks."""
     out = None
     for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+        def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             words = Words(index.lower)
             for batch in batches:
                 rows = []
@@ -250,12 +247,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, all columns."""
     for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words = Words(shared.value.lower)
+        def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            words = Words(index.lower)
             for batch in batches:
-                clean = [not shared.value.leaks(t, words) for t in batch.column("text").to_pylist()]
+                clean = [not index.leaks(t, words) for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import chat, decontaminate, merkle, mixing, near_join, repeats, toxicity, urls
+from noticeflow.llm import (chat, decontaminate, main_text, merkle, mixing, near_join, repeats, token_counts, toxicity,
+                            urls)
 from noticeflow.llm.common import table
 
 
@@ -18,10 +19,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.with_counts(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                    token_counts.read_vocabulary())
+
+
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -58,7 +68,9 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "class_id", "n_links", "set_id")
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_mixing, op4_suffix_dedup, op6_merkle, op7_chat, op8_urls, op9_decontaminate, op10_near_join)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_mixing, op3_main_text, op4_suffix_dedup,
+                                  op5_token_counts, op6_merkle, op7_chat, op8_urls, op9_decontaminate,
+                                  op10_near_join)}
 
 
 OP7_SQL = r"""
