@@ -86,13 +86,13 @@ def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     leaves = leaves.withColumn("rank", rank)
     if best is not None:
         leaves = leaves.where(F.col("rank") <= best)
-    steps = leaves.select("conv", F.col("node").alias("leaf"), "rank", "node", "depth")
+    steps = saved(leaves.select("conv", F.col("node").alias("leaf"), "rank", "node", "depth"))
     # each row stands for the `2^k` messages upward from `node`; a jump halves it into two rows
     for k in reversed(range(len(tables))):
         jump = tables[k].select("conv", "node", "far")
         upper = steps.join(jump, ["conv", "node"]).select(
             "conv", "leaf", "rank", F.col("far").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        steps = steps.unionByName(upper)
+        steps = saved(steps.unionByName(upper))
     return steps
 
 

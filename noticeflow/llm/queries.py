@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm import (chat, decontaminate, main_text, merkle, mixing, near_join, repeats, token_counts, toxicity,
                             urls)
-from noticeflow.llm.common import table
+from noticeflow.llm.common import saved, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                     F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                     said.alias("text"))
-    done = chat.format_branches(chat.linear_tree(turns.unionByName(planted)), best=1)
+    done = saved(chat.format_branches(chat.linear_tree(turns.unionByName(planted)), best=1))
     back = chat.read_turns(F.col("formatted"))
     out = done.withColumn("back", back).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans")))
     spoken = F.concat_ws("", F.transform("back", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))))
