@@ -1,17 +1,15 @@
 """Text Column expressions: whitespace cleaning, comparison keys, ids, slugs.
 
-Every function takes and returns a ``Column``; nothing leaves the JVM except
-the optional exact-Unicode Arrow UDF.
+Every function takes and returns a ``Column``; nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import unicode_maps as um
 
@@ -57,35 +55,43 @@ def py_strip(c) -> Column:
     return F.regexp_replace(_c(c), "^" + w + "+|" + w + "+$", "")
 
 
-# Expansions that occur in ordinary Latin text (ß, ligatures, Ǆ ...) take the
-# direct path: a short replace chain behind one regex test.  The remaining rare
-# ones (enclosed numbers, Roman numerals, ...) take a per-character map lookup
-# behind their own test; both keep the expression depth small.
-_DIRECT_LIMIT = 0x250
+def _expanded(s: Column, multi) -> Column:
+    """Characters whose key has several letters, and Hangul syllables, written out.
 
+    A text without any of them (one regex test) stays as it is.
+    """
+    table = F.from_json(F.lit(json.dumps(dict(multi))), "map<string,string>")
+    syllable = "[\\x{%04X}-\\x{%04X}]" % (um.HANGUL_FIRST, um.HANGUL_LAST)
+    jamo = F.from_json(F.lit(json.dumps([chr(c) for c in range(um.LEADS, um.TRAILS + um.N_TRAILS)])), "array<string>")
+
+    def hangul(ch):
+        def parts(n):
+            trail = n % um.N_TRAILS
+            lead = F.floor(n / (um.N_VOWELS * um.N_TRAILS)).cast("int")
+            vowel = F.floor(n % (um.N_VOWELS * um.N_TRAILS) / um.N_TRAILS).cast("int")
+            return F.concat(F.get(jamo, lead), F.get(jamo, vowel + (um.VOWELS - um.LEADS)),
+                            F.when(trail > 0, F.get(jamo, trail + (um.TRAILS - um.LEADS))).otherwise(""))
+        return let(F.ascii(ch) - um.HANGUL_FIRST, parts)
+
+    def written(ch):
+        return F.when(ch.rlike(syllable), hangul(ch)).otherwise(F.coalesce(F.try_element_at(table, ch), ch))
+
+    def step(t):
+        # each different character is looked up once; then all are put back in order
+        some = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)."), 0)), lambda c: c.rlike(any_of))
+        return F.when(t.rlike(any_of), F.aggregate(some, t, lambda acc, c: F.replace(acc, c, written(c)))).otherwise(t)
 
-def _expand_multi(s: Column, multi) -> Column:
-    if not multi:
-        return s
-    direct = [(a, b) for a, b in multi if ord(a) < _DIRECT_LIMIT or ord(a) in um.LIGATURES]
-    rare = [(a, b) for a, b in multi if not (ord(a) < _DIRECT_LIMIT or ord(a) in um.LIGATURES)]
-    direct_cls = um.java_class(a for a, _ in direct)
-    rare_cls = um.java_class(a for a, _ in rare)
-    rare_span = um.span_class(a for a, _ in rare)
-    table = F.create_map(*[F.lit(x) for pair in rare for x in pair])
+    any_of = um.java_class([a for a, _ in multi])[:-1] + syllable[1:]
+    return let(s, step)
 
-    def direct_step(t):
-        chain = t
-        for a, b in direct:
-            chain = F.replace(chain, F.lit(a), F.lit(b))
-        return F.when(t.rlike(direct_cls), chain).otherwise(t)
 
-    def rare_step(t):
-        chars = F.regexp_extract_all(t, F.lit("(?s)."), 0)
-        expanded = F.array_join(F.transform(chars, lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-        return F.when(t.rlike(rare_span) & t.rlike(rare_cls), expanded).otherwise(t)
+ASCII_SPACE = "[\\t-\\r\\x1C-\\x20]"
 
-    return let(let(s, direct_step), rare_step)
+
+def _keyed(c, ascii_path, full_path) -> Column:
+    """``ascii_path`` for texts of one byte a character, where it gives the same result as ``full_path``."""
+    return let(F.coalesce(_c(c), F.lit("")),
+               lambda t: F.when(F.octet_length(t) == F.char_length(t), ascii_path(t)).otherwise(full_path(t)))
 
 
 @functools.lru_cache(maxsize=None)
@@ -98,33 +104,48 @@ def collapse_ws(c) -> Column:
     return F.regexp_replace(_c(c), _collapse_pattern(), " ")
 
 
+def _collapsed_ascii(t: Column) -> Column:
+    return F.btrim(F.when(t.rlike("[\\t-\\r\\x1C-\\x1F]|  "), F.regexp_replace(t, ASCII_SPACE + "+", " ")).otherwise(t),
+                   F.lit(" "))
+
+
 def text_key(c) -> Column:
     """Comparison key: NFKD, combining marks dropped, whitespace collapsed, stripped, casefolded.
 
-    NULL and "" give "".  Exact for the Basic Multilingual Plane except the
-    multi-letter expansions above U+3000 (use ``text_key_exact``).
+    Exact for every character of every plane; NULL and "" give "".
     """
     matching, replacement, multi = um.key_maps()
-    s = let(F.translate(F.coalesce(_c(c), F.lit("")), matching, replacement), lambda t: _expand_multi(t, multi))
-    return F.btrim(collapse_ws(s), F.lit(" "))
+    return _keyed(c, lambda t: _collapsed_ascii(F.lower(t)),
+                  lambda t: F.btrim(collapse_ws(_expanded(F.translate(t, matching, replacement), multi)), F.lit(" ")))
+
 
+def search_key(c) -> Column:
+    """Search normalization: NFD, U+0300-036F removed, lower case, JS-trimmed (no collapse).
+
+    Marks outside U+0300-036F keep the order in which they were written.
+    """
+    matching, replacement, multi = um.search_maps()
+    t = um.java_class(um.js_trim_chars())
+    return _keyed(c, lambda s: F.btrim(F.lower(s), F.lit("\t\n\x0b\x0c\r ")),
+                  lambda s: F.regexp_replace(_expanded(F.translate(s, matching, replacement), multi),
+                                             "^" + t + "+|" + t + "+$", ""))
 
-@F.pandas_udf(T.StringType())
-def _exact_key_udf(s: pd.Series) -> pd.Series:
-    return s.map(um.exact_key)
 
+def identity(entity, reference, title, location, code=None) -> Column:
+    """struct(id, base_key, file_name): the four keys are computed once and shared by all three."""
+    code = F.lit(None).cast("string") if code is None else _c(code)
+    keys = F.struct(*[text_key(x).alias(n) for n, x in zip("ertl", (entity, reference, title, location))],
+                    F.when(truthy(code), text_key(code)).alias("c"))
 
-def text_key_exact(c) -> Column:
-    """Arrow-batched exact key (all planes, every expansion)."""
-    return _exact_key_udf(_c(c))
+    def named(k):
+        return F.struct(id_from_keys(k.e, k.r, k.t, k.l, k.c).alias("id"),
+                        F.concat_ws("|", k.e, k.r, k.t, k.l).alias("base_key"), k.t.alias("title_key"))
 
+    def filed(n):
+        return F.struct(n.id.alias("id"), n.base_key.alias("base_key"),
+                        F.concat(slug_from_key(F.concat(n.id, F.lit("-"), n.title_key)), F.lit(".html")).alias("file_name"))
 
-def search_key(c) -> Column:
-    """Search normalization: NFD, U+0300-036F removed, lower case, JS-trimmed (no collapse)."""
-    matching, replacement, multi = um.search_maps()
-    s = let(F.translate(F.coalesce(_c(c), F.lit("")), matching, replacement), lambda t: _expand_multi(t, multi))
-    t = um.java_class(um.js_trim_chars())
-    return F.regexp_replace(s, "^" + t + "+|" + t + "+$", "")
+    return let(let(keys, named), filed)
 
 
 def stable_id(entity, reference, title, location, code=None) -> Column:
@@ -150,11 +171,8 @@ def slugify(c, limit: int = 80) -> Column:
 
 def slug_from_key(k, limit: int = 80) -> Column:
     """Slug of an already computed key: non-alphanumerics as '-', cut, 'oferta' when empty."""
-    s = F.regexp_replace(_c(k), "[^a-z0-9]+", "-")
-    s = F.btrim(s, F.lit("-"))
-    s = F.substring(s, 1, limit)
-    s = F.when(s == "", F.lit("oferta")).otherwise(s)
-    return F.regexp_replace(s, "-+$", "")
+    s = F.substring(F.btrim(F.regexp_replace(_c(k), "[^a-z0-9]+", "-"), F.lit("-")), 1, limit)
+    return F.coalesce(F.rtrim(F.nullif(s, F.lit("")), F.lit("-")), F.lit("oferta"))
 
 
 def file_name(id_col, title) -> Column:

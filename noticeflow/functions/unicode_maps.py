@@ -1,31 +1,29 @@
-"""Character maps generated at import time from Python's ``unicodedata``.
+"""Character maps generated from Python's ``unicodedata``, for every code point of every plane.
 
 Spark has no Unicode normalization function, so the comparison keys are
-expressed with ``translate`` (one pass, JVM side) plus a short, guarded chain of
-``replace`` calls for the few characters that expand to several letters.  The
-tables are derived from a rule, never typed in.
+expressed with ``translate`` (one pass, JVM side) for characters whose key is
+one character or none, a lookup for those whose key is longer, and the
+arithmetic rule for Hangul syllables.  The tables are derived from a rule,
+never typed in.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import sys
 import unicodedata
 
-# Characters whose key expands to more than one character are handled by a
-# replace chain only below this code point (Latin, Greek, punctuation, letter-
-# like and enclosed forms); the rest (Hangul syllables, CJK compatibility
-# squares, Arabic presentation forms) goes through the exact Arrow UDF.
-MULTI_LIMIT = 0x3000
-# Alphabetic presentation forms (Latin ligatures such as U+FB01) are kept too.
-LIGATURES = range(0xFB00, 0xFB07)
+# Hangul syllables decompose by arithmetic: lead, vowel, and trail unless it is 0.
+HANGUL_FIRST, HANGUL_LAST = 0xAC00, 0xD7A3
+LEADS, VOWELS, TRAILS = 0x1100, 0x1161, 0x11A7
+N_VOWELS, N_TRAILS = 21, 28
 
 
-def _bmp():
-    for cp in range(0x10000):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        yield chr(cp)
+@functools.lru_cache(maxsize=None)
+def _all() -> tuple[str, ...]:
+    """Every assigned character (others are their own key); surrogates are none."""
+    return tuple(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) not in ("Cn", "Co", "Cs"))
 
 
 def java_class(chars) -> str:
@@ -45,23 +43,17 @@ def java_class(chars) -> str:
     return "[" + "".join(items) + "]"
 
 
-def span_class(chars) -> str:
-    """One range covering all given characters (a cheap pre-check)."""
-    cps = [ord(c) for c in chars]
-    return "[\\x{%04X}-\\x{%04X}]" % (min(cps), max(cps))
-
-
 @functools.lru_cache(maxsize=None)
 def python_whitespace() -> str:
-    """All characters matched by Python's ``\\s`` on str (BMP)."""
-    return "".join(c for c in _bmp() if re.match(r"\s", c))
+    """All characters matched by Python's ``\\s`` on str."""
+    return "".join(c for c in _all() if c.isspace() and re.match(r"\s", c))
 
 
 @functools.lru_cache(maxsize=None)
 def js_trim_chars() -> str:
     """Characters removed by JavaScript's ``String.prototype.trim``."""
     extra = "\t\x0b\x0c\ufeff\n\r\u2028\u2029"
-    return "".join(sorted(set(extra) | {c for c in _bmp() if unicodedata.category(c) == "Zs"}))
+    return "".join(sorted(set(extra) | {c for c in _all() if unicodedata.category(c) == "Zs"}))
 
 
 def _key_of(ch: str) -> str:
@@ -80,7 +72,9 @@ def _search_of(ch: str) -> str:
 def _build(kind: str):
     fn = _key_of if kind == "key" else _search_of
     src, dst, drop, multi = [], [], [], []
-    for ch in _bmp():
+    for ch in _all():
+        if HANGUL_FIRST <= ord(ch) <= HANGUL_LAST:
+            continue
         out = fn(ch)
         if out == ch:
             continue
@@ -89,7 +83,7 @@ def _build(kind: str):
             dst.append(out)
         elif not out:
             drop.append(ch)
-        elif ord(ch) < MULTI_LIMIT or ord(ch) in LIGATURES:
+        else:
             multi.append((ch, out))
     # translate(): characters beyond the length of the replacement are deleted.
     return "".join(src) + "".join(drop), "".join(dst), tuple(multi)
@@ -106,7 +100,7 @@ def search_maps():
 
 
 def exact_key(text: str | None) -> str:
-    """Exact comparison key of one string (used by the Arrow UDF and tests)."""
+    """Exact comparison key of one string (the definition the Column expression is tested against)."""
     t = unicodedata.normalize("NFKD", text or "")
     t = "".join(c for c in t if not unicodedata.combining(c))
     return re.sub(r"\s+", " ", t).strip().casefold()

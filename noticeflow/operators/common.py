@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: size-checked broadcast, lineage order, global numbering."""
+"""Helpers shared by the operators: lineage order, global numbering."""
 
 from __future__ import annotations
 
@@ -8,20 +8,6 @@ from pyspark.sql.window import Window
 
 from ..session import materialize
 
-# Largest dimension (rows) that is ever broadcast.  Dimensions here are district
-# lists, source registries and per-dimension aggregates, all far below this.
-BROADCAST_MAX_ROWS = 100_000
-
-
-def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a side only behind a size check; otherwise let the planner shuffle."""
-    return F.broadcast(df) if bounded(df, max_rows) else df
-
 
 def lineage_pos(src_ord="src_ord", page_id="page_id", card_pos="card_pos") -> Column:
     """The order of a row in the original list-of-lists: (source order, page, card)."""
@@ -29,22 +15,19 @@ def lineage_pos(src_ord="src_ord", page_id="page_id", card_pos="card_pos") -> Co
 
 
 def global_row_number(df: DataFrame, order: list, name: str = "row_no") -> DataFrame:
-    """1-based position of every row in a total order, without a single-partition window.
+    """1-based position of every row in a total order, without a single-partition window over the rows.
 
-    The range-partitioned sort is checkpointed (so partition ids and in-partition
-    offsets are stable), partition sizes are counted (one row per partition), and
-    each row's number is its partition's offset plus its index inside it.
+    The rows are range-sorted and saved with the number of their partition, so
+    both stay as they are.  Counts per partition give each one its offset (one
+    row per partition), and a window inside each partition counts on from there.
     """
-    sorted_df = materialize(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
-    part = F.shiftright(F.col("_mid"), 33)
-    sizes = sorted_df.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(
-        "_part",
-        (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    out = (sorted_df.withColumn("_part", part)
-           .join(F.broadcast(offsets), "_part")
-           .withColumn(name, F.coalesce(F.col("_off"), F.lit(0))
-                       + (F.col("_mid") - F.shiftleft(F.col("_part"), 33)) + 1)
-           .drop("_part", "_off", "_mid"))
-    return out
+    keys = [f"_k{i}" for i in range(len(order))]
+    keyed = df.select("*", *[o.alias(k) if isinstance(o, Column) else F.col(o).alias(k) for o, k in zip(order, keys)])
+    placed = materialize(keyed.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_part").orderBy(*keys)
+    return (placed.join(offsets, "_part")
+            .withColumn(name, F.row_number().over(inside) + F.col("_off"))
+            .drop("_part", "_off", *keys))

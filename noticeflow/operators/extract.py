@@ -121,20 +121,50 @@ def crawl_completeness(pages: DataFrame, crawl_col: str, text_col: str) -> DataF
     return agg.withColumn("complete", F.coalesce(F.col("max_page") >= F.col("total_pages"), F.lit(True)))
 
 
+def blocked_pages(pages: DataFrame, host_col: str, html_col: str, words) -> DataFrame:
+    """Per host: pages, and pages that show the block word of their source.
+
+    ``words``: (host suffix, word) pairs, one per source; other hosts are never blocked.
+    """
+    html, hit = F.lower(F.coalesce(F.col(html_col), F.lit(""))), F.lit(False)
+    for suffix, word in words:
+        hit = hit | (F.col(host_col).endswith(suffix) & html.contains(word))
+    return pages.groupBy(F.col(host_col).alias("host")).agg(
+        F.count(F.lit(1)).alias("n_pages"), F.count_if(hit).alias("n_blocked"))
+
+
 # ------------------------------------------------------------ EXT-8/9 links
-LINK_PATTERN = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)'
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\z)"
+ANCHOR = r"(?is)<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?=</a\s*>|<a\s|\z)"
+HREF = r"(?is)^<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"'])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+OPENING = r"(?is)^<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+# The named character references of links (numbers are decoded by rule).
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&#39;", "'"),
+            ("&#34;", '"'), ("&#x27;", "'"), ("&amp;", "&"), ("&#38;", "&"))
+
+
+def decoded(c: Column) -> Column:
+    """The usual character references of attributes and link texts, ``&amp;`` last."""
+    for name, char in ENTITIES:
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
 
 
 def harvest_links(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """One row per page with its links as an ordered array of (pos, url, text); hrefs resolved
-    against the page URL.  Regex harvesting keeps the work in the JVM."""
-    hrefs = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK_PATTERN), 1)
-    texts = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK_PATTERN), 2)
-    z = F.arrays_zip(hrefs.alias("href"), texts.alias("text"))
+    against the page URL.  Comments and scripts hold no links; the text is what the anchor
+    shows, without inner tags; names in any case, values in any quotes."""
+    html = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), HIDDEN, " ")
+    anchors = F.filter(F.regexp_extract_all(html, F.lit(ANCHOR), 0), lambda a: a.rlike(HREF))
     base = F.col(url_col)
-    links = F.transform(z, lambda x, i: F.struct(
-        i.alias("pos"), ur.join(base, x["href"]).alias("url"), tx.py_strip(x["text"]).alias("text")))
-    return pages.select(id_col, links.alias("links"))
+
+    def link(a, i):
+        href = F.concat(*[F.regexp_extract(a, HREF, k) for k in (1, 2, 3)])
+        text = F.regexp_replace(F.regexp_replace(a, OPENING, ""), r"(?s)<[^>]*>", "")
+        return F.struct(i.alias("pos"), ur.join(base, tx.py_strip(decoded(href))).alias("url"),
+                        tx.clean(decoded(text)).alias("text"))
+
+    return pages.select(id_col, F.transform(anchors, link).alias("links"))
 
 
 def classify_links(df: DataFrame, id_col: str, links_col: str = "links") -> DataFrame:

@@ -2,67 +2,30 @@
 
 "The first term, in declared order, whose key is a substring of the text's
 key."  This is a theta join (substring containment), so it is never planned as
-a cross join:
-
-* a bounded term list (checked size) becomes one JVM-side ``CASE`` expression
-  over the text key -- no shuffle, stays in whole-stage codegen;
-* a larger list is compiled once into an Aho-Corasick automaton shipped with
-  an Arrow-batched pandas UDF; each text is scanned once, whatever the list size.
+a join: the term list, a dimension, becomes one sorted array in a scalar
+subquery, and every text looks for the first of its terms that it contains.
+One path for any list; texts and terms are keyed alike.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions.unicode_maps import exact_key
-
-INLINE_MAX_TERMS = 256
 
 
 def first_match(df: DataFrame, text_col: str, terms: DataFrame, ord_col: str, term_col: str,
-                out: str = "label", inline_max: int = INLINE_MAX_TERMS) -> DataFrame:
-    """Adds ``out``: the first matching term (by ``ord_col``) or '' when none matches."""
-    small = terms.select(ord_col, term_col).orderBy(ord_col).limit(inline_max + 1).collect()
-    key = tx.text_key(text_col)
-    if len(small) <= inline_max:
-        expr = F.lit("")
-        for row in reversed(small):
-            term = row[term_col]
-            needle = exact_key(term)
-            expr = F.when(key.contains(F.lit(needle)), F.lit(term)).otherwise(expr)
-        return df.withColumn(out, expr)
-    return _first_match_automaton(df, text_col, terms, ord_col, term_col, out)
-
-
-def _first_match_automaton(df, text_col, terms, ord_col, term_col, out):
-    import ahocorasick  # imported lazily: only the large-list path needs it
-
-    # The term list is a dimension; it is read once on the driver to build the
-    # automaton, which is broadcast (its size is the term list's, not the data's).
-    rows = terms.select(ord_col, term_col).orderBy(ord_col).toLocalIterator()
-    auto = ahocorasick.Automaton()
-    for rank, row in enumerate(rows):
-        k = exact_key(row[term_col])
-        if k and k not in auto:
-            auto.add_word(k, (rank, row[term_col]))
-    auto.make_automaton()
-    bc = df.sparkSession.sparkContext.broadcast(auto)
-
-    @F.pandas_udf(T.StringType())
-    def _label(texts: pd.Series) -> pd.Series:
-        a = bc.value
+                out: str = "label") -> DataFrame:
+    """Adds ``out``: the first matching term (by ``ord_col``) or '' when none matches.
 
-        def one(t):
-            best = None
-            for _, (rank, term) in a.iter(t or ""):
-                if best is None or rank < best[0]:
-                    best = (rank, term)
-            return best[1] if best else ""
+    Terms without any letter (an empty key) match nothing.
+    """
+    keyed = terms.select(F.col(ord_col).alias("o"), tx.text_key(term_col).alias("k"), F.col(term_col).alias("t"))
+    listed = keyed.where("k <> ''").select(F.sort_array(F.collect_list(F.struct("o", "k", "t")))).scalar()
 
-        return texts.map(one)
+    def label(key):
+        return F.coalesce(F.try_element_at(F.filter(F.col("_terms"), lambda t: key.contains(t["k"])), F.lit(1))["t"],
+                          F.lit(""))
 
-    return df.withColumn(out, _label(tx.text_key(text_col)))
+    return df.withColumn("_terms", listed).withColumn(out, tx.let(tx.text_key(text_col), label)).drop("_terms")

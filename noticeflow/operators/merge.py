@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -11,9 +11,12 @@ from ..functions import text as tx
 
 
 def carry_forward_upsert(prev: DataFrame, new: DataFrame, key: str = "id", pos: str = "pos",
-                         carried=fv.CARRIED_COLUMNS) -> DataFrame:
+                         carried=fv.CARRIED_COLUMNS, count_below: tuple | None = None) -> DataFrame:
     """Upsert ``new`` into ``prev`` by ``key``.
 
+    ``count_below`` = (position, name) adds the number of versions below that
+    position, which is how many rows of ``prev`` went into each key.
+
     The latest version (max ``pos``) wins whole; each carried column falls back
     to its latest *present* (non-NULL) value among earlier versions.  An empty
     string is present and blocks the fallback; NULL (absent) does not.  This is
@@ -27,9 +30,13 @@ def carry_forward_upsert(prev: DataFrame, new: DataFrame, key: str = "id", pos:
     p = F.col(pos)
     aggs = [F.max_by(F.struct(*others), p).alias("_last"), F.max(p).alias(pos)]
     aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), p)).alias(c) for c in carried]
+    extra = []
+    if count_below:
+        extra = [count_below[1]]
+        aggs.append(F.count_if(p < F.lit(count_below[0])).alias(extra[0]))
     out = both.groupBy(key).agg(*aggs)
     cols = [F.col(key)] + [F.col("_last." + c).alias(c) for c in others] + [F.col(c) for c in carried] + [F.col(pos)]
-    return out.select(*cols).select(key, *[c for c in both.columns if c != key])
+    return out.select(*cols, *extra).select(key, *[c for c in both.columns if c != key], *extra)
 
 
 def with_base_key(df: DataFrame, entity="entidad", reference="numero_convocatoria", title="titulo",
@@ -37,19 +44,22 @@ def with_base_key(df: DataFrame, entity="entidad", reference="numero_convocatori
     return df.withColumn(name, tx.base_key(entity, reference, title, location))
 
 
-def split_superseded(df: DataFrame, code: str = "codigo_servir", key: str = "base_key"):
-    """(kept, removed): rows without a code whose base key exists among coded rows are removed.
+def with_superseded(df: DataFrame, code: str = "codigo_servir", key: str = "base_key") -> DataFrame:
+    """Adds ``superseded``: a row without a code whose base key has a coded row.
 
-    A left-anti / left-semi join against the *distinct* coded keys; AQE splits a
-    hot key on the large side.
+    One left join against the *distinct* coded keys; AQE splits a hot key on the
+    large side.
     """
-    has_code = tx.truthy(code)
-    coded = df.where(has_code)
-    plain = df.where(~has_code)
-    coded_keys = coded.select(key).distinct()
-    kept = plain.join(coded_keys, key, "left_anti").unionByName(coded)
-    removed = plain.join(coded_keys, key, "left_semi")
-    return kept, removed
+    coded = df.where(tx.truthy(code)).select(F.col(key).alias("_coded")).distinct()
+    out = df.join(coded, F.col(key) == F.col("_coded"), "left")
+    return out.withColumn("superseded", F.col("_coded").isNotNull() & ~F.coalesce(tx.truthy(code), F.lit(False))).drop(
+        "_coded")
+
+
+def split_superseded(df: DataFrame, code: str = "codigo_servir", key: str = "base_key"):
+    """(kept, removed) by ``with_superseded``."""
+    flagged = with_superseded(df, code, key)
+    return (flagged.where("not superseded").drop("superseded"), flagged.where("superseded").drop("superseded"))
 
 
 def remove_superseded(df: DataFrame, code: str = "codigo_servir", key: str = "base_key") -> DataFrame:
@@ -66,27 +76,33 @@ def remove_expired(df: DataFrame, as_of, end_col: str = "fecha_fin") -> DataFram
     return split_expired(df, as_of, end_col)[0]
 
 
-def run_summary(before: DataFrame, after: DataFrame, expired: DataFrame, merged: DataFrame,
-                documents: DataFrame | None = None) -> DataFrame:
+def run_summary(rows: DataFrame, n_before: str = "n_before", base_key: str = "base_key",
+                code: str = "codigo_servir", open_col: str = "open", document: str | None = None) -> DataFrame:
     """One row: before, after, new (= after - before, may be negative), expired, merged, documents.
 
-    A single aggregation over a tagged union (no cross join of one-row frames).
+    ``rows`` is the upsert result; ``n_before`` says how many previous rows went
+    into each.  Rows without a code whose base key has a coded row are merged;
+    of the rest those that are not open are expired.  Two aggregations, by base
+    key and over all: no branch is computed twice.
     """
-    parts = [before.select(F.lit("before").alias("t")), after.select(F.lit("after").alias("t")),
-             expired.select(F.lit("expired").alias("t")), merged.select(F.lit("merged").alias("t"))]
-    if documents is not None:
-        parts.append(documents.select(F.lit("documents").alias("t")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    t = F.col("t")
-    out = u.agg(
-        F.count_if(t == "before").alias("n_before"),
-        F.count_if(t == "after").alias("n_after"),
-        F.count_if(t == "expired").alias("n_expired"),
-        F.count_if(t == "merged").alias("n_merged"),
-        F.count_if(t == "documents").alias("n_documents"),
-    )
+    coded = tx.truthy(code)
+    has = F.lit(False) if document is None else tx.truthy(document)
+
+    def n(cond):
+        return F.count_if(cond)
+
+    keys = rows.groupBy(base_key).agg(
+        F.sum(n_before).alias("b"), n(coded).alias("coded"), n(~coded).alias("plain"),
+        n(coded & F.col(open_col)).alias("coded_open"), n(~coded & F.col(open_col)).alias("plain_open"),
+        n(coded & F.col(open_col) & has).alias("coded_docs"), n(~coded & F.col(open_col) & has).alias("plain_docs"))
+    kept = F.when(F.col("coded") > 0, 0).otherwise(1)
+    out = keys.agg(
+        F.sum("b").alias("n_before"),
+        F.sum(F.col("coded_open") + kept * F.col("plain_open")).alias("n_after"),
+        F.sum(F.col("coded") - F.col("coded_open") + kept * (F.col("plain") - F.col("plain_open"))).alias("n_expired"),
+        F.sum((1 - kept) * F.col("plain")).alias("n_merged"),
+        F.sum(F.col("coded_docs") + kept * F.col("plain_docs")).alias("n_documents"))
+    out = out.select(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in out.columns])
     return out.withColumn("n_new", F.col("n_after") - F.col("n_before"))
 
 
@@ -110,7 +126,3 @@ def budgeted_selection(df: DataFrame, order: list, budget: int, has_col: str = "
     (TakeOrderedAndProject: per-partition top-N, then a final merge of N rows).
     """
     return df.where(~F.col(has_col)).orderBy(*order).limit(budget)
-
-
-def position(*cols) -> Column:
-    return F.struct(*[F.col(c) for c in cols])

@@ -56,6 +56,10 @@ def message(df: DataFrame, site_url: str = "https://example.org") -> DataFrame:
 
 
 def outbox_rows(queue: DataFrame, as_of, site_url: str = "https://example.org") -> DataFrame:
-    """The re-aimed sink: (id, message, as_of, status) rows appended to an outbox table."""
-    return message(queue, site_url).select(
+    """The re-aimed sink: (id, message, as_of, status) rows of an outbox table.
+
+    A row that lacks a part of its message has none and is not published; the
+    audit reports it as ``missing_fields``.
+    """
+    return message(queue, site_url).where("message is not null").select(
         "id", "message", dt.as_date(as_of).alias("as_of"), F.lit("pending").alias("status"))

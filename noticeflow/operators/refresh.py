@@ -11,23 +11,20 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import dates as dt
-from .common import broadcast_if_small, lineage_pos
+from .common import lineage_pos
 from .dedupe import last_wins
 
 
 def source_fallback(prev: DataFrame, new: DataFrame, sources: DataFrame, source_col: str = "fuente") -> DataFrame:
     """Previous rows survive only for known sources that returned nothing now.
 
-    Rows of unknown sources in ``prev`` are dropped.  ``sources`` is the source
-    registry (bounded: one row per configured source), so both semi/anti joins
-    broadcast it; the set of sources that answered is aggregated from ``new``
-    and restricted to the registry before it is broadcast.
+    Rows of unknown sources in ``prev`` are dropped.  The sources that answered
+    are aggregated from ``new`` first; how the joins run is left to the planner,
+    which sees the sizes.
     """
-    known = sources.select(source_col).distinct()
-    answered = new.select(source_col).join(broadcast_if_small(known), source_col, "left_semi").distinct()
-    silent = known.join(broadcast_if_small(answered), source_col, "left_anti")
-    kept = prev.join(broadcast_if_small(silent), source_col, "left_semi")
-    return kept.unionByName(new, allowMissingColumns=True)
+    answered = new.select(source_col).distinct()
+    silent = sources.select(source_col).distinct().join(answered, source_col, "left_anti")
+    return prev.join(silent, source_col, "left_semi").unionByName(new, allowMissingColumns=True)
 
 
 def fresh(df: DataFrame, as_of, max_days: int = fv.MAX_AGE_DAYS, start_col: str = "fecha_inicio") -> DataFrame:
@@ -37,17 +34,24 @@ def fresh(df: DataFrame, as_of, max_days: int = fv.MAX_AGE_DAYS, start_col: str
 
 def refresh(prev: DataFrame, new: DataFrame, sources: DataFrame, as_of,
             max_days: int = fv.MAX_AGE_DAYS, url_col: str = "url_oficial") -> DataFrame:
-    """The full refresh of a multi-source snapshot (lineage columns required)."""
-    merged = source_fallback(prev, new, sources)
-    window = fresh(merged, as_of, max_days)
-    return last_wins(window, url_col, lineage_pos())
+    """The full refresh of a multi-source snapshot (lineage columns required).
+
+    Rows without a URL have no identity to be deduplicated by: they are left to
+    the audit (``rows_without_url``) and never merged with each other.
+    """
+    merged = source_fallback(prev, new, sources).where(F.col(url_col).isNotNull())
+    return last_wins(fresh(merged, as_of, max_days), url_col, lineage_pos())
+
+
+def rows_without_url(df: DataFrame, url_col: str = "url_oficial") -> DataFrame:
+    """The rows that a refresh sets aside, for the audit."""
+    return df.where(F.col(url_col).isNull())
 
 
 def source_status(sources: DataFrame, new: DataFrame, source_col: str = "fuente") -> DataFrame:
     """Per source: rows returned now and whether the previous rows were kept."""
     counts = new.groupBy(source_col).agg(F.count(F.lit(1)).alias("n_new"))
-    counts = counts.join(broadcast_if_small(sources.select(source_col)), source_col, "left_semi")
-    out = sources.join(broadcast_if_small(counts), source_col, "left")
+    out = sources.join(counts, source_col, "left")
     n = F.coalesce(F.col("n_new"), F.lit(0))
     return out.select(
         *sources.columns, n.alias("n_new"),

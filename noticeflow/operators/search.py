@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .common import broadcast_if_small
 
 # Two collations on purpose: search matches ñ with n (accent-insensitive),
 # the locale sort keeps ñ after n (Spanish, case- and accent-insensitive).
@@ -63,8 +62,7 @@ def section_visibility(df_with_visible: DataFrame, dim: DataFrame, section_col:
     """
     counts = (df_with_visible.groupBy(F.col(section_col).alias(dim_key))
               .agg(F.count_if("visible").alias("n_visible"), F.count(F.lit(1)).alias("n_rows")))
-    counts = counts.join(broadcast_if_small(dim.select(dim_key)), dim_key, "left_semi")
-    out = dim.join(broadcast_if_small(counts), dim_key, "left")
+    out = dim.join(counts, dim_key, "left")
     nv = F.coalesce(F.col("n_visible"), F.lit(0)).cast("bigint")
     nr = F.coalesce(F.col("n_rows"), F.lit(0)).cast("bigint")
     empty_selected = (nr == 0) & F.lit(not text and not saved_only) & (F.col(dim_key) == F.lit(district or ""))

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import fixed_values as fv
 from ..functions import text as tx
-from ..functions import urls as ur
-from .common import broadcast_if_small
 
 
 def location_parts(df: DataFrame, loc: str = "ubicacion", dept: str = "departamento",
@@ -40,38 +39,32 @@ def district_rows(listings: DataFrame, dim: DataFrame, label: str = "label",
                   dim_key: str = "district", title: str = "titulo", pos: str = "pos") -> DataFrame:
     """Listings of the dimension's districts, in section order then title (code-point) order.
 
-    Listings whose label is not in the dimension are not listed.  The dimension
-    is bounded and broadcast; the ordering is a global range-partitioned sort
-    (no window partitioned by district, so a hot district does not land in one task).
+    Listings whose label is not in the dimension are not listed.  The ordering
+    is a global range-partitioned sort (no window partitioned by district, so a
+    hot district does not land in one task).
     """
-    rows = listings.join(broadcast_if_small(dim), F.col(label) == F.col(dim_key))
-    return rows.orderBy("ord", title, pos)
+    return listings.join(dim, F.col(label) == F.col(dim_key)).orderBy("ord", title, pos)
 
 
 def district_counts(listings: DataFrame, dim: DataFrame, label: str = "label", dim_key: str = "district") -> DataFrame:
     """Every dimension row with its listing count (0 kept), plus the overall total.
 
-    Counts are aggregated first (partial aggregation), then restricted to the
-    dimension and left-joined *from* the dimension; the total counts every
-    listing, including those of districts outside the dimension.
+    One aggregation of the listings: the total, which also counts districts
+    outside the dimension, is a sum over the counts (one row per district).
     """
-    counts = listings.groupBy(F.col(label).alias(dim_key)).agg(F.count(F.lit(1)).alias("n_listings"))
-    counts = counts.join(broadcast_if_small(dim.select(dim_key)), dim_key, "left_semi")
-    total = listings.select(F.count(F.lit(1))).scalar()
-    out = dim.join(broadcast_if_small(counts), dim_key, "left")
-    return out.select(
-        *dim.columns,
-        F.coalesce(F.col("n_listings"), F.lit(0)).cast("bigint").alias("n_listings"),
-        total.alias("total_listings"),
-    ).withColumn("visible", F.col("n_listings") > 0)
+    counts = listings.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("n_listings"))
+    both = dim.withColumn("_in", F.lit(True)).join(counts, F.col(dim_key) == F.col("_label"), "full_outer")
+    n = F.coalesce(F.col("n_listings"), F.lit(0)).cast("bigint")
+    total = F.sum(n).over(Window.partitionBy())
+    out = both.select("*", total.alias("total_listings")).where("_in")
+    return out.select(*dim.columns, n.alias("n_listings"), "total_listings", (n > 0).alias("visible"))
 
 
 def facets(df: DataFrame, columns) -> DataFrame:
-    """Distinct non-empty values per column, sorted: (facet, value)."""
-    out = None
-    for c in columns:
-        part = df.select(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")).where(tx.truthy("value"))
-        out = part if out is None else out.unionByName(part)
+    """Distinct non-empty values per column, sorted: (facet, value); one pass over the rows."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value"))
+                                for c in columns]))
+    out = df.select(pairs.alias("p")).select("p.facet", "p.value").where(tx.truthy("value"))
     return out.distinct().orderBy("facet", "value")
 
 
@@ -89,7 +82,7 @@ def _opt(df: DataFrame, c: str) -> Column:
     return F.col(c) if c in df.columns else F.lit(None).cast("string")
 
 
-def index_cards(df: DataFrame) -> DataFrame:
+def index_cards(df: DataFrame, *keep: str) -> DataFrame:
     """Index-card projection (id, title, entity, location parts, vacancies, code, badge, profile, file)."""
     lp = location_parts(df) if "loc_department" not in df.columns else df
     return lp.select(
@@ -97,7 +90,7 @@ def index_cards(df: DataFrame) -> DataFrame:
         F.when(tx.truthy(_opt(lp, "codigo_servir")), _opt(lp, "codigo_servir")).alias("code"),
         F.coalesce(_opt(lp, "fuente"), F.lit(fv.DEFAULT_SOURCE_BADGE)).alias("source_badge"),
         F.nullif(tx.py_strip(F.coalesce(_opt(lp, "formacion_academica"), F.lit(""))), F.lit("")).alias("profile"),
-        tx.file_name("id", "titulo").alias("file_name"),
+        tx.file_name("id", "titulo").alias("file_name"), *keep,
     )
 
 
@@ -138,7 +131,3 @@ def with_listing_columns(df: DataFrame) -> DataFrame:
     return (out.withColumn("fuente", F.coalesce("fuente", F.lit(fv.SOURCE_OFFICIAL)))
             .withColumn("url_oficial", F.coalesce("url_oficial", F.lit(fv.OFFICIAL_URL)))
             .withColumn("id", tx.stable_id("entidad", "numero_convocatoria", "titulo", "ubicacion", code)))
-
-
-def valid_document_links(links: Column) -> Column:
-    return F.filter(links, lambda x: tx.truthy(x["url"]) & ur.is_valid_application(x["url"]))

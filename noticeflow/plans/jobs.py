@@ -17,13 +17,15 @@ from .. import schema as sc
 from ..functions import dates as dt
 from ..functions import text as tx
 from ..operators import audit as au
+from ..operators import extract as ex
 from ..operators import merge as mg
 from ..operators import outbox as ob
 from ..operators import portals as pt
 from ..operators import refresh as rf
+from ..operators import search as se
 from ..operators import views as vw
 from ..session import materialize
-from ..sources import files as fs  # noqa: F401  (snapshot/ledger readers for callers)
+from ..sources import files as fs
 
 
 def _run_dir(root: str, as_of) -> str:
@@ -31,26 +33,24 @@ def _run_dir(root: str, as_of) -> str:
 
 
 def write_snapshot(df: DataFrame, root: str, as_of, partition_by: str | None = "fuente") -> str:
-    """SNK-1: a new versioned snapshot directory, only when the result has rows."""
-    rf.require_rows(df)
+    """SNK-1: a new versioned snapshot directory; the plan runs once.
+
+    The rows are written first and counted in what was written; an empty result
+    is refused before anyone is given its path.
+    """
     path = _run_dir(root, as_of)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
+    rf.require_rows(df.sparkSession.read.schema(df.schema).parquet(path))
     return path
 
 
-def export_json(df: DataFrame, path: str) -> None:
-    """JSON export of a snapshot (line-delimited, one file per partition)."""
-    df.write.mode("overwrite").json(path)
-
-
 def refresh_job(spark: SparkSession, prev: DataFrame, pages: DataFrame, as_of, out_root: str) -> dict:
     """Pages -> portal listings -> fallback / freshness / last-wins -> versioned snapshot."""
-    # Materialized once (reliable checkpoint in the shared folder): the refresh
-    # runs several size-checked joins over it, and each would otherwise re-plan
-    # and re-run the extraction.
+    # Saved once (reliable checkpoint in the shared folder): the refresh and the
+    # status both read it, and each would otherwise run the extraction again.
     new = materialize(pt.all_portal_listings(pages, as_of))
     sources = sc.sources_df(spark)
     snap = rf.refresh(prev, new, sources, as_of).drop("first_pos")
@@ -60,37 +60,41 @@ def refresh_job(spark: SparkSession, prev: DataFrame, pages: DataFrame, as_of, o
 
 
 def upsert_job(spark: SparkSession, prev: DataFrame, texts: DataFrame, as_of, out_root: str,
-               details: DataFrame | None = None) -> dict:
+               details: DataFrame | None = None, crawl: DataFrame | None = None) -> dict:
     """Official-portal text pages -> records -> carry-forward upsert -> superseded -> expiry -> snapshot + summary.
 
     ``prev`` carries ``pos`` below every new row (e.g. -1); ``texts`` is (page_id, text);
-    ``details`` optionally (id, detail columns...) joined onto the new records.
+    ``details`` optionally (numero_convocatoria, detail columns...), joined before the id is
+    made; ``crawl`` optionally the result of ``crawl_completeness``: an incomplete one aborts.
     """
-    recs = mg.with_base_key(vw.with_listing_columns(fs_text_records(texts)))
-    new = recs.withColumn("pos", F.struct(F.lit(0).alias("b"), F.col("page_id").alias("p"), F.col("card_pos").alias("c")))
+    if crawl is not None and not crawl.where("not complete").isEmpty():
+        raise rf.EmptyResult("the crawl is incomplete: the previous snapshot is kept")
+    recs = ex.text_records(texts)
     if details is not None:
-        new = new.join(details, "id", "left")
+        # Details come before the id: a service code found there is part of it.
+        recs = recs.join(details, "numero_convocatoria", "left")
+    recs = materialize(mg.with_base_key(vw.with_listing_columns(recs)))
+    rf.require_rows(recs, "no records in the crawl: the previous snapshot is kept")
+    new = recs.withColumn("pos", F.struct(F.lit(0).alias("b"), F.col("page_id").alias("p"), F.col("card_pos").alias("c")))
     old = mg.with_base_key(vw.with_listing_columns(prev)).withColumn(
         "pos", F.struct(F.lit(-1).alias("b"), F.lit(0).cast("bigint").alias("p"), F.lit(0).alias("c")))
-    up = mg.carry_forward_upsert(old, new, key="id", pos="pos")
-    kept, merged = mg.split_superseded(up)
-    after, expired = mg.split_expired(kept, as_of)
-    path = write_snapshot(after.drop("pos", "base_key", "page_id", "card_pos"), out_root, as_of)
-    summary = mg.run_summary(prev, after, expired, merged)
+    both = mg.carry_forward_upsert(old, new, key="id", pos="pos")
+    up = materialize(mg.with_superseded(both).withColumn("open", dt.not_expired(F.col("fecha_fin"), as_of)))
+    after = up.where("not superseded and open")
+    path = write_snapshot(after.drop("pos", "base_key", "page_id", "card_pos", "superseded", "open"), out_root, as_of)
+    known = old.select("id").distinct().withColumn("n_before", F.lit(1))
+    summary = mg.run_summary(up.join(known, "id", "left").fillna(0, ["n_before"]), document="archivo_oficial"
+                             if "archivo_oficial" in up.columns else None)
     return {"snapshot": path, "summary": summary}
 
 
-def fs_text_records(texts: DataFrame) -> DataFrame:
-    from ..operators import extract as ex
-    return ex.text_records(texts)
-
-
 def serve_job(spark: SparkSession, snapshot: DataFrame, out_root: str, as_of) -> dict:
     """SNK-3: index and detail view tables partitioned by district, plus counts and facets."""
     lst = vw.with_listing_columns(snapshot)
     labelled = vw.location_parts(lst).withColumn("label", vw.group_label())
     dim = sc.districts_df(spark)
-    cards = vw.index_cards(labelled).join(labelled.select("id", "label").dropDuplicates(["id"]), "id")
+    # The label travels with the card; districts outside the dimension have no section.
+    cards = vw.index_cards(labelled, "label").join(dim.select(F.col("district").alias("label")), "label", "left_semi")
     base = _run_dir(out_root, as_of)
     cards.write.mode("overwrite").partitionBy("label").parquet(base + "/index_view")
     vw.detail_view(lst, keep=("id", "distrito")).write.mode("overwrite").partitionBy("distrito").parquet(base + "/detail_view")
@@ -99,25 +103,38 @@ def serve_job(spark: SparkSession, snapshot: DataFrame, out_root: str, as_of) ->
     return {"root": base}
 
 
-def publish_job(spark: SparkSession, snapshot: DataFrame, ledger: DataFrame, as_of, outbox_root: str,
-                limit: int = fv.PUBLISH_LIMIT, site_url: str = "https://example.org") -> DataFrame:
-    """SNK-2 (re-aimed): append the newest pending rows to an outbox table; the ledger is the outbox itself."""
-    lst = vw.with_listing_columns(snapshot)
-    if "pos" not in lst.columns:
-        lst = lst.withColumn("pos", F.monotonically_increasing_id())
-    queue = ob.pending(lst, ledger, as_of, limit)
-    rows = ob.outbox_rows(queue, as_of, site_url)
-    rows.write.mode("append").parquet(outbox_root)
+def publish_job(spark: SparkSession, snapshot: DataFrame, ledger_path: str, as_of, outbox_root: str,
+                limit: int = fv.PUBLISH_LIMIT, site_url: str = "https://example.org", pos: str = "pos") -> DataFrame:
+    """SNK-2 (re-aimed): the newest pending rows become one outbox run, and their ids go into the ledger.
+
+    A run directory is rewritten, not appended to, so a repeated run leaves one
+    copy; ``snapshot`` carries its row order in ``pos``.
+    """
+    ledger = fs.read_ledger(spark, ledger_path, "parquet")
+    queue = ob.pending(vw.with_listing_columns(snapshot), ledger, as_of, limit, pos=pos)
+    path = _run_dir(outbox_root, as_of)
+    ob.outbox_rows(queue, as_of, site_url).write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path)
+    known = materialize(se.ledger_add(ledger, rows.select(F.col("id").alias("token"))))
+    fs.write_ledger(known, ledger_path)
     return rows
 
 
+def mark_status(outbox: DataFrame, results: DataFrame) -> DataFrame:
+    """Outbox rows with the status (sent, failed) that a sender reported by id; others stay pending."""
+    r = results.select("id", F.col("status").alias("_status"))
+    return outbox.join(r, "id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
+class AuditFailed(RuntimeError):
+    pass
+
+
 def audit_job(spark: SparkSession, snapshot: DataFrame, detail_dir: str | None, as_of,
-              documents_dir: str | None = None) -> DataFrame:
-    """AUD-1..3 + JN-7: all violations; raises when any is found (the caller keeps the old site)."""
+              documents_dir: str | None = None, strict: bool = False) -> DataFrame:
+    """AUD-1..3 + JN-7: all violations; ``strict`` raises when any is found (the caller keeps the old site)."""
     rf.require_rows(snapshot, "empty snapshot: nothing to publish")
     lst = vw.with_listing_columns(snapshot)
-    if "pos" not in lst.columns:
-        lst = lst.withColumn("pos", F.monotonically_increasing_id() + 1)
     out = au.row_violations(lst, as_of)
     if detail_dir:
         gen = fs.file_inventory(spark, detail_dir, "*.html", with_content=True).select(
@@ -130,4 +147,7 @@ def audit_job(spark: SparkSession, snapshot: DataFrame, detail_dir: str | None,
             F.lit(None).cast(out.schema["pos"].dataType).alias("pos"), F.lit(None).cast("string").alias("id"),
             F.lit("obsolete_file").alias("rule"), F.col("name").alias("detail"))
         out = out.unionByName(obsolete)
-    return out.withColumn("as_of", dt.as_date(as_of))
+    out = out.withColumn("as_of", dt.as_date(as_of))
+    if strict and not out.isEmpty():
+        raise AuditFailed("the snapshot breaks rules: the previous site is kept")
+    return out

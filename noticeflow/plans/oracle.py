@@ -256,12 +256,13 @@ FROM p WHERE closes_on IS NULL OR closes_on >= DATE '{tq.EXPIRY_AS_OF}'"""
 
 
 def _q_first_match_label():
+    terms = ", ".join(f"({i}, {lit(t)})" for i, t in enumerate(tq.DOC_TERMS))
     return f"""
-WITH t AS (SELECT c.c_custkey, {K("concat_ws(' ', c.c_mktsegment, n.n_name)")} AS k
-           FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
-m AS (SELECT t.c_custkey, arg_min(d.n_name, d.n_nationkey) AS label
-      FROM t JOIN nation d ON contains(t.k, {K('d.n_name')}) GROUP BY t.c_custkey)
-SELECT t.c_custkey, COALESCE(m.label, '') AS label FROM t LEFT JOIN m ON t.c_custkey = m.c_custkey"""
+WITH t AS (SELECT doc_id, {K('text')} AS k FROM documents),
+d AS (SELECT * FROM (VALUES {terms}) v(ord, term)),
+m AS (SELECT t.doc_id, arg_min(d.term, d.ord) AS label
+      FROM t JOIN d ON contains(t.k, {K('d.term')}) GROUP BY t.doc_id)
+SELECT t.doc_id, COALESCE(m.label, '') AS label FROM t LEFT JOIN m ON t.doc_id = m.doc_id"""
 
 
 def _q_dedupe_last():
@@ -298,7 +299,7 @@ def _known():
 def _q_source_fallback():
     return f"""
 WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority AS fuente FROM orders),
-prev AS (SELECT o_orderkey, fuente, 'prev' AS origin FROM o WHERE o_orderstatus = 'F'),
+prev AS (SELECT o_orderkey, fuente, 'prev' AS origin FROM o WHERE o_orderstatus <> 'O'),
 new AS (SELECT o_orderkey, fuente, 'new' AS origin FROM o
         WHERE o_orderstatus = 'O' AND fuente IN ('1-URGENT', '3-MEDIUM', '5-LOW')),
 answered AS (SELECT DISTINCT fuente FROM new WHERE fuente IN (SELECT fuente FROM {_known()})),
@@ -309,12 +310,14 @@ SELECT * FROM prev WHERE fuente IN (SELECT fuente FROM silent) UNION ALL SELECT
 def _q_refresh_window():
     return f"""
 WITH o AS (SELECT o.o_orderkey, o.o_orderstatus, o.o_orderpriority AS fuente, {_dmy('o.o_orderdate')} AS fecha_inicio,
-                  'https://shop.example.com/c/' || CAST(o.o_custkey AS VARCHAR) AS url_oficial, s.src_ord
-           FROM orders o JOIN {_known()} s ON o.o_orderpriority = s.fuente),
-prev AS (SELECT * FROM o WHERE o_orderstatus = 'F'),
-new AS (SELECT * FROM o WHERE o_orderstatus = 'O' AND fuente IN ('1-URGENT', '3-MEDIUM')),
+                  CASE WHEN o.o_custkey % 50 <> 0 THEN 'https://shop.example.com/c/' || CAST(o.o_custkey AS VARCHAR) END
+                  AS url_oficial, coalesce(s.src_ord, 4) AS src_ord, s.fuente IS NOT NULL AS known
+           FROM orders o LEFT JOIN {_known()} s ON o.o_orderpriority = s.fuente),
+prev AS (SELECT * FROM o WHERE o_orderstatus <> 'O' AND known),
+new AS (SELECT * FROM o WHERE o_orderstatus = 'O' AND fuente IN ('1-URGENT', '3-MEDIUM', '5-LOW')),
 answered AS (SELECT DISTINCT fuente FROM new),
-u AS (SELECT * FROM prev WHERE fuente NOT IN (SELECT fuente FROM answered) UNION ALL SELECT * FROM new),
+u AS (SELECT * FROM (SELECT * FROM prev WHERE fuente NOT IN (SELECT fuente FROM answered) UNION ALL SELECT * FROM new)
+      WHERE url_oficial IS NOT NULL),
 w AS (SELECT *, CAST(src_ord AS BIGINT) * 1000000000000 + o_orderkey AS p FROM u
       WHERE date_diff('day', {DMYP('fecha_inicio')}, DATE '{tq.ORDERS_AS_OF}') BETWEEN 0 AND 7)
 SELECT url_oficial, arg_max(o_orderkey, p) AS o_orderkey, arg_max(fuente, p) AS fuente,
@@ -342,7 +345,7 @@ new AS (SELECT o_custkey AS id, o_orderkey AS pos,
                CAST(NULL AS VARCHAR) AS name, o_orderstatus AS status,
                strftime(CAST(o_orderdate AS DATE) + 10, '%d/%m/%Y') AS fecha_fin,
                CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'M' END AS code
-        FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'),
+        FROM orders),
 u AS (SELECT * FROM prev UNION ALL SELECT * FROM new),
 up AS (SELECT id, arg_max(segment, pos) FILTER (WHERE segment IS NOT NULL) AS segment,
               arg_max(nation, pos) FILTER (WHERE nation IS NOT NULL) AS nation,
@@ -358,7 +361,7 @@ def _q_carry_forward():
 def _q_superseded():
     return f"""
 WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN CAST(l_linenumber AS VARCHAR) END AS code,
-                  {BASE("''", 'CAST(l_orderkey AS VARCHAR)', 'l_linestatus', "''")} AS base_key FROM lineitem),
+                  {BASE("'S' || CAST(l_suppkey % 2 AS VARCHAR)", 'CAST(l_orderkey AS VARCHAR)', 'l_linestatus', 'CAST(year(l_shipdate) AS VARCHAR)')} AS base_key FROM lineitem),
 coded AS (SELECT DISTINCT base_key FROM t WHERE code IS NOT NULL AND code <> '')
 SELECT l_orderkey, l_linenumber, (code IS NOT NULL AND code <> '') AS has_code FROM t
 WHERE (code IS NOT NULL AND code <> '') OR base_key NOT IN (SELECT base_key FROM coded)"""
@@ -377,7 +380,7 @@ aft AS (SELECT * FROM kept WHERE close IS NULL OR close >= DATE '{tq.OUTBOX_AS_O
 SELECT (SELECT count(*) FROM prev) AS n_before, (SELECT count(*) FROM aft) AS n_after,
        (SELECT count(*) FROM aft) - (SELECT count(*) FROM prev) AS n_new,
        (SELECT count(*) FROM expd) AS n_expired, (SELECT count(*) FROM merged) AS n_merged,
-       CAST(0 AS BIGINT) AS n_documents"""
+       (SELECT count(*) FROM aft WHERE coalesce(nation, '') <> '') AS n_documents"""
 
 
 def _q_budget_selection():
@@ -536,8 +539,9 @@ FROM dim LEFT JOIN c ON dim.source = c.source"""
 
 
 def _q_collated_rank():
-    return """
-SELECT p_partkey, row_number() OVER (ORDER BY lower(strip_accents(p_name)), p_partkey) AS row_no FROM part"""
+    # Spanish base letters: n-tilde is a letter after n, every other accent is dropped
+    word = "replace(strip_accents(replace(lower(regexp_extract(coalesce(text, ''), '\\p{L}+', 0)), 'ñ', 'n~')), 'ß', 'ss')"
+    return f"SELECT doc_id, row_number() OVER (ORDER BY {word}, doc_id) AS row_no FROM documents"
 
 
 def _q_saved_toggle():
@@ -613,23 +617,25 @@ SELECT (SELECT count(*) FROM obs) AS n_obsolete,
 
 def _q_block_pages():
     return f"""
-SELECT {HOST('url')} AS host, count(*) AS n_pages,
-       count_if(contains(lower(html), 'captcha') OR contains(lower(html), 'robot')) AS n_blocked
-FROM pages GROUP BY 1"""
+SELECT host, count(*) AS n_pages,
+       count_if(CASE WHEN host LIKE '%com' THEN contains(h, 'captcha') WHEN host LIKE '%org' THEN contains(h, 'robot')
+                     WHEN host LIKE '%net' THEN contains(h, 'track') ELSE false END) AS n_blocked
+FROM (SELECT {HOST('url')} AS host, lower(html) AS h FROM pages) GROUP BY 1"""
 
 
 def _q_nested_links():
-    pat = "<a\\s[^>]*href=\"([^\"]*)\"[^>]*>([^<]*)"
     join = (f"CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href "
             f"WHEN starts_with(href, '//') THEN {SCHEME('base')} || ':' || href "
             f"WHEN starts_with(href, '/') THEN {SCHEME('base')} || '://' || {NETLOC('base')} || href "
             f"ELSE {SCHEME('base')} || '://' || {NETLOC('base')} || regexp_replace({PATH('base')}, '[^/]*$', '') || href END")
     doc_words = " OR ".join(f"contains(lt, '{w}')" for w in fv.DOC_WORDS)
     return f"""
-WITH l AS (SELECT page_id, url AS base, regexp_extract_all(coalesce(html, ''), '{pat}', 1) AS hrefs,
-                  regexp_extract_all(coalesce(html, ''), '{pat}', 2) AS texts FROM pages),
-x AS (SELECT page_id, base, unnest(hrefs) AS href, unnest(texts) AS txt,
-             unnest(generate_series(0, len(hrefs) - 1)) AS pos FROM l),
+WITH l AS (SELECT page_id, url AS base, list_filter(string_split(
+                    regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g'), '<a ')[2:],
+                    lambda s: contains(split_part(s, '>', 1), 'href="') AND contains(s, '</a>')) AS parts FROM pages),
+w AS (SELECT page_id, base, unnest(parts) AS part, unnest(generate_series(0, len(parts) - 1)) AS pos FROM l),
+x AS (SELECT page_id, base, pos, split_part(split_part(part, 'href="', 2), '"', 1) AS href,
+             regexp_replace(substr(split_part(part, '</a>', 1), instr(part, '>') + 1), '<[^>]*>', '', 'g') AS txt FROM w),
 y AS (SELECT page_id, pos, u AS url, t AS text, lower(u || ' ' || t) AS lt
       FROM (SELECT page_id, pos, {join} AS u, {PYSTRIP('txt')} AS t FROM x)),
 z AS (SELECT page_id, pos, url, {HTTP('url')} AND NOT ends_with({HOST('url')}, '{fv.OFFICIAL_HOST_SUFFIX}') AS eligible,

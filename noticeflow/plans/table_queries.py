@@ -58,7 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _s(c) -> F.Column:
-    return F.col(c).cast("string")
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
 def _dmy(c) -> F.Column:
@@ -77,26 +77,25 @@ def _customer_listing(spark, sf) -> DataFrame:
     c = table(spark, sf, "customer")
     n = table(spark, sf, "nation")
     r = table(spark, sf, "region")
-    dims = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
-    return c.join(cm.broadcast_if_small(dims), c.c_nationkey == dims.n_nationkey)
+    dims = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
+    return c.join(dims, c.c_nationkey == dims.n_nationkey)
 
 
 def stable_id(spark, sf):
     c = _customer_listing(spark, sf)
     code = (F.when(F.col("c_acctbal") < 0, F.concat(F.lit("N"), _s("c_nationkey")))
             .when(F.col("c_acctbal") < 1000, F.lit("")))
-    ident = tx.stable_id("c_name", "c_mktsegment", "n_name", "r_name", code)
-    return c.select(
-        "c_custkey", ident.alias("id"),
-        tx.base_key("c_name", "c_mktsegment", "n_name", "r_name").alias("base_key"),
-        tx.file_name(ident, "c_name").alias("file_name"))
+    named = tx.identity("c_name", "c_mktsegment", F.col("n_name"), "r_name", code)
+    # the file name takes the title's key, so the title comes third
+    out = c.select("c_custkey", named.alias("n"), tx.file_name(named["id"], "c_name").alias("file_name"))
+    return out.select("c_custkey", "n.id", "n.base_key", "file_name")
 
 
 def slug_name(spark, sf):
     p = table(spark, sf, "part")
-    ident = tx.stable_id("p_brand", _s("p_partkey"), "p_name", "p_type")
-    return p.select("p_partkey", tx.slugify("p_name").alias("slug"), ident.alias("id"),
-                    tx.file_name(ident, "p_name").alias("file_name"))
+    named = tx.identity("p_brand", _s("p_partkey"), "p_name", "p_type")
+    return p.select("p_partkey", tx.slugify("p_name").alias("slug"), named.alias("n")).select(
+        "p_partkey", "slug", "n.id", "n.file_name")
 
 
 def doc_slug(spark, sf):
@@ -187,15 +186,15 @@ def expiry(spark, sf):
                        dt.still_open("fecha_fin", EXPIRY_AS_OF).alias("still_open"))
 
 
+# Ordered terms looked for in the documents: accents, case, overlap, one that is never there.
+DOC_TERMS = ("LICENSED UNDER", "étion", "CIÓN", "Erlich", "worthless", "the th", "réé", "ß", "nowhere to be found", "the")
+
+
 def first_match_label(spark, sf):
-    c = table(spark, sf, "customer")
-    n = table(spark, sf, "nation")
-    named = c.join(F.broadcast(n.select("n_nationkey", "n_name")), c.c_nationkey == n.n_nationkey)
-    txt = F.concat_ws(" ", "c_mktsegment", "n_name")
-    labelled = mt.first_match(named.select("c_custkey", txt.alias("text")), "text",
-                              n.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("term")),
-                              "ord", "term", out="label")
-    return labelled.select("c_custkey", "label")
+    d = table(spark, sf, "documents")
+    terms = spark.createDataFrame(list(enumerate(DOC_TERMS)), "ord int, term string")
+    return mt.first_match(d.select("doc_id", "text"), "text", terms, "ord", "term", out="label").select(
+        "doc_id", "label")
 
 
 # ----------------------------------------------------------------- dedupe / top-k
@@ -233,7 +232,8 @@ def _orders_as_listings(spark, sf) -> DataFrame:
     return o.select(
         "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderpriority").alias("fuente"),
         _dmy("o_orderdate").alias("fecha_inicio"),
-        F.concat(F.lit("https://shop.example.com/c/"), _s("o_custkey")).alias("url_oficial"))
+        F.when(F.col("o_custkey") % 50 != 0, F.concat(F.lit("https://shop.example.com/c/"), _s("o_custkey")))
+        .alias("url_oficial"))
 
 
 def _sources(spark) -> DataFrame:
@@ -242,7 +242,7 @@ def _sources(spark) -> DataFrame:
 
 def source_fallback(spark, sf):
     o = _orders_as_listings(spark, sf)
-    prev = o.where(F.col("o_orderstatus") == "F").withColumn("origin", F.lit("prev"))
+    prev = o.where(F.col("o_orderstatus") != "O").withColumn("origin", F.lit("prev"))
     new = (o.where((F.col("o_orderstatus") == "O") & F.col("fuente").isin("1-URGENT", "3-MEDIUM", "5-LOW"))
            .withColumn("origin", F.lit("new")))
     out = rf.source_fallback(prev, new, _sources(spark))
@@ -252,11 +252,12 @@ def source_fallback(spark, sf):
 def refresh_window(spark, sf):
     o = _orders_as_listings(spark, sf)
     src = _sources(spark)
-    lin = o.join(F.broadcast(src), "fuente").select(
-        "fuente", "fecha_inicio", "url_oficial", "o_orderkey", "o_orderstatus", "src_ord",
+    lin = o.join(src, "fuente", "left").select(
+        "fuente", "fecha_inicio", "url_oficial", "o_orderkey", "o_orderstatus",
+        F.coalesce("src_ord", F.lit(len(KNOWN_SOURCES))).alias("src_ord"),
         F.col("o_orderkey").alias("page_id"), F.lit(0).alias("card_pos"))
-    prev = lin.where(F.col("o_orderstatus") == "F")
-    new = lin.where((F.col("o_orderstatus") == "O") & F.col("fuente").isin("1-URGENT", "3-MEDIUM"))
+    prev = lin.where(F.col("o_orderstatus") != "O")
+    new = lin.where((F.col("o_orderstatus") == "O") & F.col("fuente").isin("1-URGENT", "3-MEDIUM", "5-LOW"))
     out = rf.refresh(prev, new, src, ORDERS_AS_OF)
     return out.select("url_oficial", "o_orderkey", "fuente", "fecha_inicio",
                       F.col("first_pos.s").cast("bigint").alias("first_src_ord"),
@@ -279,7 +280,7 @@ def _upsert_inputs(spark, sf):
         F.col("c_mktsegment").alias("segment"), _s("c_nationkey").alias("nation"),
         F.col("c_name").alias("name"), F.lit(None).cast("string").alias("status"),
         F.lit(None).cast("string").alias("fecha_fin"), F.lit(None).cast("string").alias("code"))
-    new = o.where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz")).select(
+    new = o.select(
         F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("pos"),
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("URGENT-SEG"))
         .when(F.col("o_orderpriority") == "2-HIGH", F.lit("")).alias("segment"),
@@ -303,18 +304,18 @@ def superseded(spark, sf):
     li = table(spark, sf, "lineitem")
     code = F.when(F.col("l_returnflag") == "R", _s("l_linenumber"))
     rows = li.select("l_orderkey", "l_linenumber", code.alias("codigo_servir"),
-                     tx.base_key(F.lit(""), _s("l_orderkey"), "l_linestatus", F.lit("")).alias("base_key"))
+                     tx.base_key(F.concat(F.lit("S"), _s(F.col("l_suppkey") % 2)), _s("l_orderkey"), "l_linestatus",
+                                 _s(F.year("l_shipdate"))).alias("base_key"))
     kept = mg.remove_superseded(rows)
     return kept.select("l_orderkey", "l_linenumber", tx.truthy("codigo_servir").alias("has_code"))
 
 
 def run_summary(spark, sf):
     prev, new = _upsert_inputs(spark, sf)
-    up = mg.carry_forward_upsert(prev, new, key="id", pos="pos", carried=CARRIED_TEST)
-    up = up.withColumn("base_key", tx.text_key("segment"))
-    kept, merged = mg.split_superseded(up, code="code", key="base_key")
-    after, expired = mg.split_expired(kept, OUTBOX_AS_OF)
-    s = mg.run_summary(prev, after, expired, merged)
+    up = mg.carry_forward_upsert(prev, new, key="id", pos="pos", carried=CARRIED_TEST, count_below=(0, "n_before"))
+    up = up.withColumn("base_key", tx.text_key("segment")).withColumn(
+        "open", dt.not_expired(F.col("fecha_fin"), OUTBOX_AS_OF))
+    s = mg.run_summary(up, code="code", document="nation")
     return s.select("n_before", "n_after", "n_new", "n_expired", "n_merged", "n_documents")
 
 
@@ -362,7 +363,7 @@ def fresh_by_nation(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf, "nation")
     lst = (fresh.join(c, fresh.o_custkey == c.c_custkey)
-           .join(F.broadcast(n.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+           .join(n.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
            .select(F.col("n_name").alias("label")))
     out = vw.district_counts(lst, _nation_dim(spark, sf))
     return out.select("ord", "district", "n_listings", "total_listings", "visible")
@@ -399,7 +400,8 @@ def _order_details(spark, sf) -> DataFrame:
         F.when(pr == "4-NOT SPECIFIED", F.lit("https://share.google/IovzweaQemtlVGF9i"))
         .when(pr == "5-LOW", F.lit("https://www.gob.pe/x")).alias("url_consulta"),
         F.when(pr == "1-URGENT", _s("o_custkey")).alias("codigo_servir"),
-    ).withColumn("id", tx.stable_id("entidad", "numero_convocatoria", "titulo", "ubicacion", F.col("codigo_servir")))
+    ).withColumn("_n", tx.identity("entidad", "numero_convocatoria", "titulo", "ubicacion", "codigo_servir")).select(
+        "*", "_n.id", "_n.file_name").drop("_n")
 
 
 def display_fields(spark, sf):
@@ -452,9 +454,9 @@ def search_sections(spark, sf):
 
 
 def collated_rank(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_name")
-    out = cm.global_row_number(p, [F.collate(F.col("p_name"), se.SORT_COLLATION), F.col("p_partkey")])
-    return out.select("p_partkey", "row_no")
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", r"\p{L}+", 0).alias("word"))
+    out = cm.global_row_number(d, [F.collate(F.col("word"), se.SORT_COLLATION), F.col("doc_id")])
+    return out.select("doc_id", F.col("row_no").cast("bigint").alias("row_no"))
 
 
 def saved_toggle(spark, sf):
@@ -489,7 +491,9 @@ def _audit_input(spark, sf) -> DataFrame:
         F.when(st == "P", F.lit("sin fecha")).otherwise(_dmy("o_orderdate")).alias("fecha_inicio"),
         F.date_format(F.date_add(F.to_date("o_orderdate"), 7), "dd/MM/yyyy").alias("fecha_fin"),
         fuente.alias("fuente"), url.alias("url_oficial"), app.alias("url_postulacion"))
-    return rows.withColumn("id", tx.stable_id("entidad", "numero_convocatoria", "titulo", "ubicacion"))
+    ident = rows.withColumn("id", tx.stable_id("entidad", "numero_convocatoria", "titulo", "ubicacion"))
+    # Saved once: the row rules, the first positions and the join back all read it.
+    return materialize(ident)
 
 
 def audit_violations(spark, sf):
@@ -515,11 +519,9 @@ def obsolete_report(spark, sf):
 
 
 def block_pages(spark, sf):
-    p = table(spark, sf, "pages")
-    h = F.lower(F.col("html"))
-    return (p.groupBy(ur.host("url").alias("host"))
-            .agg(F.count(F.lit(1)).alias("n_pages"),
-                 F.count_if(tx.contains_any(h, ("captcha", "robot"))).alias("n_blocked")))
+    p = table(spark, sf, "pages").select(ur.host("url").alias("host"), "html")
+    words = [("com", "captcha"), ("org", "robot"), ("net", "track")]
+    return ex.blocked_pages(p, "host", "html", words)
 
 
 def nested_links(spark, sf):

@@ -7,8 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings that matter at scale; every one of them can be overridden by the
-# cluster's own spark-defaults (builder options only apply when unset there).
+# Settings that matter at scale.  They take precedence over spark-defaults;
+# pass ``extra`` to change them.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -43,12 +43,14 @@ def get_session(app: str = "noticeflow", master: str | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a private scratch folder is
-    created; on a cluster the setting is expected to point at shared storage.
+    Only when the setting is absent and the master is this machine (tests) a
+    private scratch folder is made; on a cluster an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="noticeflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -109,13 +109,21 @@ def asset_versions(names: DataFrame, files: DataFrame) -> DataFrame:
 def rename_plan(listings: DataFrame, docs: DataFrame, doc_col: str = "archivo_oficial") -> DataFrame:
     """Listings whose stored document has a temporary suffix get a corrected path (no renaming on disk).
 
-    ``docs``: (path, name, ext, doc_ext) from ``fingerprints``; listing paths are
-    matched on their trailing path (relative paths are stored in listings).
+    ``docs``: (path, ext, doc_ext) from ``fingerprints``.  A listing stores a
+    path relative to some root, so a file matches when its path ends with it at
+    a folder boundary: both sides are joined on the bare name, then the tails
+    are compared, and each listing keeps one row.
     """
-    d = docs.select(F.col("name").alias("_n"), "doc_ext", F.col("ext").alias("_ext"))
-    lst = listings.withColumn("_n", F.regexp_extract(F.col(doc_col), r"([^/]*)$", 1))
-    j = lst.join(d, "_n", "left")
-    fix = (F.col("_ext") == ".tmp") & (F.col("doc_ext") != ".tmp")
-    corrected = F.concat(F.regexp_replace(F.col(doc_col), r"\.[^./]*$", ""), F.col("doc_ext"))
-    return j.withColumn("corrected", F.when(fix, corrected)).withColumn("renamed", F.coalesce(fix, F.lit(False))) \
-        .withColumn(doc_col, F.coalesce("corrected", F.col(doc_col))).drop("_n", "doc_ext", "_ext", "corrected")
+    name = r"([^/]*)$"
+    d = docs.select(F.regexp_extract("path", name, 1).alias("_n"), F.col("path").alias("_path"), "doc_ext",
+                    F.col("ext").alias("_ext"))
+    tail = F.regexp_replace(F.col(doc_col), r"^(\./|/)+", "")
+    fits = (F.col("_path") == tail) | F.col("_path").endswith(F.concat(F.lit("/"), tail))
+    found = listings.select(doc_col).where(tx.truthy(doc_col)).distinct().withColumn(
+        "_n", F.regexp_extract(F.col(doc_col), name, 1)).join(d, "_n").where(fits)
+    best = found.groupBy(doc_col).agg(F.min(F.struct(F.length("_path").alias("l"), "_path", "_ext", "doc_ext")).alias("b"))
+    j = listings.join(best, doc_col, "left")
+    fix = F.coalesce((F.col("b._ext") == ".tmp") & (F.col("b.doc_ext") != ".tmp"), F.lit(False))
+    corrected = F.concat(F.regexp_replace(F.col(doc_col), r"\.[^./]*$", ""), F.col("b.doc_ext"))
+    return j.select(*[F.when(fix, corrected).otherwise(F.col(c)).alias(c) if c == doc_col else F.col(c)
+                      for c in listings.columns], fix.alias("renamed"))
