@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import noticeflow.llm
 from noticeflow.session import ensure_checkpoint_dir
@@ -27,3 +30,16 @@ def saved(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def on_core(docs: DataFrame, core: tuple[str, ...], op: Callable[[DataFrame], DataFrame],
+            added: tuple[str, ...] = ()) -> DataFrame:
+    """``op`` on the ``core`` columns; all others travel packed in one column, so no name can clash.
+
+    Columns that ``op`` adds come last; a column of ``docs`` of such a name gives way.
+    """
+    rest = [c for c in docs.columns if c not in core]
+    packed = docs.select(*core, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest_")] if rest else []))
+    out = op(packed)
+    return out.select(*[F.col(c) if c in core else F.col("rest_").getField(c).alias(c)
+                        for c in docs.columns if c not in added], *added)

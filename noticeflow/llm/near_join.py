@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import partitions, saved
+from noticeflow.llm.common import on_core, partitions, saved
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -344,7 +344,10 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     near = near_join(docs.select("doc_id", "text"))
     kept = near.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key")))
     kept = kept.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text")).distinct()
-    rows = docs.withColumn("_key", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")),
-                     "left_semi")
-    return rows.dropDuplicates(["doc_id", "_key"]).drop("_key")
+
+    def pick(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_key", F.xxhash64("text"))
+        return rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (
+            F.col("_key") == F.col("_text")), "left_semi").dropDuplicates(["doc_id", "_key"])
+
+    return on_core(docs, ("doc_id", "text"), pick)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeflow.llm.common import partitions
+from noticeflow.llm.common import on_core, partitions
 from noticeflow.llm.suffixes import suffix_array
 
 SPAN = 50
@@ -437,6 +437,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     ``_kept`` is the kept text; bytes of a character that was cut are left out.
     """
+    return on_core(docs, (doc_id, text), lambda d: _without_repeats(d, doc_id, text), tuple(f.name for f in RESULT))
+
+
+def _without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     n = partitions(docs.sparkSession)
     plain = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))).withColumn(
         "_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_key", F.xxhash64("_id", "_text"))

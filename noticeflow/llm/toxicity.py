@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticeflow.llm.common import on_core
+
 DECAY = 0.6
 PAIR_WEIGHT = 0.5
 LANDMARKS = 320
@@ -406,6 +408,10 @@ def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "_toxicity") -> DataFrame:
     """``docs`` with the toxicity score of each whole text in the column ``out``."""
+    return on_core(docs, (text,), lambda d: _with_score(d, model, text, out), (out,))
+
+
+def _with_score(docs: DataFrame, model: Model, text: str, out: str) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
