@@ -51,15 +51,20 @@ def row_violations(df: DataFrame, as_of, pos: str = "pos", max_days: int = fv.MA
     per_row = df.select(pos, "id", F.explode(F.array_compact(rules)).alias("v"))
     out = per_row.select(pos, "id", "v.rule", "v.detail")
     if "enlaces_bases" in df.columns:
-        links = df.select(pos, "id", F.explode("enlaces_bases").alias("l"))
-        bad = links.where(~(tx.truthy(F.col("l.url")) & ur.is_valid_application(F.col("l.url"))))
-        out = out.unionByName(bad.select(pos, "id", F.lit("invalid_document_link").alias("rule"),
-                                         F.coalesce(F.col("l.url"), F.lit("")).alias("detail")))
+        out = out.unionByName(link_violations(df, pos))
     dups = duplicate_rows(df.select(pos, "id"), "id", F.col(pos))
     out = out.unionByName(dups.select(pos, "id", F.lit("duplicate_id").alias("rule"), F.col("id").alias("detail")))
     return out
 
 
+def link_violations(df: DataFrame, pos: str = "pos", links: str = "enlaces_bases") -> DataFrame:
+    """Document links that are empty or not a valid application address."""
+    each = df.select(pos, "id", F.explode(links).alias("l"))
+    bad = each.where(~(tx.truthy(F.col("l.url")) & ur.is_valid_application(F.col("l.url"))))
+    return bad.select(pos, "id", F.lit("invalid_document_link").alias("rule"),
+                      F.coalesce(F.col("l.url"), F.lit("")).alias("detail"))
+
+
 def file_violations(df: DataFrame, generated: DataFrame, documents: DataFrame | None = None,
                     pos: str = "pos") -> DataFrame:
     """File rules.  ``generated``: (name, content) of detail files; ``documents``: (path)."""

@@ -203,18 +203,27 @@ CARD = T.StructType([
 
 
 def article_cards(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Generic ``article`` cards of a page table: title (h1/h2), paragraphs, card text."""
-    spec = {"mode": "container", "card": ["article"], "link": ["a"],
-            "fields": {"title": ["h1", "h2", "h3"]}}
-    cards = html_cards(pages, spec, id_col, html_col)
+    """Generic ``article`` cards of a page table: title (first h1..h3), paragraphs, visible characters.
+
+    Articles do not nest here; an article that is not closed ends with the page.
+    """
+    html = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), HIDDEN, " ")
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<article\b.*?(?:</article\s*>|\z)"), 0)
+    cards = pages.select(id_col, F.posexplode(found).alias("card_pos", "card"))
+    title = F.regexp_extract("card", r"(?is)<(h[1-3])\b[^>]*>(.*?)</\1\s*>", 2)
+
+    def visible(c):
+        return tx.clean(decoded(F.regexp_replace(c, r"(?s)<[^>]*>", " ")))
+
     return cards.select(
-        id_col, "card_pos", tx.clean(F.col("fields")["title"]).alias("title"),
-        F.size("paragraphs").cast("bigint").alias("n_paragraphs"),
-        F.length("card_text").cast("bigint").alias("card_chars"))
+        id_col, "card_pos", visible(title).alias("title"),
+        F.regexp_count("card", F.lit(r"(?i)<p[\s>]")).cast("bigint").alias("n_paragraphs"),
+        F.char_length(visible(F.col("card"))).cast("bigint").alias("card_chars"))
 
 
-def html_cards(pages: DataFrame, spec: dict, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Raw card strings per page, via a tolerant stdlib HTML parser in ``mapInPandas``.
+def html_cards(pages: DataFrame, spec: dict, id_col: str = "page_id", html_col: str = "html",
+               district_col: str = "district") -> DataFrame:
+    """Raw card strings per page with the page's district, via a tolerant stdlib HTML parser in ``mapInPandas``.
 
     ``spec``: ``mode`` "container" (cards are elements matching ``card``; the
     card's first ``link``) or "link" (cards start at links matching ``link``;
@@ -223,14 +232,16 @@ def html_cards(pages: DataFrame, spec: dict, id_col: str = "page_id", html_col:
     """
     from . import html_cards as hc
 
+    names = [f.name for f in CARD.fields]
+
     def run(batches):
         import pandas as pd
         for pdf in batches:
             rows = []
-            for pid, html in zip(pdf[id_col], pdf[html_col]):
-                rows.extend(hc.cards_of_page(int(pid), html or "", spec))
-            yield pd.DataFrame(rows, columns=[f.name for f in CARD.fields])
+            for pid, html, district in zip(pdf["page_id"], pdf["html"], pdf["district"]):
+                rows.extend((*card, district) for card in hc.cards_of_page(int(pid), html or "", spec))
+            yield pd.DataFrame(rows, columns=[*names, "district"])
 
-    return pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).alias("html")) \
-        .withColumnRenamed("page_id", id_col).withColumnRenamed("html", html_col) \
-        .mapInPandas(run, CARD).withColumnRenamed("page_id", id_col)
+    raw = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).alias("html"),
+                       F.col(district_col).alias("district"))
+    return raw.mapInPandas(run, T.StructType([*CARD.fields, T.StructField("district", T.StringType())]))

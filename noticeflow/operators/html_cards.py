@@ -14,6 +14,9 @@ from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 NON_TEXT = {"script", "style", "template"}
+INLINE = {"a", "b", "i", "em", "strong", "span", "small", "u", "font", "mark", "sub", "sup", "time", "label"}
+CLOSES_P = {"p", "div", "article", "section", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "form", "header",
+            "footer", "nav", "aside", "main", "blockquote", "pre"}
 _WS = re.compile(r"\s+")
 
 
@@ -26,21 +29,29 @@ class Node:
     def classes(self):
         return (self.attrs.get("class") or "").split()
 
+    def walk(self):
+        """Strings and nodes below this one in document order, at any depth."""
+        todo = list(reversed(self.children))
+        while todo:
+            ch = todo.pop()
+            yield ch
+            if isinstance(ch, Node):
+                todo.extend(reversed(ch.children))
+
     def strings(self):
-        for ch in self.children:
+        todo = list(reversed(self.children))
+        while todo:
+            ch = todo.pop()
             if isinstance(ch, str):
                 yield ch
             elif ch.tag not in NON_TEXT:
-                yield from ch.strings()
+                todo.extend(reversed(ch.children))
 
     def text(self):
         return " ".join(s.strip() for s in self.strings() if s.strip())
 
     def descendants(self):
-        for ch in self.children:
-            if isinstance(ch, Node):
-                yield ch
-                yield from ch.descendants()
+        return (ch for ch in self.walk() if isinstance(ch, Node))
 
     def ancestors(self):
         p = self.parent
@@ -56,6 +67,13 @@ class _Builder(HTMLParser):
         self.cur = self.root
 
     def handle_starttag(self, tag, attrs):
+        if tag in CLOSES_P:
+            # A paragraph cannot hold another block: it ends here, closed or not.
+            p = self.cur
+            while p is not self.root and p.tag != "p" and p.tag in INLINE:
+                p = p.parent
+            if p.tag == "p":
+                self.cur = p.parent
         n = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
         self.cur.children.append(n)
         if tag not in VOID:

@@ -175,9 +175,12 @@ RULES = {fv.SOURCE_COMPUTRABAJO: _computrabajo, fv.SOURCE_INDEED: _indeed,
 
 def portal_listings(pages: DataFrame, source: str, as_of, limit: int | None = None) -> DataFrame:
     """Listing rows (with lineage) from one portal's raw pages."""
-    src_pages = pages.where(F.col("source") == source)
-    cards = html_cards(src_pages.select("page_id", "html"), CARD_SPECS[source])
-    cards = cards.join(src_pages.select("page_id", "district"), "page_id")
+    cards = html_cards(pages.where(F.col("source") == source), CARD_SPECS[source])
+    return listings_from_cards(cards, source, as_of, limit)
+
+
+def listings_from_cards(cards: DataFrame, source: str, as_of, limit: int | None = None) -> DataFrame:
+    """One portal's rules over a card table (page, position, district, link, fields, texts)."""
     picked = RULES[source](cards)
     picked = top_k_per_group(picked, ["page_id"], ["card_pos"], limit or LIMIT[source], rank_as="_rank").drop("_rank")
     pub = dt.published_from_age(F.col("antiguedad"), as_of)

@@ -88,19 +88,25 @@ def upsert_job(spark: SparkSession, prev: DataFrame, texts: DataFrame, as_of, ou
     return {"snapshot": path, "summary": summary}
 
 
-def serve_job(spark: SparkSession, snapshot: DataFrame, out_root: str, as_of) -> dict:
-    """SNK-3: index and detail view tables partitioned by district, plus counts and facets."""
+def serve_views(spark: SparkSession, snapshot: DataFrame, dim: DataFrame, out_root: str, as_of) -> str:
+    """SNK-3: index and detail view tables by district, counts and facets; returns their folder.
+
+    The label travels with each row; listings of districts outside the dimension have no section.
+    """
     lst = vw.with_listing_columns(snapshot)
     labelled = vw.location_parts(lst).withColumn("label", vw.group_label())
-    dim = sc.districts_df(spark)
-    # The label travels with the card; districts outside the dimension have no section.
-    cards = vw.index_cards(labelled, "label").join(dim.select(F.col("district").alias("label")), "label", "left_semi")
+    listed = labelled.join(dim.select(F.col("district").alias("label")), "label", "left_semi")
     base = _run_dir(out_root, as_of)
-    cards.write.mode("overwrite").partitionBy("label").parquet(base + "/index_view")
-    vw.detail_view(lst, keep=("id", "distrito")).write.mode("overwrite").partitionBy("distrito").parquet(base + "/detail_view")
+    vw.index_cards(listed, "label").write.mode("overwrite").partitionBy("label").parquet(base + "/index_view")
+    vw.detail_view(listed, keep=("id", "label")).write.mode("overwrite").partitionBy("label").parquet(
+        base + "/detail_view")
     vw.district_counts(labelled, dim).write.mode("overwrite").parquet(base + "/district_counts")
     vw.facets(labelled, ["loc_district"]).write.mode("overwrite").parquet(base + "/facets")
-    return {"root": base}
+    return base
+
+
+def serve_job(spark: SparkSession, snapshot: DataFrame, out_root: str, as_of) -> dict:
+    return {"root": serve_views(spark, snapshot, sc.districts_df(spark), out_root, as_of)}
 
 
 def publish_job(spark: SparkSession, snapshot: DataFrame, ledger_path: str, as_of, outbox_root: str,

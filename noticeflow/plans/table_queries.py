@@ -551,8 +551,12 @@ def page_cards(spark, sf):
 
 def stream_refresh(spark, sf):
     from ..streaming import ingest
-    out_dir = scratch_path(spark, "stream-refresh-" + uuid.uuid4().hex)
-    snap = ingest.run_keyed_refresh(spark, sf, "events", out_dir, key=["user_id", "event_type"], pos="event_id")
+    name = uuid.uuid4().hex
+    landing = scratch_path(spark, f"stream-landing-{name}")
+    events = table(spark, sf, "events")
+    events.repartition(4, "event_id").write.parquet(landing)          # four files: four micro-batches
+    snap = ingest.run_keyed_refresh(spark, landing, events.schema, scratch_path(spark, f"stream-refresh-{name}"),
+                                    key=["user_id", "event_type"], pos="event_id")
     return snap.select("user_id", "event_type", F.col("event_id").alias("last_event_id"), "value")
 
 

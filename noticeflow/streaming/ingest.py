@@ -22,21 +22,24 @@ def _snapshot_dir(out_dir: str, batch_id: int) -> str:
     return f"{out_dir.rstrip('/')}/snapshot/batch_id={batch_id}"
 
 
-def _read_prev(spark: SparkSession, out_dir: str, batch_id: int, schema):
-    if batch_id == 0:
-        return None
-    return spark.read.schema(schema).parquet(_snapshot_dir(out_dir, batch_id - 1))
+def _drop_old(spark: SparkSession, out_dir: str, batch_id: int) -> None:
+    """Remove the snapshot that no replay can need any more (only the last batch is ever replayed)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_snapshot_dir(out_dir, batch_id - 2))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if batch_id >= 2 and fs.exists(path):
+        fs.delete(path, True)
 
 
 def keyed_snapshot_stream(stream: DataFrame, out_dir: str, merge, checkpoint: str | None = None,
                           available_now: bool = True):
-    """Run ``merge(prev_or_None, batch) -> snapshot`` per micro-batch; returns the finished query."""
+    """Run ``merge(previous directory or None, batch, batch id) -> snapshot`` per micro-batch; returns the query."""
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "stream-checkpoint-" + uuid.uuid4().hex)
 
     def per_batch(batch: DataFrame, batch_id: int):
-        snap = merge(None if batch_id == 0 else _snapshot_dir(out_dir, batch_id - 1), batch)
+        snap = merge(None if batch_id == 0 else _snapshot_dir(out_dir, batch_id - 1), batch, batch_id)
         snap.write.mode("overwrite").parquet(_snapshot_dir(out_dir, batch_id))
+        _drop_old(spark, out_dir, batch_id)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -47,47 +50,42 @@ def keyed_snapshot_stream(stream: DataFrame, out_dir: str, merge, checkpoint: st
 
 def latest_snapshot(spark: SparkSession, out_dir: str) -> DataFrame:
     base = f"{out_dir.rstrip('/')}/snapshot"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(base)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     best = max(int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(p)
                if st.getPath().getName().startswith("batch_id="))
     return spark.read.parquet(_snapshot_dir(out_dir, best))
 
 
-def run_keyed_refresh(spark: SparkSession, sf_dir: str, table: str, out_dir: str, key, pos: str,
-                      files_per_trigger: int = 1) -> DataFrame:
-    """Stream a table's files (one per trigger) into a last-wins-by-key snapshot."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-              .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+def run_keyed_refresh(spark: SparkSession, landing_dir: str, schema, out_dir: str, key, pos: str,
+                      files_per_trigger: int = 1, checkpoint: str | None = None) -> DataFrame:
+    """Stream landed files into a last-wins-by-key snapshot; ``pos`` orders all rows, whatever their batch."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing_dir)
 
-    def merge(prev_dir, batch):
+    def merge(prev_dir, batch, _):
         rows = batch
         if prev_dir is not None:
             rows = spark.read.schema(schema).parquet(prev_dir).unionByName(batch)
         return dd.last_wins(rows, key, F.col(pos), first_pos_as=None)
 
-    keyed_snapshot_stream(stream, out_dir, merge)
+    keyed_snapshot_stream(stream, out_dir, merge, checkpoint)
     return latest_snapshot(spark, out_dir)
 
 
 def run_listing_upsert(spark: SparkSession, landing_dir: str, schema, out_dir: str, key: str = "id",
-                       carried=None) -> DataFrame:
+                       carried=None, files_per_trigger: int = 1, checkpoint: str | None = None) -> DataFrame:
     """Stream landed listing files into a carry-forward upsert snapshot.
 
-    Each row's ``pos`` must order it within its batch; the batch id is put in
-    front of it, so a later batch always wins over an earlier one.
+    Each row's ``pos`` orders it within its batch; the batch id is put in front
+    of it, so a later batch always wins over an earlier one.
     """
-    stream = spark.readStream.schema(schema).parquet(landing_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing_dir)
+    extra = {"carried": carried} if carried else {}
 
-    def merge(prev_dir, batch):
-        b = batch.withColumn("pos", F.struct(F.lit(0).alias("b"), F.col("pos").alias("p")))
-        if prev_dir is None:
-            return mg.carry_forward_upsert(b.limit(0), b, key=key, pos="pos", **({"carried": carried} if carried else {}))
-        prev = spark.read.parquet(prev_dir)
-        prev = prev.withColumn("pos", F.struct(F.lit(-1).alias("b"), F.col("pos.p").alias("p")))
-        return mg.carry_forward_upsert(prev, b, key=key, pos="pos", **({"carried": carried} if carried else {}))
+    def merge(prev_dir, batch, batch_id):
+        new = batch.withColumn("pos", F.struct(F.lit(batch_id).cast("bigint").alias("b"), F.col("pos").alias("p")))
+        prev = new.limit(0) if prev_dir is None else spark.read.schema(new.schema).parquet(prev_dir)
+        return mg.carry_forward_upsert(prev, new, key=key, pos="pos", **extra)
 
-    keyed_snapshot_stream(stream, out_dir, merge)
+    keyed_snapshot_stream(stream, out_dir, merge, checkpoint)
     return latest_snapshot(spark, out_dir)
