@@ -3,6 +3,8 @@
 Every window of SPAN bytes owns an anchor, its smallest hashed ``GRAM``-byte
 string, so equal windows own equal anchors.  Four steps, all keyed, none global:
 
+Documents of equal text work as one, under the smallest id; the others lose all.
+
 1. Tasks hash their documents' anchors.  An anchor that a task sees in two
    documents is known to repeat; of all others one row per document goes to the
    anchor's shard, which answers those that occur in more than one document.
@@ -39,9 +41,9 @@ from noticeflow.llm.suffixes import suffix_array
 
 SPAN = 50
 GRAM = 20
-RUN = 8
+RUN = 4
 UNIT_BYTES = 24_000_000
-SLICES = 16
+SLICES = 1
 SUFFIX_BYTES = 40_000
 LAST = 2 ** 63 - 1
 WIDTH = SPAN - GRAM + 1                 # anchors that compete in one window
@@ -111,8 +113,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, b
     """(row key, id, bytes) of a task's documents, in units of about UNIT_BYTES."""
     unit, size = [], 0
     for batch in batches:
-        for key, i, text in zip(batch.column("_key").to_pylist(), batch.column("_id").to_pylist(),
-                                batch.column("_text").to_pylist()):
+        for key, i, text in zip(*(batch.column(c).to_pylist() for c in ("_key", "_id", "text"))):
             data = (text or "").encode()
             if len(data) >= SPAN:
                 unit.append((key, i, data))
@@ -124,43 +125,59 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, b
         yield unit
 
 
-def _by_document(doc: np.ndarray, pos: np.ndarray, keys: np.ndarray) -> list[tuple[int, bytes]]:
+def _by_document(doc: np.ndarray, h: np.ndarray, keys: np.ndarray) -> list[tuple[int, bytes]]:
+    """(row key, its hashes) of each document."""
     order = np.argsort(doc, kind="stable")
-    doc, pos = doc[order], pos[order]
+    doc, h = doc[order], h[order]
     cut = np.flatnonzero(np.diff(doc)) + 1
-    return [(int(keys[d[0]]), p.astype(np.uint32).tobytes())
-            for d, p in zip(np.split(doc, cut), np.split(pos, cut)) if len(d)]
+    return [(int(keys[d[0]]), found.astype(np.uint64).tobytes())
+            for d, found in zip(np.split(doc, cut), np.split(h, cut)) if len(d)]
 
 
 ANCHOR_ROWS = "shard int, slice int, key long, blob binary"
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The 48 bits of a hash that travel; a chance meeting only costs a look at the texts."""
+    return h >> np.uint64(16)
+
+
+def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16)
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+
+
 def _send_anchors(shards: int):
     """Step 1, tasks: hits known here (slice -1) and one row per other anchor, packed by shard and slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
-            hs, docs, poss = [], [], []
+            hs, docs = [], []
             for d, (_, _, data) in enumerate(unit):
                 at, h, _ = anchors(np.frombuffer(data, np.uint8))
-                hs.append(h[at])
-                docs.append(np.full(len(at), d, np.uint32))
-                poss.append(at.astype(np.uint32))
+                found = np.unique(_short(h[at]))
+                hs.append(found)
+                docs.append(np.full(len(found), d, np.uint32))
             keys = np.array([k for k, _, _ in unit], np.int64)
-            h, doc, pos = np.concatenate(hs), np.concatenate(docs), np.concatenate(poss)
+            h, doc = np.concatenate(hs), np.concatenate(docs)
             order = np.argsort(h, kind="stable")
-            h, doc, pos = h[order], doc[order], pos[order]
+            h, doc = h[order], doc[order]
             head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             tail = np.concatenate([head[1:], [len(h)]])
             several = keys[doc[head]] != keys[doc[tail - 1]]           # stable: documents in order within a hash
             flags = np.repeat(several, tail - head)
-            rows = [(int(k % shards), -1, k, blob) for k, blob in _by_document(doc[flags], pos[flags], keys)]
+            rows = [(int(k % shards), -1, k, blob) for k, blob in _by_document(doc[flags], h[flags], keys)]
             known = h[head[several]]
-            single = ~flags
-            h, doc, pos = h[single], doc[single], pos[single]
+            h, doc = h[~flags], doc[~flags]
+            small = np.uint16 if len(unit) <= 65_536 else np.uint32
             for part_known, part, (s, c) in _dealt(known, h, shards):
                 used, index = np.unique(doc[part], return_inverse=True)
-                rows.append((s, c, 0, _packed(known[part_known], h[part], index.astype(np.uint32), pos[part],
-                                              keys[used])))
+                if small is np.uint32:
+                    index = index.astype(np.uint32)
+                rows.append((s, c, 0, _packed(*_halves(known[part_known]), *_halves(h[part]),
+                                              index.astype(small).view(np.uint16), keys[used])))
             for at in range(0, len(rows), 20_000):
                 part = rows[at:at + 20_000]
                 yield pa.RecordBatch.from_arrays(
@@ -186,28 +203,31 @@ def _dealt(known: np.ndarray, h: np.ndarray, shards: int):
 
 
 def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1, shards: positions of anchors that several documents hold (rows sorted by shard and slice)."""
+    """Step 1, shards: the anchors that several documents hold (rows sorted by shard and slice)."""
+    kinds = (np.uint32, np.uint16, np.uint32, np.uint16, np.uint16, np.int64)
+
     def answered(blobs: list[bytes]) -> list[tuple[int, bytes]]:
-        known, hs, docs, poss, keys = [], [], [], [], []
+        known, hs, docs, keys = [], [], [], []
         base = 0
         for blob in blobs:
-            k, h, index, pos, key = _unpacked(blob, np.uint64, np.uint64, np.uint32, np.uint32, np.int64)
-            known.append(k)
-            hs.append(h)
+            k_low, k_high, low, high, index, key = _unpacked(blob, *kinds)
+            if len(index) == 2 * len(low):
+                index = index.view(np.uint32)
+            known.append(_joined(k_low, k_high))
+            hs.append(_joined(low, high))
             docs.append(index.astype(np.int64) + base)
-            poss.append(pos)
             keys.append(key)
             base += len(key)
-        known, h, doc, pos, key = map(np.concatenate, (known, hs, docs, poss, keys))
+        known, h, doc, key = map(np.concatenate, (known, hs, docs, keys))
         order = np.lexsort((key[doc], h))
-        h, doc, pos = h[order], doc[order], pos[order]
+        h, doc = h[order], doc[order]
         if not len(h):
             return []
         head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         tail = np.concatenate([head[1:], [len(h)]])
         several = (key[doc[head]] != key[doc[tail - 1]]) | np.isin(h[head], known)
         flags = np.repeat(several, tail - head)
-        return _by_document(doc[flags], pos[flags], key)
+        return _by_document(doc[flags], h[flags], key)
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
@@ -223,18 +243,18 @@ def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     held = []
                 continue
             if at is not None and at[0] != (shard, part):
-                yield batch_of(answered(at[1]))
+                held += answered(at[1])
                 at = None
             if at is None:
                 at = ((shard, part), [])
             at[1].append(blob)
     if at is not None:
-        yield batch_of(answered(at[1]))
+        held += answered(at[1])
     if held:
         yield batch_of(held)
 
 
-STRETCH_ROWS = "anchor long, off int, text binary, id long, key long, at int, spans binary"
+STRETCH_ROWS = "anchor long, off int, text binary, id long, key long, at int"
 
 
 def _spans(rows: list[tuple[int, int]]) -> bytes:
@@ -242,53 +262,55 @@ def _spans(rows: list[tuple[int, int]]) -> bytes:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: stretches for the shards; settled windows (start, end) as rows with ``spans``.
+    """Step 2: stretches for the shards; settled windows (start, end) as rows with ``off`` -1.
 
     A stretch is (anchor, offset of the anchor, bytes); its windows start at
     ``at``, ``at`` + 1, ... of the document.
     """
-    def flush(seen: dict, settled: dict):
-        rows = []
-        for (off, text), (first, copies) in seen.items():
-            anchor = int(gram_hashes(np.frombuffer(text[off:off + GRAM], np.uint8))[0].astype(np.int64))
+    def flush(seen: dict):
+        rows, settled = [], {}
+        for (off, text), (anchor, first, copies) in seen.items():
             for i, key, at in copies:
                 if i == first:
-                    rows.append((anchor, off, text, i, key, at, None))
+                    rows.append((anchor, off, text, i, key, at))
                 else:
                     settled.setdefault(key, []).append((at, at + len(text) - SPAN + 1))
-        rows += [(key, 0, None, 0, key, 0, _spans(found)) for key, found in settled.items()]
+        rows += [(key, -1, _spans(found), 0, key, 0) for key, found in settled.items()]
         for a in range(0, len(rows), 20_000):
             part = list(zip(*rows[a:a + 20_000]))
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)],
-                                             ["anchor", "off", "text", "id", "key", "at", "spans"])
+                                             ["anchor", "off", "text", "id", "key", "at"])
 
     seen: dict = {}
     size = 0
     for batch in batches:
-        for key, i, text, hits in zip(*(batch.column(c).to_pylist() for c in ("_key", "_id", "_text", "_hits"))):
+        for key, i, text, hits in zip(*(batch.column(c).to_pylist() for c in ("_key", "_id", "text", "_hits"))):
             data = text.encode()
             at, h, least = anchors(np.frombuffer(data, np.uint8))
-            hit = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in hits]))
+            hit = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in hits]))
+            hit = np.flatnonzero(np.isin(_short(h[at]), hit))
             mine = owned(at, h, least)
-            first = np.searchsorted(mine, np.searchsorted(at, hit), side="left")
-            last = np.searchsorted(mine, np.searchsorted(at, hit), side="right")
-            for p, a, b in zip(hit.tolist(), first.tolist(), last.tolist()):
+            first = np.searchsorted(mine, hit, side="left").tolist()
+            last = np.searchsorted(mine, hit, side="right").tolist()
+            places, names = at[hit].tolist(), h[at[hit]].astype(np.int64).tolist()
+            for p, anchor, a, b in zip(places, names, first, last):
                 if a < b:
                     name = (p - a, data[a:b + SPAN - 1])
                     held = seen.get(name)
                     if held is None:
-                        seen[name] = [i, [(i, key, a)]]
-                        size += len(name[1]) + 200
+                        seen[name] = [anchor, i, [(i, key, a)]]
+                        size += len(name[1]) + 250
                     else:
-                        held[0] = min(held[0], i)
-                        held[1].append((i, key, a))
-                        size += 80
+                        if i < held[1]:
+                            held[1] = i
+                        held[2].append((i, key, a))
+                        size += 100
             if size >= 4 * UNIT_BYTES:
-                yield from flush(seen, {})
+                yield from flush(seen)
                 seen, size = {}, 0
     if seen:
-        yield from flush(seen, {})
+        yield from flush(seen)
 
 
 def first_holders(strings: list[tuple[bytes, int]]) -> list[list[int]]:
@@ -331,7 +353,7 @@ def _settle(rows: list[tuple]) -> dict[int, list[tuple[int, int]]]:
     """Step 3 for whole anchors: windows of each document that an earlier document holds."""
     found: dict[int, list[tuple[int, int]]] = {}
     whole: dict[int, dict[tuple[int, bytes], list]] = {}
-    for anchor, off, text, i, key, at, _ in rows:
+    for anchor, off, text, i, key, at in rows:
         held = whole.setdefault(anchor, {}).setdefault((off, text), [i, []])
         held[0] = min(held[0], i)
         held[1].append((i, key, at))
@@ -348,6 +370,11 @@ def _settle(rows: list[tuple]) -> dict[int, list[tuple[int, int]]]:
                     found.setdefault(key, []).append((at + begin + start, at + begin + w))
                     start = None
 
+    def mark_all(held: list, begin: int, end: int, least: int) -> None:
+        for i, key, at in held:
+            if least < i:
+                found.setdefault(key, []).append((at + begin, at + end))
+
     def sort_queue() -> None:
         for (_, _, held, begin), least in zip(queue, first_holders([(d, i) for d, i, _, _ in queue])):
             mark(held, begin, least)
@@ -355,25 +382,29 @@ def _settle(rows: list[tuple]) -> dict[int, list[tuple[int, int]]]:
     for stretches in whole.values():
         if len(stretches) == 1:
             (((_, text), (least, held)),) = stretches.items()
-            mark(held, 0, [least] * (len(text) - SPAN + 1))
+            mark_all(held, 0, len(text) - SPAN + 1, least)
             continue
         runs: dict[tuple[int, bytes], dict[tuple[int, bytes], list]] = {}
         for (off, text), (least, held) in stretches.items():
             windows = len(text) - SPAN + 1
             # distance from a window's start to the anchor falls from `off` to `off - windows + 1`
             for q in range((off - windows + 1) // RUN, off // RUN + 1):
-                begin = max(0, off - (RUN * q + RUN - 1))
-                end = min(windows, off - RUN * q + 1)
-                core = text[off - RUN * q:off - RUN * q - RUN + 1 + SPAN]
-                held_by = runs.setdefault((q, core), {}).setdefault(
-                    (off - begin, text[begin:end + SPAN - 1]), [LAST, []])
-                held_by[0] = min(held_by[0], least)
-                held_by[1].append((held, begin))
+                near = off - RUN * q
+                begin, end = max(0, near - RUN + 1), min(windows, near + 1)
+                pieces = runs.setdefault((q, text[near:near - RUN + 1 + SPAN]), {})
+                name = (off - begin, text[begin:end + SPAN - 1])
+                held_by = pieces.get(name)
+                if held_by is None:
+                    pieces[name] = [least, [(held, begin)]]
+                else:
+                    if least < held_by[0]:
+                        held_by[0] = least
+                    held_by[1].append((held, begin))
         for pieces in runs.values():
             if len(pieces) == 1:
                 (((_, data), (least, uses)),) = pieces.items()
                 for held, begin in uses:
-                    mark(held, begin, [least] * (len(data) - SPAN + 1))
+                    mark_all(held, begin, begin + len(data) - SPAN + 1, least)
                 continue
             group = [(data, least, held, begin) for (_, data), (least, uses) in pieces.items()
                      for held, begin in uses]
@@ -389,7 +420,7 @@ def _settle(rows: list[tuple]) -> dict[int, list[tuple[int, int]]]:
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3, shards: rows come sorted by anchor; settles them in chunks of whole anchors."""
-    names = ("anchor", "off", "text", "id", "key", "at", "spans")
+    names = ("anchor", "off", "text", "id", "key", "at")
 
     def batch_of(found: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()),
@@ -400,8 +431,8 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         passed: dict = {}
         for row in zip(*(batch.column(c).to_pylist() for c in names)):
-            if row[2] is None:
-                passed.setdefault(row[4], []).extend(np.frombuffer(row[6], np.int32).reshape(-1, 2).tolist())
+            if row[1] < 0:
+                passed.setdefault(row[4], []).extend(np.frombuffer(row[2], np.int32).reshape(-1, 2).tolist())
                 continue
             if size >= UNIT_BYTES and rows[-1][0] != row[0]:
                 yield batch_of(_settle(rows))
@@ -442,25 +473,31 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def _without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     n = partitions(docs.sparkSession)
-    plain = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))).withColumn(
-        "_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_key", F.xxhash64("_id", "_text"))
-    sent = plain.select("_key", "_id", "_text").mapInArrow(_send_anchors(n), ANCHOR_ROWS)
+    # Equal texts work as one, under their smallest id; the same shuffle by text serves all three joins.
+    plain = docs.withColumnRenamed(text, "text").withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)))
+    plain = plain.withColumn("_key", F.xxhash64("text")).withColumn("_key2", F.hash("text"))
+    first = plain.groupBy("_key", "_key2").agg(F.min("_id").alias("_first"))
+    heads = plain.join(first, ["_key", "_key2"]).where(F.col("_id") == F.col("_first"))
+    sent = heads.select("_key", "_id", "text").mapInArrow(_send_anchors(n), ANCHOR_ROWS)
     hits = sent.repartition(n, "shard").sortWithinPartitions("shard", "slice").mapInArrow(
         _answer_anchors, "_key long, _at binary")
     hits = hits.groupBy("_key").agg(F.collect_list("_at").alias("_hits"))
-    stretches = plain.join(hits, "_key").mapInArrow(_stretches, STRETCH_ROWS)
+    stretches = heads.join(hits, "_key").select("_key", "_id", "text", "_hits").mapInArrow(_stretches, STRETCH_ROWS)
     spans = stretches.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(
         _shard, "_key long, _spans binary")
     spans = spans.groupBy("_key").agg(F.collect_list("_spans").alias("_spans"))
-    own = docs.columns
+    own = [c if c != text else "text" for c in docs.columns]
     out_names = [*own, *(f.name for f in RESULT)]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for t, s in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
-                data = t.encode()
-                kept, removed, runs = _removed(data, s)
+            for t, s, i, f in zip(*(batch.column(c).to_pylist() for c in ("text", "_spans", "_id", "_first"))):
+                data = (t or "").encode()
+                if i > f and len(data) >= SPAN:                 # the same text came earlier
+                    kept, removed, runs = b"", len(data), 1
+                else:
+                    kept, removed, runs = _removed(data, s if i == f else None)
                 rows.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(),
                              kept.decode("utf-8", "ignore")))
             cols = list(zip(*rows)) if rows else [[]] * 5
@@ -468,7 +505,9 @@ def _without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in own), *(pa.array(c, k) for c, k in zip(cols, kinds))], out_names)
 
-    return plain.join(spans, "_key", "left").mapInArrow(remove, T.StructType([*docs.schema.fields, *RESULT]))
+    schema = T.StructType([*(T.StructField(c, docs.schema[d].dataType) for c, d in zip(own, docs.columns)), *RESULT])
+    marked = plain.join(first, ["_key", "_key2"]).join(spans, "_key", "left")
+    return marked.mapInArrow(remove, schema).withColumnRenamed("text", text)
 
 
 def digests(docs: DataFrame) -> DataFrame:
