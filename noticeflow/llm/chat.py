@@ -57,15 +57,16 @@ def _jump_tables(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     most = state.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     tables, reach = [], 1
     while reach < 2 * most:
-        jump = state.where(F.col("far").isNotNull()).select("conv", "node", "far")
-        if jump.isEmpty():
+        ahead = state.where(F.col("far").isNotNull())
+        if ahead.isEmpty():
             break
-        tables.append(jump)
+        tables.append(ahead.select("conv", "node", "far"))
         up = state.select("conv", F.col("node").alias("far"), F.col("far").alias("_far"),
                           F.col("sum").alias("_sum"), F.col("depth").alias("_depth"))
-        state = saved(state.join(up, ["conv", "far"], "left").select(
-            "conv", "node", F.col("_far").alias("far"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
+        moved = ahead.join(up, ["conv", "far"]).select(
+            "conv", "node", F.col("_far").alias("far"), (F.col("sum") + F.col("_sum")).alias("sum"),
+            (F.col("depth") + F.col("_depth")).alias("depth"))
+        state = saved(state.where(F.col("far").isNull()).unionByName(moved))
         reach *= 2
     return state.where(F.col("far").isNull()), tables
 
