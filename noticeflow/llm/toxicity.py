@@ -44,8 +44,8 @@ DECAY = 0.6
 PAIR_WEIGHT = 0.5
 LANDMARKS = 320
 COST = 50_000.0
-SAMPLE = 1_500
-CLEAN_PER_TOXIC = 3
+SAMPLE = 800
+CLEAN_PER_TOXIC = 4
 CHANCE = 1e-6
 CLEAN_SHARE = 0.05
 PADDED = 4
@@ -337,7 +337,9 @@ def fit(samples: list[tuple[int, list[str]]], rounds: int = ROUNDS) -> Model:
         picked = [*[*good[:30], *spread][:half], *[*negative[: half // 2], *negative[-half:]]]
         landmarks = list(dict.fromkeys(windows(w)[0] for w in picked))[:LANDMARKS]
         model = _nystroem(landmarks, letters, marked, np.array(y), np.array(often))
-        margin = dict(zip(names, model.margins(names).tolist()))
+        margin = {}
+        for at in range(0, len(names), 50_000):
+            margin.update(zip(names[at:at + 50_000], model.margins(names[at:at + 50_000]).tolist()))
         worst = sorted(clean, key=lambda w: (-margin[w], w))[:1000]
         hard = list(dict.fromkeys([*worst, *hard]))
         bar = max(0.3, margin[worst[min(len(worst) - 1, len(clean) // 10_000)]])
@@ -375,7 +377,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` toxic and three times as many clean texts, none of them held out."""
+    """Fit on at most ``sample`` toxic and CLEAN_PER_TOXIC times as many clean texts, none of them held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
@@ -390,7 +392,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                                               pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
     rows = texts.select("doc_id", "toxic", "text").mapInArrow(
-        tokens, "doc_id long, toxic int, words array<string>").collect()       # at most 4 x sample rows
+        tokens, "doc_id long, toxic int, words array<string>").collect()       # at most (1 + CLEAN_PER_TOXIC) x sample rows
     return fit([(r.toxic, r.words) for r in sorted(rows, key=lambda r: (r.doc_id, r.words))])
 
 
