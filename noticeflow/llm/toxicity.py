@@ -28,7 +28,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -42,7 +42,7 @@ from noticeflow.llm.common import on_core
 
 DECAY = 0.6
 PAIR_WEIGHT = 0.5
-LANDMARKS = 320
+LANDMARKS = 256
 COST = 50_000.0
 SAMPLE = 800
 CLEAN_PER_TOXIC = 4
@@ -226,7 +226,7 @@ def _nystroem(landmarks: list[str], letters: dict[str, int], words: list[str], y
         return np.sqrt([sum(v * v for v in subsequences(m).values()) + 1e-12 for m in marked])
 
     def kernel(marked: list[str]) -> np.ndarray:
-        out = np.zeros((len(marked), len(landmarks)))
+        out = np.zeros((len(marked), len(landmarks)), np.float32)
         for at, mark in enumerate(marked):
             found = subsequences(mark)
             keys = [index.get(k, -1) for k in found]
@@ -255,14 +255,15 @@ def _padded(word: str, seed: int) -> list[str]:
     return made
 
 
-def _unlike(bags: list[set[str]]) -> list[set[str]]:
+def _unlike(bags: list[np.ndarray], codes: np.ndarray) -> list[np.ndarray]:
     """The bags without near copies of earlier ones: half of eight minimum hashes in common."""
     kept, seen = [], [{} for _ in range(8)]
     for words in bags:
-        codes = [zlib.crc32(w.encode()) for w in words]
-        if not codes:
+        if not len(words):
             continue
-        least = [min((c * (2 * t + 0x9E3779B1) + t * 0x85EBCA6B) & 0xFFFFFFFF for c in codes) for t in range(8)]
+        c = codes[words].astype(np.uint64)
+        least = [int(((c * np.uint64(2 * t + 0x9E3779B1) + np.uint64(t * 0x85EBCA6B)) & np.uint64(0xFFFFFFFF)).min())
+                 for t in range(8)]
         hits = Counter(seen[t][m] for t, m in enumerate(least) if m in seen[t])
         if hits and max(hits.values()) >= 4:
             continue
@@ -272,85 +273,89 @@ def _unlike(bags: list[set[str]]) -> list[set[str]]:
     return kept
 
 
-def _witnesses(toxic: list[set[str]], clean: Counter, n_clean: int) -> list[str]:
-    """Words too often in toxic texts for chance, commonest first.
+def _witnesses(toxic: list[np.ndarray], clean: np.ndarray, n_clean: int, codes: np.ndarray) -> list[int]:
+    """Words too often in toxic texts for chance, commonest first (as numbers).
 
     With equal odds for every sampled text, ``k`` toxic texts and no clean one
     have chance ``share ** k``; below ``CHANCE`` a word counts as a witness.  If
     there are too few labels for that, the words that no clean text has cover
     the toxic texts one by one.
     """
-    unlike = _unlike(toxic)
-    where: dict[str, set[int]] = {}
-    for i, words in enumerate(unlike):
-        for w in words:
-            where.setdefault(w, set()).add(i)
+    unlike = _unlike(toxic, codes)
+    count = np.bincount(np.concatenate(unlike), minlength=len(clean)) if unlike else np.zeros_like(clean)
     least = max(2, math.ceil(math.log(CHANCE) / math.log(len(toxic) / (len(toxic) + n_clean))))
-    order = sorted(where, key=lambda w: (-len(where[w]), w))
-    often = [w for w in order if len(where[w]) >= least and clean[w] <= CLEAN_SHARE * len(where[w])]
-    if often:
-        return often
-    left = {w: where[w] for w in [w for w in order if clean[w] == 0][:200]}
-    chosen: list[str] = []
+    order = np.lexsort((np.arange(len(count)), -count))
+    often = order[(count[order] >= least) & (clean[order] <= CLEAN_SHARE * count[order])]
+    if len(often):
+        return often.tolist()
+    left = {int(w): {i for i, b in enumerate(unlike) if w in b}
+            for w in order[(clean[order] == 0) & (count[order] > 0)][:200]}
+    chosen: list[int] = []
     while left:
-        best = max(left, key=lambda w: (len(left[w]), w))
+        best = max(left, key=lambda w: (len(left[w]), -w))
         if len(left[best]) < 2 and chosen:
             break
         chosen.append(best)
         gone = left.pop(best)
-        left = {w: rest for w, s in left.items() if (rest := s - gone)}
+        left = {w: rest for w, t in left.items() if (rest := t - gone)}
     return chosen
 
 
-def fit(samples: list[tuple[int, list[str]]], rounds: int = ROUNDS) -> Model:
-    """Model from (label, words) of the sampled texts."""
-    bags = [(y, {u for w in words for u in units(w)}) for y, words in samples]
-    toxic = [b for y, b in bags if y == 1]
-    clean_bags = [b for y, b in bags if y != 1]
+def fit(samples: Iterable[tuple[int, Iterable[str]]], rounds: int = ROUNDS) -> Model:
+    """Model from (label, letter strings) of the sampled texts; words are numbers from here on."""
+    number: dict[str, int] = {}
+    bags, label = [], []
+    for y, found in samples:
+        bags.append(np.unique(np.fromiter((number.setdefault(u, len(number)) for u in found), np.int64)))
+        label.append(1.0 if y == 1 else 0.0)
+    names, label = list(number), np.array(label)
+    del number
+    toxic = [b for b, y in zip(bags, label) if y]
+    clean_bags = [b for b, y in zip(bags, label) if not y]
     empty = np.zeros((ALPHABET ** 2, 1), np.float32), np.zeros((ALPHABET ** 3, 1), np.float32)
-    if not any(toxic) or not any(clean_bags):
+    if not any(map(len, toxic)) or not any(map(len, clean_bags)):
         return Model({}, *empty, -1.0, 1.0, 0.0, -1.0, trained=False)
-    clean = Counter(w for b in clean_bags for w in b)
-    count = Counter(c for w in clean for c in w)
-    count.update(c for b in toxic for w in b for c in w)
+    clean, in_toxic = (np.bincount(np.concatenate(part), minlength=len(names)) for part in (clean_bags, toxic))
+    count: Counter = Counter()
+    for w in names:
+        count.update(w)
     letters = {"^": 1, "$": 2}
     for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 3]:
         letters.setdefault(c, len(letters) + 1)
-    hashed = sorted(clean, key=lambda w: (zlib.crc32(w.encode()), w))
-    found = _witnesses(toxic, clean, len(clean_bags))
-    in_toxic = Counter(w for b in toxic for w in b)
-    names = sorted(clean.keys() | in_toxic.keys())
-    positive, hard, model, margin = list(found), [], None, {}
+    codes = np.array([zlib.crc32(w.encode()) for w in names], np.uint32)
+    by_hash = np.argsort(codes, kind="stable")
+    hashed = by_hash[clean[by_hash] > 0][:2000].tolist()
+    found = _witnesses(toxic, clean, len(clean_bags), codes)
+    known = set(names)
+    positive, hard, model, margin = list(found), [], None, np.zeros(len(names))
     for _ in range(rounds):
         good = list(dict.fromkeys(positive))
-        extra = [p for i, w in enumerate(good) for p in _padded(w, i) if p not in clean]
-        negative = list(dict.fromkeys([*hard, *hashed[:2000]]))
+        extra = [p for k, w in enumerate(good) for p in _padded(names[w], k) if p not in known]
+        negative = list(dict.fromkeys([*hard, *hashed]))
         marked, y, often = [], [], []
-        for group, label in (([*good, *extra], 1.0), (negative, -1.0)):
-            for w in group:
-                for part in windows(w):
-                    marked.append(part)
-                    y.append(label)
-                    often.append(math.sqrt(max(1, (in_toxic if label > 0 else clean)[w])))
-        spread = sorted(good[30:], key=lambda w: zlib.crc32(w.encode()))
+        for word, value, n in [*((names[w], 1.0, in_toxic[w]) for w in good), *((w, 1.0, 1) for w in extra),
+                               *((names[w], -1.0, clean[w]) for w in negative)]:
+            for part in windows(word):
+                marked.append(part)
+                y.append(value)
+                often.append(math.sqrt(max(1, n)))
+        spread = sorted(good[30:], key=lambda w: int(codes[w]))
         half = LANDMARKS // 2
-        picked = [*[*good[:30], *spread][:half], *[*negative[: half // 2], *negative[-half:]]]
-        landmarks = list(dict.fromkeys(windows(w)[0] for w in picked))[:LANDMARKS]
+        picked = [*[*good[:30], *spread][:half], *negative[: half // 2], *negative[-half:]]
+        landmarks = list(dict.fromkeys(windows(names[w])[0] for w in picked))[:LANDMARKS]
         model = _nystroem(landmarks, letters, marked, np.array(y), np.array(often))
-        margin = {}
-        for at in range(0, len(names), 50_000):
-            margin.update(zip(names[at:at + 50_000], model.margins(names[at:at + 50_000]).tolist()))
-        worst = sorted(clean, key=lambda w: (-margin[w], w))[:1000]
-        hard = list(dict.fromkeys([*worst, *hard]))
-        bar = max(0.3, margin[worst[min(len(worst) - 1, len(clean) // 10_000)]])
-        fresh = {w for w in in_toxic if w not in clean and margin[w] > bar}
-        witness = {max(b & fresh, key=lambda w: (margin[w], w)) for b in toxic if b & fresh}
-        positive = [*found, *sorted(witness), *sorted(w for w in fresh if in_toxic[w] >= 3)]
-    top = np.array([max(map(margin.__getitem__, b)) if b else np.nan for _, b in bags])
-    label = np.array([1.0 if y == 1 else 0.0 for y, _ in bags])
+        for at in range(0, len(names), 20_000):
+            margin[at:at + 20_000] = model.margins(names[at:at + 20_000])
+        order = np.argsort(-margin, kind="stable")
+        worst = order[clean[order] > 0]
+        bar = max(0.3, margin[worst[min(len(worst) - 1, len(worst) // 10_000)]])
+        hard = list(dict.fromkeys([*worst[:1000].tolist(), *hard]))
+        fresh = (in_toxic > 0) & (clean == 0) & (margin > bar)
+        witness = {int(b[fresh[b]][np.argmax(margin[b[fresh[b]]])]) for b in toxic if fresh[b].any()}
+        positive = [*found, *sorted(witness), *np.flatnonzero(fresh & (in_toxic >= 3)).tolist()]
+    top = np.array([margin[b].max() if len(b) else np.nan for b in bags])
     model.lowest = float(np.nanmin(top))
-    top = np.where(np.isnan(top), model.lowest, top)
-    model.slope, model.offset = _logistic(top, label)
+    model.slope, model.offset = _logistic(np.where(np.isnan(top), model.lowest, top), label)
     return model
 
 
@@ -387,13 +392,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted(words_of(t)) if t else [] for t in batch.column("text").to_pylist()]
+            found = [" ".join(sorted({u for w in words_of(t) for u in units(w)})) if t else ""
+                     for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()),
-                                              pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+                                              pa.array(found, pa.string())], ["doc_id", "toxic", "units"])
 
     rows = texts.select("doc_id", "toxic", "text").mapInArrow(
-        tokens, "doc_id long, toxic int, words array<string>").collect()       # at most (1 + CLEAN_PER_TOXIC) x sample rows
-    return fit([(r.toxic, r.words) for r in sorted(rows, key=lambda r: (r.doc_id, r.words))])
+        tokens, "doc_id long, toxic int, units string").collect()       # at most (1 + CLEAN_PER_TOXIC) x sample rows
+    rows.sort(key=lambda r: (r.doc_id, r.units))
+    return fit((r.toxic, r.units.split()) for r in rows)
 
 
 def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
