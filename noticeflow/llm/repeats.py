@@ -475,14 +475,16 @@ def _without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     n = partitions(docs.sparkSession)
     # Equal texts work as one, under their smallest id; the same shuffle by text serves all three joins.
     plain = docs.withColumnRenamed(text, "text").withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)))
-    plain = plain.withColumn("_key", F.xxhash64("text")).withColumn("_key2", F.hash("text"))
-    first = plain.groupBy("_key", "_key2").agg(F.min("_id").alias("_first"))
-    heads = plain.join(first, ["_key", "_key2"]).where(F.col("_id") == F.col("_first"))
-    sent = heads.select("_key", "_id", "text").mapInArrow(_send_anchors(n), ANCHOR_ROWS)
+    plain = plain.withColumn("_key", F.xxhash64("text"))
+    first = plain.groupBy("_key").agg(F.min("_id").alias("_first"))
+    marked = plain.join(first, "_key")
+    heads = marked.where(F.col("_id") <= F.col("_first"))          # an equality would become a key of the join
+    # no column is dropped before these two: all three joins then read one shuffle of the texts
+    sent = heads.mapInArrow(_send_anchors(n), ANCHOR_ROWS)
     hits = sent.repartition(n, "shard").sortWithinPartitions("shard", "slice").mapInArrow(
         _answer_anchors, "_key long, _at binary")
     hits = hits.groupBy("_key").agg(F.collect_list("_at").alias("_hits"))
-    stretches = heads.join(hits, "_key").select("_key", "_id", "text", "_hits").mapInArrow(_stretches, STRETCH_ROWS)
+    stretches = heads.join(hits, "_key").mapInArrow(_stretches, STRETCH_ROWS)
     spans = stretches.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(
         _shard, "_key long, _spans binary")
     spans = spans.groupBy("_key").agg(F.collect_list("_spans").alias("_spans"))
@@ -506,8 +508,7 @@ def _without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 [*(batch.column(c) for c in own), *(pa.array(c, k) for c, k in zip(cols, kinds))], out_names)
 
     schema = T.StructType([*(T.StructField(c, docs.schema[d].dataType) for c, d in zip(own, docs.columns)), *RESULT])
-    marked = plain.join(first, ["_key", "_key2"]).join(spans, "_key", "left")
-    return marked.mapInArrow(remove, schema).withColumnRenamed("text", text)
+    return marked.join(spans, "_key", "left").mapInArrow(remove, schema).withColumnRenamed("text", text)
 
 
 def digests(docs: DataFrame) -> DataFrame:
