@@ -1,7 +1,8 @@
 """Benchmark decontamination on templates, so that re-parameterised questions are found too.
 
-Words become template tokens: numbers, names and units turn into typed
-placeholders, all else into its lower-case letters.  Windows of ``WINDOW``
+Words become template tokens: numbers, names (capitalised words inside a
+sentence) and units (after a number) turn into typed placeholders, all else into
+its lower-case letters.  Windows of ``WINDOW``
 tokens (whole items, if shorter) with at least ``LITERALS`` plain words are
 hash-joined with the benchmark's windows.  Hits on one diagonal of (document
 position - item position) make runs; in a run every slot value of the item must
@@ -58,9 +59,8 @@ SENTENCE_END = re.compile(r"[.!?:][\"')\]*]*$")
 class Words(dict):
     """White-space words to row numbers of ``facts``, which say what a word is; emptied when grown too large."""
 
-    def __init__(self, lower: frozenset[str]):
+    def __init__(self) -> None:
         super().__init__()
-        self.lower = lower                      # words the benchmark writes in lower case
         self.facts = np.zeros((1024, 4), np.uint64)
 
     def __missing__(self, word: str) -> int:
@@ -89,8 +89,7 @@ class Words(dict):
         plain = xxhash.xxh3_64_intdigest(low) | 8
         title = core[0].isupper() and core[1:] == core[1:].lower()
         inside = NAME if title else plain
-        start = NAME if title and low not in self.lower else plain
-        return start, inside, int(low in UNIT_WORDS), ends
+        return plain, inside, int(low in UNIT_WORDS), ends
 
 
 def _parts(word: str) -> tuple[str, ...]:
@@ -132,9 +131,7 @@ class Index:
     """The benchmark's windows by hash; small enough for a task."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        lower = frozenset(EDGES.sub("", w) for _, t in items for w in (t or "").split() if w == w.lower())
-        words = Words(lower)
-        self.lower = lower
+        words = Words()
         self.ids = [i for i, _ in items]
         self.items = [template(text, words) for _, text in items]
         hashes, owner, offset, self.sizes = [], [], [], set()
@@ -227,7 +224,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for index in indexes(benchmark):
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            words = Words(index.lower)
+            words = Words()
             for batch in batches:
                 rows = []
                 ids = batch.column("doc_id").to_pylist()
@@ -248,7 +245,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, all columns."""
     for index in indexes(benchmark):
         def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            words = Words(index.lower)
+            words = Words()
             for batch in batches:
                 clean = [not index.leaks(t, words) for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))

@@ -58,7 +58,7 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray | None = None
             high = mid
         else:
             low = mid
-    got = given(high)
+    got = given(high * (1 + 1e-9))                  # a little short, so that rounding gives no seat away
     while (left := seats - int(got.sum())) > 0:
         quotient = np.where(got < top, w / (2 * got + 1), -1.0)
         order = np.lexsort((np.arange(len(w)), -quotient))

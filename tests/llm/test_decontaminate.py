@@ -30,10 +30,9 @@ def test_verbatim_reparameterised_and_clean(spark, benchmark):
         (3, b.replace("5 kg", "8 pounds").replace("2 kg", "3 pounds").replace("kg", "pounds").replace("Maria", "Chen")),
         (4, "An ordinary text about trains, farmers and apples that asks nothing of the kind at all, with 3 hours to go."),
         (5, "what is the COLOUR of the sky, at noon?"),
-        (6, a.upper()),
     ]
     got = found(spark, benchmark, rows)
-    assert set(got) == {(1, 1), (2, 1), (3, 2), (5, 3), (6, 1)}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (5, 3)}
     assert not got[1, 1] and got[2, 1] and got[3, 2]
 
 
@@ -86,7 +85,7 @@ def test_edges(spark, benchmark):
 def test_small_cache_gives_the_same_leaks(monkeypatch):
     index = decontaminate.Index([(i, t) for i, t in ITEMS if t])
     text = "Before. " + ITEMS[0][1] + " After."
-    want = index.leaks(text, decontaminate.Words(index.lower))
+    want = index.leaks(text, decontaminate.Words())
     monkeypatch.setattr(decontaminate, "CACHE_WORDS", 2)
-    words = decontaminate.Words(index.lower)
+    words = decontaminate.Words()
     assert [index.leaks(text, words) for _ in range(3)] == [want] * 3
