@@ -125,16 +125,17 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, b
         yield unit
 
 
-def _by_document(doc: np.ndarray, h: np.ndarray, keys: np.ndarray) -> list[tuple[int, bytes]]:
-    """(row key, its hashes) of each document."""
-    order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    return [(int(keys[d[0]]), found.astype(np.uint64).tobytes())
-            for d, found in zip(np.split(doc, cut), np.split(h, cut)) if len(d)]
+def _grouped(key: np.ndarray, h: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, packed keys and hashes) of all pairs (row key, hash), by shard of the key."""
+    home = (key.astype(np.uint64) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    cut = np.flatnonzero(np.diff(home[order])) + 1
+    for part in np.split(order, cut) if len(order) else []:
+        names, index = np.unique(key[part], return_inverse=True)
+        yield int(home[part[0]]), _packed(names, index.astype(np.uint32), h[part])
 
 
-ANCHOR_ROWS = "shard int, slice int, key long, blob binary"
+ANCHOR_ROWS = "shard int, slice int, blob binary"
 
 
 def _short(h: np.ndarray) -> np.ndarray:
@@ -168,7 +169,7 @@ def _send_anchors(shards: int):
             tail = np.concatenate([head[1:], [len(h)]])
             several = keys[doc[head]] != keys[doc[tail - 1]]           # stable: documents in order within a hash
             flags = np.repeat(several, tail - head)
-            rows = [(int(k % shards), -1, k, blob) for k, blob in _by_document(doc[flags], h[flags], keys)]
+            rows = [(home, -1, blob) for home, blob in _grouped(keys[doc[flags]], h[flags], shards)]
             known = h[head[several]]
             h, doc = h[~flags], doc[~flags]
             small = np.uint16 if len(unit) <= 65_536 else np.uint32
@@ -176,14 +177,13 @@ def _send_anchors(shards: int):
                 used, index = np.unique(doc[part], return_inverse=True)
                 if small is np.uint32:
                     index = index.astype(np.uint32)
-                rows.append((s, c, 0, _packed(*_halves(known[part_known]), *_halves(h[part]),
+                rows.append((s, c, _packed(*_halves(known[part_known]), *_halves(h[part]),
                                               index.astype(small).view(np.uint16), keys[used])))
             for at in range(0, len(rows), 20_000):
                 part = rows[at:at + 20_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()),
-                     pa.array([r[2] for r in part], pa.int64()), pa.array([r[3] for r in part], pa.binary())],
-                    ["shard", "slice", "key", "blob"])
+                     pa.array([r[2] for r in part], pa.binary())], ["shard", "slice", "blob"])
     return run
 
 
@@ -202,8 +202,8 @@ def _dealt(known: np.ndarray, h: np.ndarray, shards: int):
             yield pa_, pb, (code // SLICES, code % SLICES)
 
 
-def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1, shards: the anchors that several documents hold (rows sorted by shard and slice)."""
+def _answer_anchors(shards: int):
+    """Step 1, shards: the anchors that several documents hold, packed by shard of the document's key."""
     kinds = (np.uint32, np.uint16, np.uint32, np.uint16, np.uint16, np.int64)
 
     def answered(blobs: list[bytes]) -> list[tuple[int, bytes]]:
@@ -227,31 +227,55 @@ def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         tail = np.concatenate([head[1:], [len(h)]])
         several = (key[doc[head]] != key[doc[tail - 1]]) | np.isin(h[head], known)
         flags = np.repeat(several, tail - head)
-        return _by_document(doc[flags], h[flags], key)
+        return list(_grouped(key[doc[flags]], h[flags], shards))
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
-                                           pa.array([r[1] for r in rows], pa.binary())], ["_key", "_at"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
+                                           pa.array([r[1] for r in rows], pa.binary())], ["home", "blob"])
 
-    at, held = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None                                      # rows come sorted by shard and slice
+        for batch in batches:
+            for shard, part, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "slice", "blob"))):
+                if part < 0:
+                    yield batch_of([(shard, blob)])
+                    continue
+                if at is not None and at[0] != (shard, part):
+                    yield batch_of(answered(at[1]))
+                    at = None
+                if at is None:
+                    at = ((shard, part), [])
+                at[1].append(blob)
+        if at is not None:
+            yield batch_of(answered(at[1]))
+
+    return run
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document: its repeated anchors (rows come sorted by home)."""
+    def gathered(blobs: list[bytes]) -> pa.RecordBatch:
+        parts = [_unpacked(b, np.int64, np.uint32, np.uint64) for b in blobs]
+        key = np.concatenate([names[index] for names, index, _ in parts])
+        h = np.concatenate([found for _, _, found in parts])
+        order = np.argsort(key, kind="stable")
+        key, h = key[order], h[order]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        tail = [*head[1:].tolist(), len(key)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key[head]), pa.array([h[a:b].tobytes() for a, b in zip(head.tolist(), tail)], pa.binary())],
+            ["_key", "_hits"])
+
+    home, held = None, []
     for batch in batches:
-        for shard, part, key, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "slice", "key", "blob"))):
-            if part < 0:
-                held.append((key, blob))
-                if len(held) >= 5_000:
-                    yield batch_of(held)
-                    held = []
-                continue
-            if at is not None and at[0] != (shard, part):
-                held += answered(at[1])
-                at = None
-            if at is None:
-                at = ((shard, part), [])
-            at[1].append(blob)
-    if at is not None:
-        held += answered(at[1])
+        for here, blob in zip(batch.column("home").to_pylist(), batch.column("blob").to_pylist()):
+            if here != home and held:
+                yield gathered(held)
+                held = []
+            home = here
+            held.append(blob)
     if held:
-        yield batch_of(held)
+        yield gathered(held)
 
 
 STRETCH_ROWS = "anchor long, off int, text binary, id long, key long, at int"
@@ -288,8 +312,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, i, text, hits in zip(*(batch.column(c).to_pylist() for c in ("_key", "_id", "text", "_hits"))):
             data = text.encode()
             at, h, least = anchors(np.frombuffer(data, np.uint8))
-            hit = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in hits]))
-            hit = np.flatnonzero(np.isin(_short(h[at]), hit))
+            hit = np.flatnonzero(np.isin(_short(h[at]), np.frombuffer(hits, np.uint64)))
             mine = owned(at, h, least)
             first = np.searchsorted(mine, hit, side="left").tolist()
             last = np.searchsorted(mine, hit, side="right").tolist()
@@ -482,8 +505,8 @@ def _without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     # no column is dropped before these two: all three joins then read one shuffle of the texts
     sent = heads.mapInArrow(_send_anchors(n), ANCHOR_ROWS)
     hits = sent.repartition(n, "shard").sortWithinPartitions("shard", "slice").mapInArrow(
-        _answer_anchors, "_key long, _at binary")
-    hits = hits.groupBy("_key").agg(F.collect_list("_at").alias("_hits"))
+        _answer_anchors(n), "home int, blob binary")
+    hits = hits.repartition(n, "home").sortWithinPartitions("home").mapInArrow(_hits, "_key long, _hits binary")
     stretches = heads.join(hits, "_key").mapInArrow(_stretches, STRETCH_ROWS)
     spans = stretches.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(
         _shard, "_key long, _spans binary")
