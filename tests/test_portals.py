@@ -34,7 +34,7 @@ def test_computrabajo_cards_of_one_page(spark):
         offer(2, place="Trujillo, La Libertad"),                          # no zone of the province
         offer(3, path="perfil"),                                          # not an offer
         offer(4, place="San Luis, Lima"),                                 # found by its name
-        offer(5, extra="<p>Sin empresa ni sueldo</p>"),
+        offer(5, age="Hace 2 horas", extra="<p>Sin empresa ni sueldo</p>"),
     ])
     out = listings(spark, fv.SOURCE_COMPUTRABAJO, (None, html))
     assert [r.titulo for r in out] == ["Puesto 1", "Puesto 4", "Puesto 5"]
