@@ -16,8 +16,8 @@ chance does not explain, then the best-scoring word of each text, round by round
 A text's margin is that of its most toxic word; a logistic curve fitted on the
 sample turns it into a score.  Whole texts are scored.
 
-Defined results: NULL and empty texts have the margin of the cleanest sample
-text; without any toxic (or any clean) label every score is 0; words longer than
+Defined results: NULL and empty texts, and texts without letters, have the margin
+of the cleanest sample text, the lowest there is; without any toxic (or any clean) label every score is 0; words longer than
 ``WINDOW`` letters are scored in overlapping windows; repeated rows get equal
 scores; an empty table gives no rows; other columns pass through.
 """
@@ -184,6 +184,7 @@ class Model:
     def score(self, margin: float) -> float:
         if not self.trained:
             return 0.0
+        margin = max(margin, self.lowest)
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * margin + self.offset))))
 
 
