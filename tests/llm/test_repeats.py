@@ -89,11 +89,11 @@ def test_run_length_does_not_matter(monkeypatch, run):
         cut = base[rng.randint(0, 20):rng.randint(80, 300)] + words(rng, 3).encode()
         for p, off in ((40, 20),):
             if len(cut) >= p + 50:
-                rows.append((11, off, cut[p - off:p + 60], i, i, p - off, None))
+                rows.append((11, off, cut[p - off:p + 60], i, i, p - off))
     rows = [r for r in rows if r[2][r[1]:r[1] + 20] == rows[0][2][rows[0][1]:rows[0][1] + 20]]
     monkeypatch.setattr(repeats, "RUN", run)
     found = repeats._settle(rows)
-    for _, off, text, i, _, at, _ in rows:
+    for _, off, text, i, _, at in rows:
         for w in range(len(text) - 49):
             first = min(r[3] for r in rows for k in [w - off + r[1]]
                         if 0 <= k <= len(r[2]) - 50 and r[2][k:k + 50] == text[w:w + 50])
