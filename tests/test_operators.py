@@ -286,6 +286,8 @@ def test_ledger_roundtrip(spark, tmp_dir):
 
 
 def test_document_sniffing(spark, tmp_dir):
+    tmp_dir = os.path.join(tmp_dir, "docs")
+    os.mkdir(tmp_dir)
     with open(os.path.join(tmp_dir, "a.tmp"), "wb") as f:
         f.write(b"PK\x03\x04rest")
     with open(os.path.join(tmp_dir, "b.tmp"), "wb") as f:
