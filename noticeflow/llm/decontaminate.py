@@ -192,21 +192,23 @@ class Index:
         return [(n, a, size, changed) for n, (a, size, changed) in sorted(best.items())]
 
     def _consistent(self, item_raw, item_code, raw, a: int, b: int, diagonal: int):
-        """The stretches of [a, b) in which slots map one to one, and whether any value changed."""
-        there: dict[tuple[int, str], str] = {}
-        back: dict[tuple[int, str], str] = {}
-        begin, changed = a, False
+        """The longest stretches of [a, b) in which slots map one to one, and whether any value changed."""
+        there: dict[tuple[int, str], tuple[str, int]] = {}             # value -> (its partner, last place)
+        back: dict[tuple[int, str], tuple[str, int]] = {}
+        begin, changed = a, -1                                         # changed: the last place of a new value
         for p in range(a, b):
             kind = int(item_code[p - diagonal])
             if kind > UNIT:
                 continue
             x, y = EDGES.sub("", item_raw[p - diagonal]).lower(), EDGES.sub("", raw[p]).lower()
-            if there.setdefault((kind, x), y) != y or back.setdefault((kind, y), x) != x:
-                yield begin, p, changed
-                there, back = {(kind, x): y}, {(kind, y): x}
-                begin, changed = p, False
-            changed = changed or x != y
-        yield begin, b, changed
+            clash = max((at for held, new in ((there.get((kind, x)), y), (back.get((kind, y)), x))
+                         if held and held[0] != new for at in held[1:]), default=-1)
+            if clash >= begin:
+                yield begin, p, changed >= begin
+                begin = clash + 1
+            there[kind, x], back[kind, y] = (y, p), (x, p)
+            changed = p if x != y else changed
+        yield begin, b, changed >= begin
 
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:

@@ -89,3 +89,14 @@ def test_small_cache_gives_the_same_leaks(monkeypatch):
     monkeypatch.setattr(decontaminate, "CACHE_WORDS", 2)
     words = decontaminate.Words()
     assert [index.leaks(text, words) for _ in range(3)] == [want] * 3
+
+
+def test_longest_stretch_when_two_slots_shared_a_value():
+    item = ("then we put 2 red pens into the box and then 2 blue pens into that bag before anybody came home from "
+            "school")
+    index = decontaminate.Index([(1, item)])
+    text = item.replace("2 red", "5 red").replace("2 blue", "3 blue")
+    assert [i for i, word in enumerate(item.split()) if word == "2"] == [3, 11]
+    (_, first, size, changed), = index.leaks(text + " it", decontaminate.Words())
+    assert (first, size, changed) == (4, 19, True)
+    assert index.leaks(" ".join(text.split()[:15]), decontaminate.Words()) == []
