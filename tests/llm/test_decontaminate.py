@@ -100,3 +100,20 @@ def test_longest_stretch_when_two_slots_shared_a_value():
     (_, first, size, changed), = index.leaks(text + " it", decontaminate.Words())
     assert (first, size, changed) == (4, 19, True)
     assert index.leaks(" ".join(text.split()[:15]), decontaminate.Words()) == []
+
+
+def test_copies_whatever_their_case_and_punctuation():
+    index = decontaminate.Index([(i, t) for i, t in [*ITEMS, (7, "Tom has 12 red apples. How many are left?")] if t])
+
+    def of(text):
+        return [(index.ids[n], changed) for n, _, _, changed in index.leaks(text, decontaminate.Words())]
+
+    short, long = ITEMS[2][1], ITEMS[0][1]
+    for before in ("Quiz\n", "3) ", "- ", "so then ", "He asked, \""):
+        assert of(before + short) == [(3, False)]
+    for copy in (long.lower(), long.upper(), long.replace(".", "").replace("?", "")):
+        assert of(copy) == [(1, False)]
+    for text in ("Anna has 7 red apples. How many are left?", "Exercise\nAnna has 7 red apples, how many are left?",
+                 "here Anna has 7 red apples How many are left"):
+        assert of(text) == [(7, True)]
+    assert of("Anna has 7 red apples. Few are left, how many?") == []
