@@ -1,8 +1,8 @@
 """Benchmark decontamination on templates, so that re-parameterised questions are found too.
 
 Words become template tokens: numbers, names (capitalised words) and units
-(after a number) turn into typed placeholders, all else into its lower-case
-letters.  A capitalised word that may open a sentence (text start, after an end
+(after a number), each run of them as one, turn into typed placeholders, all else
+into its lower-case letters.  A capitalised word that may open a sentence (text start, after an end
 mark, line break, list mark or opening quote) counts as a name and as a plain
 word.  Windows of ``WINDOW`` tokens (whole items, if shorter) with at least
 ``LITERALS`` plain words are hash-joined with the benchmark's windows, and so
@@ -175,8 +175,12 @@ def stream(texts: list[list[str]], words: Words) -> Stream:
 def tokens(s: Stream, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token codes and their first words when of all ``maybe`` words those in ``names`` are names."""
     kind = np.where(s.maybe & ~names, 0, s.kind)
-    start = np.arange(len(kind))
-    return np.where(kind > 0, kind.astype(np.uint64), s.plain), start
+    new = (kind == 0) | s.hard
+    new[1:] |= (kind[1:] != kind[:-1]) | (s.part[1:] != s.part[:-1])
+    new[:1] = True
+    start = np.flatnonzero(new)
+    kind = kind[start]
+    return np.where(kind > 0, kind.astype(np.uint64), s.plain[start]), start
 
 
 def readings(s: Stream, period: int = 2) -> Iterator[tuple[Stream, np.ndarray, np.ndarray]]:
@@ -245,8 +249,13 @@ class Side:
         return Side(self.low[::-1], self.kind[::-1], self.maybe[::-1], [True, *self.hard[:0:-1]])
 
     def slots(self, w: int) -> list[int]:
-        """Where a slot that starts at word ``w`` may end."""
-        return [w + 1]
+        """Where a slot that starts at word ``w`` may end: its run, up to any plain word that may open a sentence."""
+        kind, out, e = self.kind[w], [], w + 1
+        while e < len(self.kind) and self.kind[e] == kind and not self.hard[e]:
+            if self.maybe[e] or self.maybe[e - 1]:
+                out.append(e)
+            e += 1
+        return [*out, e]
 
 
 def walk(item: Side, doc: Side, i: int, p: int) -> list[tuple[int, int, int, int, int]]:
@@ -387,7 +396,7 @@ class Index:
                     continue
                 size = sum(step[0] for step in steps[c:d])
                 whole = steps[c][1] == 0 and steps[d - 1][2] == n
-                if (size >= RUN or whole) and (best is None or size > best[1]):
+                if (size >= RUN or whole) and (best is None or (size, best[2]) > (best[1], changed)):
                     best = (steps[c][3], size, changed)
         return best
 

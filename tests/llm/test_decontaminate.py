@@ -117,3 +117,21 @@ def test_copies_whatever_their_case_and_punctuation():
                  "here Anna has 7 red apples How many are left"):
         assert of(text) == [(7, True)]
     assert of("Anna has 7 red apples. Few are left, how many?") == []
+
+
+def test_values_of_several_words_are_one_slot():
+    item = "Anyone who walks from Paris to the lake with five friends meets Maria there"
+    index = decontaminate.Index([(1, item), (2, "Maria sold 3 kg of plums and then ate two of them")])
+    words = decontaminate.Words()
+    changes = {"Paris": "New York City", "five": "twenty five", "Maria": "Maria Lopez"}
+    for old, new in changes.items():
+        (_, first, size, changed), = index.leaks(item.replace(old, new), words)
+        assert (first, size, changed) == (0, 14, True)
+    text = item
+    for old, new in changes.items():
+        text = text.replace(old, new)
+    back = decontaminate.Index([(1, text)])
+    assert index.leaks(text, words) == [(0, 0, 14, True)] and back.leaks(item, words) == [(0, 0, 14, True)]
+    for name in ("Anna", "Anna Maria Lopez"):
+        (n, *_), = index.leaks(f"{name} sold twenty five pounds of plums and then ate six of them", words)
+        assert n == 1
