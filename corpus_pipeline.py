@@ -39,8 +39,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of every document."""
-    return mixing.mix(docs)
+    """Every document with the text that the mix takes of it, repeats on lines of their own, and the counts."""
+    mixed = mixing.mix(docs)
+    pieces = F.array_join(mixing.taken_texts(F.col("text"), F.col("ranges")), "\n")
+    mixed = mixed.withColumn("text", F.when(F.col("text").isNotNull(), pieces))
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return mixed
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -55,7 +60,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed documents, all columns."""
     docs = table(spark, sf_dir, "documents")
     name = f"pipeline-{uuid.uuid4().hex}"
     for n, (stage, apply) in enumerate(STAGES):
@@ -63,3 +69,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         apply(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the mixed documents."""
+    return mixed_corpus(spark, sf_dir).select("doc_id", *mixing.COUNTS)

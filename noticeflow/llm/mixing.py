@@ -5,28 +5,38 @@ A source's documents are dealt by a seeded hash into shards of about
 source an integer number of blocks, and again every shard group and every shard
 its share of them.  Inside a shard the documents lie end to end in seeded
 order, cut into equal blocks; a seeded permutation picks the blocks to take.
+Every document comes back with its columns, the word ranges to take of it and how
+often; ``taken_texts`` cuts them out.
 
 Defined results: NULL text counts no words; NULL source is a source of its own,
 ranked last; a document without words takes none; repeated rows are documents
-of their own; an empty table gives no rows.
+of their own; columns named as one of the result give way; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticeflow.llm.common import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
+WORDS = re.compile(WORD)
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
 BLOCK_WORDS = 32
 SHARD_WORDS = 65_536
 GROUP_SHARDS = 1_024
 SEED = 17
+COUNTS = ("size", "source_size", "target", "taken")
+RANGES = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("begin", "end", "times")]))
 
 
 def n_words(text: Column) -> Column:
@@ -120,45 +130,96 @@ def block_quotas(shards: DataFrame, sources: DataFrame) -> DataFrame:
         .select("src", "shard", "size", "quota")
 
 
+def _ranges(sizes: np.ndarray, edges: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, first word, end, times) of the stretches taken, for documents that lie end to end."""
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.concatenate([[0], edges, ends]))
+    begin, end = cuts[:-1], cuts[1:]
+    doc = np.searchsorted(ends, begin, side="right")
+    often = times[np.searchsorted(edges, begin, side="right") - 1]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (often[1:] != often[:-1])])[:len(begin)]
+    head = np.flatnonzero(new)
+    begin, end, doc, often = begin[head], end[np.append(head[1:], len(end)) - 1], doc[head], often[head]
+    first = (ends - sizes)[doc]
+    used = often > 0
+    return doc[used], (begin - first)[used], (end - first)[used], often[used]
+
+
 def _taken(seed: int):
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        """Taken words of one shard's documents: its blocks, each as often as quota and permutation say."""
-        rows = rows.sort_values(["_order", "doc_id", "size"], kind="stable", na_position="last")
-        sizes = rows["size"].to_numpy(np.int64)
+    def pick(rows: pa.Table) -> pa.Table:
+        """Ranges to take of one shard's documents: its blocks, each as often as quota and permutation say."""
+        keys = [(c, "ascending") for c in ("_order", "doc_id", "size", "_text")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_end"))
+        sizes = rows["size"].to_numpy()
         total = int(sizes.sum())
-        ends = np.cumsum(sizes)
-        if total == 0:
-            return rows.assign(taken=0)[["doc_id", "size", "source_size", "target", "taken"]]
-        m = max(1, (total + BLOCK_WORDS // 2) // BLOCK_WORDS)
-        takes = min(REPEATS * m, int(np.floor(int(rows["quota"].iloc[0]) * BLOCK_WORDS * m / total + 0.5)))
-        times = np.full(m, takes // m, dtype=np.int64)
-        rng = np.random.Generator(np.random.PCG64([seed, int(rows["src"].iloc[0]), int(rows["shard"].iloc[0])]))
-        times[rng.permutation(m)[: takes % m]] += 1
-        edges = np.arange(m + 1, dtype=np.int64) * total // m
-        upto = np.concatenate([[0], np.cumsum(times * np.diff(edges))])
-
-        def words_before(x: np.ndarray) -> np.ndarray:
-            block = np.clip(np.searchsorted(edges, x, side="right") - 1, 0, m - 1)
-            return upto[block] + (x - edges[block]) * times[block]
-
-        taken = words_before(ends) - words_before(ends - sizes)
-        return rows.assign(taken=taken)[["doc_id", "size", "source_size", "target", "taken"]]
+        doc = begin = end = often = np.zeros(0, np.int64)
+        if total:
+            m = max(1, (total + BLOCK_WORDS // 2) // BLOCK_WORDS)
+            takes = min(REPEATS * m, int(np.floor(rows["quota"][0].as_py() * BLOCK_WORDS * m / total + 0.5)))
+            times = np.full(m, takes // m, dtype=np.int64)
+            rng = np.random.Generator(np.random.PCG64([seed, rows["src"][0].as_py(), rows["shard"][0].as_py()]))
+            times[rng.permutation(m)[: takes % m]] += 1
+            doc, begin, end, often = _ranges(sizes, np.arange(m + 1, dtype=np.int64) * total // m, times)
+        taken = np.zeros(len(sizes), np.int64)
+        np.add.at(taken, doc, (end - begin) * often)
+        starts = np.searchsorted(doc, np.arange(len(sizes) + 1)).astype(np.int32)
+        ranges = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays(
+            [pa.array(x, pa.int64()) for x in (begin, end, often)], ["begin", "end", "times"]))
+        own = [c for c in rows.column_names if c in ("doc_id", "rest_", "size", "source_size", "target")]
+        return rows.select(own).append_column("taken", pa.array(taken)).append_column("ranges", ranges)
 
     return pick
 
 
-def mix(docs: DataFrame, text: str = "text", seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every document."""
-    sizes = saved(docs.select("doc_id", "source", n_words(F.col(text)).alias("size")))
+def mix(docs: DataFrame, text: str = "text", seed: int = SEED, whole: bool = True) -> DataFrame:
+    """``docs`` with size, source_size, target, taken and ranges (begin, end, times) of words of the text.
+
+    Without ``whole`` only doc_id and these; the texts are then not dealt to the shards.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", *COUNTS, "ranges")] if whole else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col(text)).alias("size"),
+                       F.xxhash64(text).alias("_text"),
+                       *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest_")] if rest else []))
+    sizes = saved(rows.drop("rest_"))
     sources = saved(source_targets(sizes))
     n_shards = F.ceil((F.col("source_size") + F.col("n_docs")) / F.lit(SHARD_WORDS)).cast("long")
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     s = sources.withColumnRenamed("source", "_source")
-    placed = sizes.join(s, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "size", "src", "source_size", "target",
-        F.pmod(F.xxhash64(order, F.lit(seed + 1)), n_shards).alias("shard"), order.alias("_order"))
-    placed = placed.withColumn("grp", F.floor(F.col("shard") / GROUP_SHARDS).cast("long"))
-    shards = placed.groupBy("src", "grp", "shard").agg(F.sum("size").alias("size"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        out = df.join(s, F.col("source").eqNullSafe(F.col("_source"))).select(
+            *[c for c in df.columns if c != "source"], "src", "source_size", "target",
+            F.pmod(F.xxhash64(order, F.lit(seed + 1)), n_shards).alias("shard"), order.alias("_order"))
+        return out.withColumn("grp", F.floor(F.col("shard") / GROUP_SHARDS).cast("long"))
+
+    shards = placed(sizes).groupBy("src", "grp", "shard").agg(F.sum("size").alias("size"))
     quotas = block_quotas(shards, sources).select("src", "shard", "quota")
-    return placed.join(quotas, ["src", "shard"]).groupBy("src", "shard").applyInPandas(
-        _taken(seed), "doc_id long, size long, source_size long, target double, taken long")
+    dealt = placed(rows if rest else sizes).drop("grp").join(quotas, ["src", "shard"])
+    # the columns keep the order in which the shards' tables come
+    own = [f for f in dealt.schema.fields if f.name in ("doc_id", "rest_", "size", "source_size", "target")]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in own]).add("taken", "long").add(
+        "ranges", RANGES)
+    out = dealt.groupBy("src", "shard").applyInArrow(_taken(seed), schema)
+    return out.select("doc_id", *COUNTS, "ranges", *[F.col("rest_").getField(c).alias(c) for c in rest])
+
+
+def pieces(text: str | None, ranges: list | None) -> list[str]:
+    """The parts of a text that its ranges take, with the white space inside; repeats each their own."""
+    words = [m.span() for m in WORDS.finditer(text)] if text and ranges else []
+    out = []
+    for k in range(max((r["times"] for r in ranges or ()), default=0)):
+        stretches: list[list[int]] = []
+        for r in ranges:
+            if r["times"] <= k:
+                continue
+            if stretches and stretches[-1][1] == r["begin"]:
+                stretches[-1][1] = r["end"]
+            else:
+                stretches.append([r["begin"], r["end"]])
+        out += [text[words[a][0]:words[b - 1][1]] for a, b in stretches]
+    return out
+
+
+def taken_texts(text: Column, ranges: Column) -> Column:
+    """The pieces to take of each text, array<string>."""
+    return F.udf(pieces, "array<string>", useArrow=True)(text, ranges)

@@ -16,7 +16,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), whole=False).drop("ranges")
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import heapq
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from noticeflow.llm import mixing
 
@@ -74,3 +75,24 @@ def test_edges(spark):
     assert [o[2] for o in out if not o[1]] == [0, 0]
     only = mixing.mix(spark.createDataFrame([(1, None, None), (2, "", "q")], SCHEMA)).collect()
     assert [r.taken for r in only] == [0, 0] and [r.target for r in only] == [0.0, 0.0]
+
+
+def test_ranges_and_texts_are_what_is_counted(spark):
+    rng = random.Random(3)
+    rows = [(i, " \n".join(f"w{i}x{k}" for k in range(rng.randint(0, 300))), rng.choice(("a", "b", "c")), [i, None])
+            for i in range(300)] + [(900, None, None, None), (901, "solo", "tiny", [])]
+    docs = spark.createDataFrame(rows, SCHEMA + ", extra array<long>")
+    mixed = mixing.mix(docs)
+    out = mixed.withColumn("pieces", mixing.taken_texts(F.col("text"), F.col("ranges"))).collect()
+    by = {r[0]: r for r in rows}
+    assert len(out) == len(rows) and any(r.taken > r.size for r in out) and any(0 < r.taken < r.size for r in out)
+    for r in out:
+        assert (r.doc_id, r.text, r.source, r.extra) == by[r.doc_id]
+        words = (r.text or "").split()
+        want = [w for g in r.ranges for w in words[g.begin:g.end] * g.times]
+        got = [w for p in r.pieces for w in p.split()]
+        assert len(want) == r.taken and sorted(want) == sorted(got)
+        assert all(p in r.text for p in r.pieces)
+    few = mixing.mix(docs, whole=False)
+    assert few.columns == ["doc_id", *mixing.COUNTS, "ranges"]
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, mixed.select(few.columns).collect()))

@@ -79,3 +79,15 @@ def test_every_number_has_one_query():
     numbers = [int(q[2:].split("_")[0]) for q in queries.QUERIES]
     assert numbers == list(range(1, 11))
     assert all(name in entry.queries() for name in queries.QUERIES)
+
+
+def test_last_stage_gives_the_mixed_texts(spark, tmp_dir):
+    rows, _ = folder(spark, tmp_dir)
+    docs = spark.read.parquet(f"{tmp_dir}/documents.parquet")
+    out = corpus_pipeline.mix_sources(spark, docs, tmp_dir)
+    assert set(docs.columns) < set(out.columns)
+    texts = dict(rows)
+    for r in out.collect():
+        assert len((r.text or "").split()) == r.taken and r._key == "k"
+        assert all(line in texts[r.doc_id] for line in (r.text or "").splitlines())
+        assert r.n_chars == (None if r.text is None else len(r.text))
