@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import (chat, decontaminate, main_text, merkle, mixing, near_join, repeats, token_counts, toxicity,
-                            urls)
+from noticeflow.llm import (chat, decontaminate, hard_negatives, main_text, manifest, merkle, mixing, near_join,
+                            piece_codec, repeats, token_counts, toxicity, urls)
 from noticeflow.llm.common import saved, table
 
 
@@ -68,9 +68,22 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "class_id", "n_links", "set_id")
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_codec.Model.read()
+    return piece_codec.digests(piece_codec.encode(table(spark, sf_dir, "documents", "doc_id", "text"), model), model)
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audited(table(spark, sf_dir, "documents", *manifest.COLUMNS))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 QUERIES = {q.__name__: q for q in (op1_toxicity, op2_mixing, op3_main_text, op4_suffix_dedup,
                                   op5_token_counts, op6_merkle, op7_chat, op8_urls, op9_decontaminate,
-                                  op10_near_join)}
+                                  op10_near_join, op11_piece_codec, op12_manifest, op13_hard_negatives)}
 
 
 OP7_SQL = r"""
@@ -92,5 +105,92 @@ FROM e GROUP BY conv_id
 """
 
 
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, source, lang, n_chars, text,
+         CASE WHEN xor(list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
+                                                                lambda c: ascii(c)::BIGINT)),
+                lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+                                           lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))),
+              4294967295) % 3 = 0
+              THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+              ELSE text END AS shown_text
+  FROM documents
+), f AS (
+  SELECT doc_id, tree, text, shown_text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM d
+), leaves AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(shown_text) || ':' || shown_text, '-')) AS shown
+  FROM f
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), nodes(tree, lvl, idx, n, h) AS (
+  SELECT tree, 0, idx, n, leaf FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes
+  WHERE n > 1 GROUP BY tree, lvl, idx // 8, n
+), subroots AS (
+  SELECT tree AS branch, h AS subroot, lvl AS height, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), tops(lvl, idx, n, h) AS (
+  SELECT 0, idx, n, subroot FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM tops
+  WHERE n > 1 GROUP BY lvl, idx // 8, n
+), kin AS (
+  SELECT tree, lvl, idx,
+         coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WHERE n > 1 WINDOW run AS (PARTITION BY tree, lvl, idx // 8 ORDER BY idx)
+), top_kin AS (
+  SELECT lvl, idx,
+         coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM tops WHERE n > 1 WINDOW run AS (PARTITION BY lvl, idx // 8 ORDER BY idx)
+), walks(tree, home, lvl, idx, h, proof) AS (
+  SELECT tree, idx, 0, idx, shown, '' FROM placed
+  UNION ALL
+  SELECT w.tree, w.home, w.lvl + 1, w.idx // 8, sha256(k.l || w.h || k.r), w.proof || k.l || k.r
+  FROM walks w JOIN kin k ON k.tree = w.tree AND k.lvl = w.lvl AND k.idx = w.idx
+), top_walks(tree, home, lvl, idx, h, proof) AS (
+  SELECT w.tree, w.home, 0, s.idx, w.h, w.proof FROM walks w JOIN subroots s ON s.branch = w.tree AND s.height = w.lvl
+  UNION ALL
+  SELECT w.tree, w.home, w.lvl + 1, w.idx // 8, sha256(k.l || w.h || k.r), w.proof || k.l || k.r
+  FROM top_walks w JOIN top_kin k ON k.lvl = w.lvl AND k.idx = w.idx
+)
+SELECT p.doc_id, p.leaf, s.subroot, t.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root,
+       w.h = t.h AS verified
+FROM placed p JOIN subroots s ON s.branch = p.tree CROSS JOIN (SELECT lvl, h FROM tops WHERE n = 1) t
+JOIN top_walks w ON w.tree = p.tree AND w.home = p.idx AND w.lvl = t.lvl
+"""
+
+OP13_SQL = r"""
+WITH ok AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM ok a JOIN ok c ON c.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": OP7_SQL}
+    return {"op7_chat": OP7_SQL, "op12_manifest": OP12_SQL, "op13_hard_negatives": OP13_SQL}
