@@ -10,13 +10,15 @@ their blocks to be joined by position.
 
 Rows grow with the number of blocks, tasks hold one block or the distinct words
 of one shard.  A frequent word is one entry of every block that holds it, however
-often it occurs.  Blocks are saved before their words are dealt, so a lost
-executor cannot change them.
+often it occurs.  A block is named after its distinct words, so ids only ever
+meet the block they were asked for; the shuffle that deals the blocks is read
+twice, for the words and for the texts.
 
 Segmenting follows the library: the pair of neighbouring symbols with the best
 score merges first, ties from the left; characters that are no piece become their
 UTF-8 bytes' pieces, or without byte pieces the unknown id, neighbouring ones
-joined.  Normalising the text is the library's own function.
+joined.  Normalising the text is the library's own function, or nothing but
+marking the spaces where the model says so.
 
 Defined results: NULL and empty texts have no pieces, only begin and end ids;
 repeated rows and ids get equal results, a row each; very long texts are blocks
@@ -36,17 +38,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import partitions, saved
+from noticeflow.llm.common import partitions
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_TEXT = " ⁇ "
-BLOCK = 8_000_000
-SHARDS = 4096
+BLOCK = 16_000_000
+SHARDS = 512
+SHORT = 64
 CUT = b"\xff"                       # in no UTF-8 text
 
 
@@ -67,7 +69,9 @@ class Model:
         self.byte_ids = [i for i, k in enumerate(self.kinds) if k == self.BYTE]
         self.unknown = self.kinds.index(self.UNKNOWN)
         self.begin, self.end = proto.trainer_spec.bos_id, proto.trainer_spec.eos_id
-        self.prefix = proto.normalizer_spec.add_dummy_prefix
+        spec = proto.normalizer_spec
+        self.prefix = spec.add_dummy_prefix
+        self.plain = not (spec.precompiled_charsmap or spec.remove_extra_whitespaces or spec.normalization_rule_tsv)
         if proto.trainer_spec.model_type != 2 or {self.USER, self.UNUSED} & set(self.kinds):
             raise ValueError("only BPE models without user-defined and unused pieces are read")
         if self.byte_ids and len(self.byte_ids) != 256:
@@ -84,12 +88,53 @@ class Model:
         return Model, (self.data,)
 
     @cached_property
-    def normalizer(self):
+    def library(self):
         import sentencepiece
         return sentencepiece.SentencePieceProcessor(model_proto=self.data)
 
+    def normalized(self, texts: pa.Array) -> pa.Array:
+        """The texts as the model reads them, with spaces for marks."""
+        if not self.plain:
+            texts = pa.array(self.library.normalize(texts.to_pylist()), pa.large_string())
+        marked = pc.replace_substring(texts, MARK, " ")
+        if not self.plain or not self.prefix:
+            return marked
+        space, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        return pc.if_else(pc.equal(marked, none), none, pc.binary_join_element_wise(space, marked, none))
+
     def segment(self, word: str) -> list[int]:
         """The ids of one marked word."""
+        out, strange = [], False
+        for piece in self.merged(word) if len(word) <= SHORT else self.merged_long(word):
+            known = self.ids.get(piece)
+            if known is not None:
+                out.append(known)
+            elif self.byte_ids:
+                out += [self.byte_ids[x] for x in piece.encode()]
+            elif not strange:
+                out.append(self.unknown)
+            strange = known is None
+        return out
+
+    def merged(self, word: str) -> list[str]:
+        """The pieces after all merges, the best pair first; quadratic in the length."""
+        parts, score, none = list(word), self.score.get, float("-inf")
+        pairs = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            top = max(pairs)
+            if top == none:
+                break
+            k = pairs.index(top)                            # the leftmost of equals
+            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = score(parts[k - 1] + parts[k], none)
+            if k < len(pairs):
+                pairs[k] = score(parts[k] + parts[k + 1], none)
+        return parts
+
+    def merged_long(self, word: str) -> list[str]:
+        """The same with a queue, for long words."""
         symbols, score = list(word), self.score
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -115,16 +160,7 @@ class Model:
             if before[a] >= 0:
                 offer(before[a], a)
             after[b] = -1
-        out, strange = [], False
-        for piece in filter(None, symbols):
-            if piece in self.ids:
-                out.append(self.ids[piece])
-            elif self.byte_ids:
-                out += [self.byte_ids[x] for x in piece.encode()]
-            elif not strange:
-                out.append(self.unknown)
-            strange = piece not in self.ids
-        return out
+        return [p for p in symbols if p]
 
     @cached_property
     def texts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,79 +225,86 @@ def _lenient(raw: bytes) -> str:
 
 def marked_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """The number of marked words of each normalised text, and all words in order as dictionary codes."""
-    mark = MARK.encode()
-    cut = pc.replace_substring(texts.cast(pa.large_binary()), mark, CUT + mark)
+    cut = pc.replace_substring(texts.cast(pa.large_binary()), b" ", CUT + b" ")
     for _ in range(2):                                      # neighbouring marks stay together
-        cut = pc.replace_substring(cut, mark + CUT + mark, mark + mark)
+        cut = pc.replace_substring(cut, b" " + CUT + b" ", b"  ")
     words = pc.split_pattern(cut, CUT)
     flat = words.flatten()
     full = pc.greater(pc.binary_length(flat), 0)            # before the first mark there is nothing
-    owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))[full.to_numpy(False)]
-    return np.bincount(owner, minlength=len(texts)), flat.filter(full).dictionary_encode()
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return np.diff(upto[words.offsets.to_numpy()]), flat.filter(full).dictionary_encode()
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    return zstandard.compress(numbers.astype("<u4").tobytes())
+    """Whole numbers below 2^32, their bytes by place."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype="<u4")
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1).T).view(
+        "<u4").ravel().astype(np.int64)
 
 
-def block_row(name: int, keys: pa.Array, texts: list[str | None], model: Model) -> pa.RecordBatch:
-    """One block: its keys, words a text, texts as word numbers, and its distinct words, sorted by shard."""
-    normal = model.normalizer.normalize([t or "" for t in texts])
-    counts, codes = marked_words(pa.array(normal, pa.large_string()))
+def block_row(keys: pa.Array, texts: pa.Array, model: Model) -> pa.RecordBatch:
+    """One block: its keys, words a text, texts as word numbers, and its distinct words by shard."""
+    counts, codes = marked_words(model.normalized(texts.cast(pa.large_string()).fill_null("")))
     words = codes.dictionary.to_pylist()
     shard = np.fromiter((zlib.crc32(w) % SHARDS for w in words), dtype=np.int64, count=len(words))
-    order = np.argsort(shard, kind="stable")
+    order = sorted(range(len(words)), key=list(zip(shard.tolist(), words)).__getitem__)
     place = np.empty(len(words), dtype=np.int64)
     place[order] = np.arange(len(words))
-    sizes = np.bincount(shard, minlength=SHARDS)
-    data = CUT.join(words[k] for k in order)
+    data = CUT.join([words[k] for k in order])
     return pa.RecordBatch.from_arrays(
-        [pa.array([name], pa.int64()), pa.ListArray.from_arrays([0, len(keys)], keys),
+        [pa.array([hashlib.sha256(data).digest()]), pa.ListArray.from_arrays([0, len(keys)], keys),
          pa.array([_packed(counts)]), pa.array([_packed(place[codes.indices.to_numpy()])]),
-         pa.array([_packed(sizes)]), pa.array([zstandard.compress(data)])],
+         pa.array([_packed(np.bincount(shard, minlength=SHARDS))]), pa.array([zstandard.compress(data)])],
         ["block", "keys", "counts", "codes", "sizes", "words"])
 
 
 def cut_blocks(model: Model):
     """Task function: (key, text) rows to blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = TaskContext.get().partitionId() << 32
         keys, texts, size = [], [], 0
+
+        def flushed() -> pa.RecordBatch:
+            return block_row(pa.concat_arrays(keys), pa.concat_arrays(texts), model)
+
         for batch in batches:
+            key, text = batch.column("key"), batch.column("text")
+            upto = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)) + size
             at = 0
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                texts.append(text)
-                size += len(text or "")
+            while at < len(key):
+                stop = min(len(key), int(np.searchsorted(upto, BLOCK)) + 1)
+                keys.append(key.slice(at, stop - at))
+                texts.append(text.slice(at, stop - at))
+                size = int(upto[stop - 1])
+                at = stop
                 if size >= BLOCK:
-                    yield block_row(name, pa.concat_arrays([*keys, batch.column("key").slice(at, k + 1 - at)]), texts,
-                                    model)
-                    name, keys, texts, size, at = name + 1, [], [], 0, k + 1
-            keys.append(batch.column("key").slice(at))
-        if texts:
-            yield block_row(name, pa.concat_arrays(keys), texts, model)
+                    yield flushed()
+                    keys, texts, upto, size = [], [], upto - size, 0
+        if keys:
+            yield flushed()
     return run
 
 
 def deal_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function: the distinct words of every block, a row per shard."""
     for batch in batches:
-        for block, sizes, words in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "words"))):
-            words, at, rows = zstandard.decompress(words).split(CUT), 0, []
-            for shard, n in enumerate(_unpacked(sizes).tolist()):
+        for block, sizes, words in zip(*(batch.column(c) for c in ("block", "sizes", "words"))):
+            words, at, rows = zstandard.decompress(words.as_py()).split(CUT), 0, []
+            for shard, n in enumerate(_unpacked(sizes.as_py()).tolist()):
                 if n:
-                    rows.append((shard, CUT.join(words[at:at + n])))
+                    rows.append((shard, zstandard.compress(CUT.join(words[at:at + n]))))
                     at += n
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
+                [pa.array([block.as_py()] * len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()),
                  pa.array([r[1] for r in rows], pa.binary())], ["block", "shard", "words"])
 
 
 def segment_words(model: Model):
     """Task function over rows sorted by shard: each distinct word of a shard is segmented once."""
+    width = "<u2" if len(model.pieces) <= 1 << 16 else "<u4"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, now = {}, None
         for batch in batches:
@@ -270,32 +313,35 @@ def segment_words(model: Model):
                 if shard != now:
                     known, now = {}, shard
                 found = []
-                for word in words.split(CUT):
+                for word in zstandard.decompress(words).split(CUT):
                     ids = known.get(word)
                     if ids is None:
-                        ids = known[word] = np.array(model.segment(word.decode()), dtype="<u4").tobytes()
+                        ids = known[word] = np.array(model.segment(word.decode().replace(" ", MARK)), width).tobytes()
                     found.append(ids)
-                sizes = np.array([len(x) // 4 for x in found], dtype="<u4")
-                answers.append((len(found), zlib.compress(sizes.tobytes() + b"".join(found), 1)))
+                sizes = np.array([len(x) for x in found], dtype="<u4") // np.dtype(width).itemsize
+                answers.append((_packed(sizes), zstandard.compress(b"".join(found))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("shard"), pa.array([n for n, _ in answers], pa.int32()),
+                [batch.column("block"), batch.column("shard"), pa.array([x for x, _ in answers], pa.binary()),
                  pa.array([x for _, x in answers], pa.binary())], ["block", "shard", "n", "ids"])
     return run
 
 
 def join_positions(model: Model):
     """Cogroup function: a block and the ids of its words to (key, ids) of its texts."""
+    width = "<u2" if len(model.pieces) <= 1 << 16 else "<u4"
+
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("shard")
-        sizes, ids = [], []
-        for n, data in zip(answers["n"].to_pylist(), answers["ids"].to_pylist()):
-            both = np.frombuffer(zlib.decompress(data), dtype="<u4")
-            sizes.append(both[:n])
-            ids.append(both[n:])
-        sizes = np.concatenate(sizes or [np.empty(0, dtype="<u4")]).astype(np.int64)
-        ids = np.concatenate(ids or [np.empty(0, dtype="<u4")])
-        row = {c: blocks[c][0].as_py() for c in ("counts", "codes")}
-        counts, codes = _unpacked(row["counts"]).astype(np.int64), _unpacked(row["codes"]).astype(np.int64)
+        # equal blocks have equal words, and asked for them once each
+        first = dict(zip(answers["shard"].to_pylist(), zip(answers["n"].to_pylist(), answers["ids"].to_pylist())))
+        found = [first[k] for k in sorted(first)]
+        sizes = np.concatenate([_unpacked(n) for n, _ in found]) if found else np.empty(0, dtype=np.int64)
+        ids = np.concatenate([np.frombuffer(zstandard.decompress(x), dtype=width) for _, x in found]) if found else sizes
+        parts = [joined(row, sizes, ids) for row in blocks.select(["keys", "counts", "codes"]).to_batches(1)
+                 if row.num_rows]
+        return pa.concat_tables(parts)
+
+    def joined(row: pa.RecordBatch, sizes: np.ndarray, ids: np.ndarray) -> pa.Table:
+        counts, codes = (_unpacked(row.column(c)[0].as_py()) for c in ("counts", "codes"))
         if len(codes) and codes.max() >= len(sizes):
             raise RuntimeError("words of a block were lost")
         n = sizes[codes]                                                     # ids of every word, in text order
@@ -308,7 +354,7 @@ def join_positions(model: Model):
         inner = np.ones(len(out), dtype=bool)
         inner[offsets[:-1]] = inner[offsets[1:] - 1] = False
         out[inner] = body
-        keys = blocks["keys"].combine_chunks().flatten()
+        keys = row.column("keys").flatten()
         return pa.table({"key": keys, "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))})
     return run
 
@@ -317,15 +363,15 @@ def encode(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     """(key, ids array<int>) of every row, with begin and end ids."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    blocks = saved(rows.mapInArrow(cut_blocks(model), f"block long, keys array<{kind}>, counts binary, codes binary, "
-                                                      "sizes binary, words binary"))
-    dealt = blocks.select("block", "sizes", "words").mapInArrow(deal_words, "block long, shard int, words binary")
     n = partitions(docs.sparkSession)
+    # both readers take whole rows, so that they share one shuffle
+    blocks = rows.mapInArrow(cut_blocks(model), f"block binary, keys array<{kind}>, counts binary, codes binary, "
+                                                "sizes binary, words binary").repartition(n, "block")
+    dealt = blocks.mapInArrow(deal_words, "block binary, shard int, words binary")
     found = dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(
-        segment_words(model), "block long, shard int, n int, ids binary")
-    return blocks.select("block", "keys", "counts", "codes").groupBy("block").cogroup(
-        found.groupBy("block")).applyInArrow(join_positions(model), f"key {kind}, ids array<int>").withColumnRenamed(
-        "key", key)
+        segment_words(model), "block binary, shard int, n binary, ids binary")
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+        join_positions(model), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:

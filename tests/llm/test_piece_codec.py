@@ -50,6 +50,7 @@ def test_words_alone(model, library):
     for _ in range(3000):
         word = "".join(rng.choice("aeionrst日é😀ḁ.,<>0123") for _ in range(rng.randint(1, 25)))
         assert model.segment("▁" + word) == library.encode(word)
+        assert model.merged_long("▁" + word) == model.merged("▁" + word)
 
 
 def test_decoding_any_ids(model, library):
@@ -81,19 +82,29 @@ def test_small_blocks_and_few_shards_give_the_same(spark, model, monkeypatch):
     assert {r.doc_id: r.ids for r in encoded(spark, rows, model).collect()} == want
 
 
-def test_each_distinct_word_is_segmented_once(spark, model):
+def test_each_distinct_word_is_segmented_once():
     import pyarrow as pa
+    import zstandard
     calls = []
 
     class Counting:
+        pieces = ["a"] * 9
+
         def segment(self, word):
             calls.append(word)
             return [len(word)]
 
-    rows = pa.RecordBatch.from_pydict({"block": [1, 2, 1], "shard": [0, 0, 5],
-                                       "words": [b"\xff".join([b"x", b"y"]), b"y", b"x"]})
+    words = [zstandard.compress(b"\xff".join(w)) for w in ([b" x", b"y"], [b"y"], [b" x"])]
+    rows = pa.RecordBatch.from_pydict({"block": [b"1", b"2", b"1"], "shard": [0, 0, 5], "words": words})
     out = list(piece_codec.segment_words(Counting())(iter([rows])))
-    assert calls == ["x", "y", "x"] and out[0].num_rows == 3     # once a shard; a word has one shard
+    assert calls == ["▁x", "y", "▁x"] and out[0].num_rows == 3     # once a shard; a word has one shard
+
+
+def test_the_blocks_are_dealt_once(spark, model):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    out = piece_codec.encode(df, model)
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_a_piece_that_crosses_a_mark_is_refused():
