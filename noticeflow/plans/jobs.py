@@ -1,10 +1,10 @@
 """Composed jobs: refresh, keyed upsert, serving views, publication queue, audit.
 
 Each job reads tables, runs the operators and writes new, versioned outputs
-(``.../run=<as_of>``); nothing is overwritten in place and nothing is
-written when the result is empty, so a failed or empty run leaves the previous
-snapshot as it was.  Re-running a job for the same ``as_of`` rewrites the
-same directory from the same inputs (idempotent under executor loss or retry).
+(``.../run=<as_of>``).  Snapshots are staged and published by a rename, and an
+empty result is not published, so a failed or empty run leaves the previous
+snapshot as it was.  Re-running a job for the same ``as_of`` gives the same
+directory again; a publication run finds the messages it has already taken.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from .. import schema as sc
+from .. import storage
 from ..functions import dates as dt
 from ..functions import text as tx
 from ..operators import audit as au
@@ -22,7 +23,6 @@ from ..operators import merge as mg
 from ..operators import outbox as ob
 from ..operators import portals as pt
 from ..operators import refresh as rf
-from ..operators import search as se
 from ..operators import views as vw
 from ..session import materialize
 from ..sources import files as fs
@@ -33,17 +33,15 @@ def _run_dir(root: str, as_of) -> str:
 
 
 def write_snapshot(df: DataFrame, root: str, as_of, partition_by: str | None = "fuente") -> str:
-    """SNK-1: a new versioned snapshot directory; the plan runs once.
+    """SNK-1, AGG-9: a new versioned snapshot directory; the plan runs once.
 
-    The rows are written first and counted in what was written; an empty result
-    is refused before anyone is given its path.
+    The rows are staged and counted in the same pass, and only a result with
+    rows takes the name of the run: an empty one leaves the snapshot of that
+    date as it was.
     """
     path = _run_dir(root, as_of)
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
-    rf.require_rows(df.sparkSession.read.schema(df.schema).parquet(path))
+    if storage.write_published(df, path, partition_by, allow_empty=False) is None:
+        raise rf.EmptyResult("no rows: the previous snapshot is kept")
     return path
 
 
@@ -110,22 +108,38 @@ def serve_job(spark: SparkSession, snapshot: DataFrame, out_root: str, as_of) ->
 
 
 def publish_job(spark: SparkSession, snapshot: DataFrame, ledger_path: str, as_of, outbox_root: str,
-                limit: int = fv.PUBLISH_LIMIT, site_url: str = "https://example.org", pos: str = "pos") -> DataFrame:
+                limit: int = fv.PUBLISH_LIMIT, site_url: str = "https://example.org", pos: str = "pos",
+                run=None) -> DataFrame:
     """SNK-2 (re-aimed): the newest pending rows become one outbox run, and their ids go into the ledger.
 
-    A run directory is rewritten, not appended to, so a repeated run leaves one
-    copy; ``snapshot`` carries its row order in ``pos``.
+    ``run`` (the date by default) names the run.  A run that is started again
+    finds its own messages and takes no others; if it was lost between its two
+    writes, the ledger is completed from its messages.  ``snapshot`` carries its
+    row order in ``pos``.
     """
-    ledger = fs.read_ledger(spark, ledger_path, "parquet")
-    queue = ob.pending(vw.with_listing_columns(snapshot), ledger, as_of, limit, pos=pos)
-    path = _run_dir(outbox_root, as_of)
-    ob.outbox_rows(queue, as_of, site_url).write.mode("overwrite").parquet(path)
+    run = as_of if run is None else run
+    path = _run_dir(outbox_root, run)
+    if not storage.exists(spark, path):
+        queue = ob.pending(vw.with_listing_columns(snapshot), fs.read_ledger(spark, ledger_path, "parquet"), as_of,
+                           limit, pos=pos)
+        storage.write_published(ob.outbox_rows(queue, as_of, site_url), path)
     rows = spark.read.parquet(path)
-    known = materialize(se.ledger_add(ledger, rows.select(F.col("id").alias("token"))))
-    fs.write_ledger(known, ledger_path)
+    fs.append_ledger(rows.select(F.col("id").alias("token")), ledger_path, run)
     return rows
 
 
+def report_results(spark: SparkSession, results: DataFrame, ledger_path: str, outbox_root: str, run) -> DataFrame:
+    """What a sender reports for a run, (id, status): failed ids leave the ledger, so a later run takes them again.
+
+    Returns the run's messages with their status (sent, failed, pending).
+    """
+    failed = results.where(F.col("status") == "failed").select(F.col("id").alias("token"))
+    rows = spark.read.parquet(_run_dir(outbox_root, run))
+    own = rows.select(F.col("id").alias("token"))
+    fs.release_ledger(failed.join(own, "token", "left_semi"), ledger_path, run)
+    return mark_status(rows, results)
+
+
 def mark_status(outbox: DataFrame, results: DataFrame) -> DataFrame:
     """Outbox rows with the status (sent, failed) that a sender reported by id; others stay pending."""
     r = results.select("id", F.col("status").alias("_status"))

@@ -43,6 +43,22 @@ UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_totalprice > 100000"
 q AS (SELECT id, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) AS k FROM l
       WHERE CAST(o_orderdate AS DATE) + 7 >= DATE '2001-08-01')
 SELECT id, CASE WHEN k <= 20 THEN 1 ELSE 2 END AS run, true AS known FROM q WHERE k <= 40""",
+    "outbox_replay": f"""WITH {LISTED.replace("'C-' || o.o_custkey", "'N-' || o.o_orderkey")},
+q AS (SELECT id, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) AS k FROM l
+      WHERE CAST(o_orderdate AS DATE) + 7 >= DATE '2001-08-01'),
+c AS (SELECT id FROM q WHERE k > 40 OR (k <= 20 AND id < '5') QUALIFY row_number() OVER (ORDER BY k) <= 20)
+SELECT id, 'a' AS taken_by, CASE WHEN id < '5' THEN 'failed' ELSE 'sent' END AS status FROM q WHERE k <= 20
+UNION ALL SELECT id, 'b', 'pending' FROM q WHERE k BETWEEN 21 AND 40 UNION ALL SELECT id, 'c', 'pending' FROM c""",
+    "guarded_snapshot": f"""WITH {LISTED}
+SELECT fuente, count(*) AS n_listings, true AS empty_refused, 1 AS n_runs FROM l WHERE vacantes <> '1' GROUP BY fuente""",
+    "stream_buckets": """WITH b AS (SELECT c_custkey AS k, ('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8))::BIGINT % 64
+  AS bucket FROM customer),
+hit AS (SELECT 0::BIGINT AS batch_id, bucket FROM b UNION SELECT 1, bucket FROM b WHERE k % 500 = 0
+        UNION SELECT 2, bucket FROM b WHERE k = 7)
+SELECT batch_id, count(DISTINCT bucket) AS n_buckets, count(k) AS n_rows FROM hit JOIN b USING (bucket) GROUP BY batch_id""",
+    "stream_fresh": """SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS last_event_id,
+       arg_max(value, (ts, event_id)) AS value FROM events
+WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY user_id, event_type""",
     "text_records": f"""SELECT 'C-' || c_custkey AS numero_convocatoria, c_name AS titulo, c_mktsegment AS entidad,
        r_name || ' - ' || n_name || ' - ' || c_mktsegment AS ubicacion, r_name AS departamento, n_name AS provincia,
        c_mktsegment AS distrito, CAST(c_custkey % 4 AS VARCHAR) AS vacantes, 'S/. ' || c_nationkey AS remuneracion,

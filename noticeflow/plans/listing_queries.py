@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as tx
 from ..functions import urls as ur
 from ..operators import audit as au
 from ..operators import dedupe as dd
 from ..operators import extract as ex
 from ..operators import merge as mg
-from ..operators import outbox as ob
+from ..operators import refresh as rf
 from ..operators import search as se
 from ..operators import views as vw
 from ..session import scratch_path
@@ -70,13 +71,50 @@ def outbox_state(spark, sf):
     """SNK-2: two publication runs; the second starts where the ledger of the first ends."""
     lst = _listings(spark, sf).withColumn("pos", F.col("o_orderkey")).drop("o_orderkey")
     outbox, ledger = _scratch(spark, "outbox"), _scratch(spark, "ledger")
-    first = jobs.publish_job(spark, lst, ledger, AS_OF, outbox + "/a").select("id", F.lit(1).alias("run"))
-    second = jobs.publish_job(spark, lst, ledger, AS_OF, outbox + "/b").select("id", F.lit(2).alias("run"))
+    first = jobs.publish_job(spark, lst, ledger, AS_OF, outbox, run="a").select("id", F.lit(1).alias("run"))
+    second = jobs.publish_job(spark, lst, ledger, AS_OF, outbox, run="b").select("id", F.lit(2).alias("run"))
     known = fs.read_ledger(spark, ledger, "parquet").withColumnRenamed("token", "id").withColumn("known", F.lit(True))
     return first.unionByName(second).join(known, "id", "left").select(
         "id", "run", F.coalesce("known", F.lit(False)).alias("known"))
 
 
+def outbox_replay(spark, sf):
+    """SNK-2: a run started again takes nothing new, a lost ledger write is made up for, failed rows are taken again.
+
+    Run a is started twice; of run b only the messages were written before it
+    was lost; some of a's messages fail; run c then takes these and what follows.
+    """
+    lst = _listings(spark, sf).withColumn("pos", F.col("o_orderkey")).withColumn(
+        "numero_convocatoria", F.concat(F.lit("N-"), _s("o_orderkey"))).drop("o_orderkey")
+    outbox, ledger = _scratch(spark, "outbox"), _scratch(spark, "ledger")
+    jobs.publish_job(spark, lst, ledger, AS_OF, outbox, run="a")
+    jobs.publish_job(spark, lst, ledger, AS_OF, outbox, run="a")
+    jobs.publish_job(spark, lst, ledger, AS_OF, outbox, run="b")
+    storage.delete(spark, f"{ledger}/run=b")
+    jobs.publish_job(spark, lst, ledger, AS_OF, outbox, run="b")
+    sent = spark.read.parquet(f"{outbox}/run=a").select(
+        "id", F.when(F.col("id") < "5", "failed").otherwise("sent").alias("status"))
+    status = jobs.report_results(spark, sent, ledger, outbox, "a").select("id", "status")
+    jobs.publish_job(spark, lst, ledger, AS_OF, outbox, run="c")
+    runs = spark.read.parquet(outbox).select("id", F.col("run").alias("taken_by"))
+    return runs.join(status.withColumn("taken_by", F.lit("a")), ["id", "taken_by"], "left").select(
+        "id", "taken_by", F.coalesce("status", F.lit("pending")).alias("status"))
+
+
+def guarded_snapshot(spark, sf):
+    """SNK-1, AGG-9: a second run of the same date replaces the snapshot, an empty third one is refused."""
+    lst, root = _listings(spark, sf).drop("file_name", "o_orderkey"), _scratch(spark, "snapshot")
+    jobs.write_snapshot(lst, root, AS_OF)
+    path = jobs.write_snapshot(lst.where("vacantes <> '1'"), root, AS_OF)
+    try:
+        jobs.write_snapshot(lst.where("vacantes = 'none'"), root, AS_OF)
+        refused = False
+    except rf.EmptyResult:
+        refused = True
+    return spark.read.parquet(path).groupBy("fuente").agg(F.count(F.lit(1)).alias("n_listings")).withColumn(
+        "empty_refused", F.lit(refused)).withColumn("n_runs", F.lit(len(storage.names(spark, root))))
+
+
 # ----------------------------------------------------------------- texts
 def text_records(spark, sf):
     """EXT-5: the listings of a nation written out as one page and split again."""
@@ -225,22 +263,56 @@ def file_inventory(spark, sf):
         F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
 
 
-def stream_upsert(spark, sf):
-    """STR-2: orders landed in several files, upserted batch by batch with carry-forward."""
+def _upserts(spark, sf) -> tuple[DataFrame, str]:
+    """Orders landed in three parts, each upserted by a run of the stream; the snapshot and its folder."""
     from ..streaming import ingest
-    landing = _scratch(spark, "landing")
+    landing, out, checkpoint = (_scratch(spark, n) for n in ("landing", "stream-upsert", "stream-checkpoint"))
     o = table(spark, sf, "orders").select(
         _s("o_custkey").alias("id"), (F.year("o_orderdate") * F.lit(10 ** 12) + F.col("o_orderkey")).alias("pos"),
         F.col("o_orderpriority").alias("titulo"),
         F.when(F.col("o_orderstatus") == "F", _s("o_orderkey")).alias("requerimiento"))
-    for low, high in ((0, 1997), (1997, 1999), (1999, 9999)):           # three landings: at least three batches
+    for low, high in ((0, 1997), (1997, 1999), (1999, 9999)):
         span = o.where((F.col("pos") >= low * 10 ** 12) & (F.col("pos") < high * 10 ** 12))
-        span.coalesce(1).write.mode("append").parquet(landing)
-    snap = ingest.run_listing_upsert(spark, landing, o.schema, _scratch(spark, "stream-upsert"), carried=("requerimiento",))
-    return snap.select("id", "titulo", "requerimiento")
+        span.write.mode("append").parquet(landing)
+        snap = ingest.run_listing_upsert(spark, landing, o.schema, out, carried=("requerimiento",),
+                                         files_per_trigger=None, checkpoint=checkpoint)
+    return snap, out
+
+
+def stream_upsert(spark, sf):
+    """STR-2: orders landed in three parts, upserted batch by batch with carry-forward."""
+    return _upserts(spark, sf)[0].select("id", "titulo", "requerimiento")
+
+
+def stream_buckets(spark, sf):
+    """STR-2: the buckets and rows that each batch rewrote, once more after a landing that touches one customer in 50."""
+    from ..streaming import buckets as bk
+    from ..streaming import ingest
+    landing, out, checkpoint = (_scratch(spark, n) for n in ("landing", "stream-upsert", "stream-checkpoint"))
+    c = table(spark, sf, "customer").select(_s("c_custkey").alias("id"), F.col("c_custkey").alias("pos"),
+                                            F.col("c_mktsegment").alias("titulo"))
+    for part in (c, c.where("pos % 500 = 0"), c.where("pos = 7")):
+        part.write.mode("append").parquet(landing)
+        ingest.run_listing_upsert(spark, landing, c.schema, out, carried=("titulo",), files_per_trigger=None,
+                                  checkpoint=checkpoint)
+    return bk.batch_stats(spark, out)
+
+
+def stream_fresh(spark, sf):
+    """STR-1: events landed in six parts by time, kept per user and type while at most 7 days behind the newest."""
+    from ..streaming import ingest
+    landing, out, checkpoint = (_scratch(spark, n) for n in ("landing", "stream-fresh", "stream-checkpoint"))
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    # every tenth event comes late, with the last part
+    part = F.when(F.col("event_id") % 10 == 0, 5).otherwise(F.floor(F.dayofmonth("ts") / 7))
+    for n in range(6):
+        events.where(part == n).write.mode("append").parquet(landing)
+        snap = ingest.run_keyed_refresh(spark, landing, events.schema, out, ["user_id", "event_type"], "event_id",
+                                        files_per_trigger=None, checkpoint=checkpoint, event_time="ts", max_age="7 days")
+    return snap.select("user_id", "event_type", F.col("event_id").alias("last_event_id"), "value")
 
 
 QUERIES = {q.__name__: q for q in (
-    snapshot_write, keyed_scan, ledger_update, outbox_state, text_records, service_codes, crawl_completeness, place_names,
+    snapshot_write, guarded_snapshot, keyed_scan, ledger_update, outbox_state, outbox_replay, text_records, service_codes, crawl_completeness, place_names,
     canonical_url, key_param_url, seed_urls, index_cards, listing_defaults, serve_views, document_lookup, link_rules,
-    file_rules, file_inventory, stream_upsert)}
+    file_rules, file_inventory, stream_upsert, stream_buckets, stream_fresh)}

@@ -43,6 +43,7 @@ LINEAGE = T.StructType([
 LISTING_WITH_LINEAGE = T.StructType(LISTING.fields + LINEAGE.fields)
 
 LEDGER = T.StructType([T.StructField("token", S)])
+LEDGER_RUN = T.StructType([T.StructField("token", S), T.StructField("run", S)])
 
 RAW_PAGE = T.StructType([
     T.StructField("page_id", T.LongType()),

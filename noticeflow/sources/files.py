@@ -8,22 +8,17 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from .. import schema as sc
+from .. import storage
 from ..functions import text as tx
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    return bool(fs.globStatus(p)) and len(fs.globStatus(p)) > 0
-
+FLAT_RUN = "before"            # the run that a flat ledger becomes
 
 def read_snapshot(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Snapshot scan with the fixed listing schema (no inference); a missing path is empty.
 
     ``json``: a JSON array of objects (multi-line); ``parquet``: our own snapshots.
     """
-    if not _exists(spark, path):
+    if not storage.exists(spark, path):
         return sc.empty_listings(spark)
     if fmt == "parquet":
         return spark.read.schema(sc.LISTING).parquet(path)
@@ -35,7 +30,7 @@ def read_snapshot_with_pos(spark: SparkSession, path: str) -> DataFrame:
 
     The array is exploded with its index, so the list order survives as data.
     """
-    if not _exists(spark, path):
+    if not storage.exists(spark, path):
         return sc.empty_listings(spark).withColumn("pos", F.lit(None).cast("int"))
     raw = spark.read.text(path, wholetext=True)
     arr = F.from_json(F.col("value"), T.ArrayType(sc.LISTING))
@@ -48,19 +43,51 @@ def read_ledger(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     ``json``: one JSON array of scalar strings.  The JSON reader turns a
     top-level array of scalars into corrupt records, so the file is read whole
     and parsed with ``from_json``.  ``parquet``: the ledger table written by
-    ``write_ledger`` (the form used at scale: no single-array file).
+    ``write_ledger``, or the runs that ``append_ledger`` adds without those that
+    they gave back (the forms used at scale: no single-array file).
     """
-    if not _exists(spark, path):
+    if not storage.exists(spark, path):
         return spark.createDataFrame([], sc.LEDGER)
     if fmt == "parquet":
-        return spark.read.schema(sc.LEDGER).parquet(path).distinct()
+        runs = storage.numbered_names(spark, path, "run")
+        if not runs:
+            return spark.read.schema(sc.LEDGER).parquet(path).distinct()
+        root = path.rstrip("/")
+        taken = spark.read.schema(sc.LEDGER_RUN).option("basePath", root).parquet(*[f"{root}/run={r}" for r in runs])
+        gone = [r for r in runs if storage.exists(spark, f"{root}/_released/run={r}")]
+        if gone:
+            released = spark.read.schema(sc.LEDGER_RUN).option("basePath", f"{root}/_released").parquet(
+                *[f"{root}/_released/run={r}" for r in gone])
+            taken = taken.join(released, ["run", "token"], "left_anti")
+        return taken.select("token").distinct()
     raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "array<string>")).alias("token")).distinct()
 
 
 def write_ledger(tokens: DataFrame, path: str) -> None:
-    """Ledger table, unique and sorted (range-partitioned sort, written in parallel)."""
-    tokens.select("token").distinct().orderBy("token").write.mode("overwrite").parquet(path)
+    """Ledger table, unique and sorted (range-partitioned sort, written in parallel), published whole."""
+    storage.write_published(tokens.select("token").distinct().orderBy("token"), path)
+
+
+def append_ledger(tokens: DataFrame, path: str, run) -> None:
+    """The tokens of one run as a folder of the ledger; a repeated run writes the same folder.
+
+    A ledger that is still one flat table becomes the folder of a first run.
+    """
+    spark, root = tokens.sparkSession, path.rstrip("/")
+    if storage.exists(spark, root) and not storage.numbered_names(spark, root, "run"):
+        old = root + "-flat"
+        storage.publish(spark, root, old)
+        storage.publish(spark, old, f"{root}/run={FLAT_RUN}")
+    storage.write_published(tokens.select("token").distinct().orderBy("token"), f"{root}/run={run}")
+
+
+def release_ledger(tokens: DataFrame, path: str, run) -> None:
+    """Tokens that a run took and gives back; together with those it has given back before."""
+    spark, final = tokens.sparkSession, f"{path.rstrip('/')}/_released/run={run}"
+    if storage.exists(spark, final):
+        tokens = tokens.select("token").unionByName(spark.read.schema(sc.LEDGER).parquet(final))
+    storage.write_published(tokens.select("token").distinct(), final)
 
 
 def file_inventory(spark: SparkSession, path: str, glob: str = "*", recursive: bool = False,

@@ -1,9 +1,9 @@
 """Incremental ingest: newly landed files run through the same refresh / upsert code.
 
-Each micro-batch merges its rows into the previous snapshot and writes a new
-snapshot directory named after the batch id (``.../batch_id=N``).  A replayed
-batch rewrites the same directory from the same inputs, so replays are
-idempotent; the stream checkpoint lives in the shared checkpoint folder.
+The refresh keeps one row per key in the engine's state (``state``), the upsert
+keeps a bucketed snapshot (``buckets``).  Each batch writes folders named after
+its id, so a replayed batch writes the same again; the stream checkpoint lives in
+the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -12,80 +12,61 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import dedupe as dd
 from ..operators import merge as mg
 from ..session import scratch_path
+from . import buckets as bk
+from . import state as st
 
 
-def _snapshot_dir(out_dir: str, batch_id: int) -> str:
-    return f"{out_dir.rstrip('/')}/snapshot/batch_id={batch_id}"
+def _checkpoint(spark: SparkSession, checkpoint: str | None) -> str:
+    return checkpoint or scratch_path(spark, "stream-checkpoint-" + uuid.uuid4().hex)
 
 
-def _drop_old(spark: SparkSession, out_dir: str, batch_id: int) -> None:
-    """Remove the snapshot that no replay can need any more (only the last batch is ever replayed)."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_snapshot_dir(out_dir, batch_id - 2))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if batch_id >= 2 and fs.exists(path):
-        fs.delete(path, True)
-
-
-def keyed_snapshot_stream(stream: DataFrame, out_dir: str, merge, checkpoint: str | None = None,
-                          available_now: bool = True):
-    """Run ``merge(previous directory or None, batch, batch id) -> snapshot`` per micro-batch; returns the query."""
-    spark = stream.sparkSession
-    checkpoint = checkpoint or scratch_path(spark, "stream-checkpoint-" + uuid.uuid4().hex)
-
-    def per_batch(batch: DataFrame, batch_id: int):
-        snap = merge(None if batch_id == 0 else _snapshot_dir(out_dir, batch_id - 1), batch, batch_id)
-        snap.write.mode("overwrite").parquet(_snapshot_dir(out_dir, batch_id))
-        _drop_old(spark, out_dir, batch_id)
-
-    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    q = w.start()
-    q.awaitTermination()
-    return q
-
-
-def latest_snapshot(spark: SparkSession, out_dir: str) -> DataFrame:
-    base = f"{out_dir.rstrip('/')}/snapshot"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    best = max(int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(p)
-               if st.getPath().getName().startswith("batch_id="))
-    return spark.read.parquet(_snapshot_dir(out_dir, best))
+def _landed(spark: SparkSession, landing_dir: str, schema, files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(landing_dir)
 
 
 def run_keyed_refresh(spark: SparkSession, landing_dir: str, schema, out_dir: str, key, pos: str,
-                      files_per_trigger: int = 1, checkpoint: str | None = None) -> DataFrame:
-    """Stream landed files into a last-wins-by-key snapshot; ``pos`` orders all rows, whatever their batch."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing_dir)
-
-    def merge(prev_dir, batch, _):
-        rows = batch
-        if prev_dir is not None:
-            rows = spark.read.schema(schema).parquet(prev_dir).unionByName(batch)
-        return dd.last_wins(rows, key, F.col(pos), first_pos_as=None)
+                      files_per_trigger: int | None = 1, checkpoint: str | None = None,
+                      event_time: str | None = None, max_age: str | None = None) -> DataFrame:
+    """Stream landed files into a last-wins-by-key table; ``pos`` orders all rows, whatever their batch.
 
-    keyed_snapshot_stream(stream, out_dir, merge, checkpoint)
-    return latest_snapshot(spark, out_dir)
+    With ``event_time`` and ``max_age`` rows older than that, measured from the
+    newest event, are left out and keys expire.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    st.keyed_refresh(_landed(spark, landing_dir, schema, files_per_trigger), keys, pos, out_dir,
+                     _checkpoint(spark, checkpoint), event_time, max_age)
+    return st.current(spark, out_dir, keys)
 
 
 def run_listing_upsert(spark: SparkSession, landing_dir: str, schema, out_dir: str, key: str = "id",
-                       carried=None, files_per_trigger: int = 1, checkpoint: str | None = None) -> DataFrame:
+                       carried=None, files_per_trigger: int | None = 1, checkpoint: str | None = None,
+                       buckets: int = bk.BUCKETS) -> DataFrame:
     """Stream landed listing files into a carry-forward upsert snapshot.
 
     Each row's ``pos`` orders it within its batch; the batch id is put in front
     of it, so a later batch always wins over an earlier one.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing_dir)
+    stream = _landed(spark, landing_dir, schema, files_per_trigger)
     extra = {"carried": carried} if carried else {}
+    at = T.StructType([T.StructField("b", T.LongType()), T.StructField("p", stream.schema["pos"].dataType)])
+    kept = T.StructType([T.StructField(f.name, at if f.name == "pos" else f.dataType) for f in stream.schema.fields])
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+            new = new.withColumn("pos", F.struct(F.lit(batch_id).cast("bigint").alias("b"), F.col("pos").alias("p")))
+            old = new.limit(0) if old is None else old
+            return mg.carry_forward_upsert(old, new, key=key, pos="pos", **extra)
 
-    def merge(prev_dir, batch, batch_id):
-        new = batch.withColumn("pos", F.struct(F.lit(batch_id).cast("bigint").alias("b"), F.col("pos").alias("p")))
-        prev = new.limit(0) if prev_dir is None else spark.read.schema(new.schema).parquet(prev_dir)
-        return mg.carry_forward_upsert(prev, new, key=key, pos="pos", **extra)
+        bk.merge_batch(spark, out_dir, batch, batch_id, key, merge, kept, buckets)
 
-    keyed_snapshot_stream(stream, out_dir, merge, checkpoint)
-    return latest_snapshot(spark, out_dir)
+    query = stream.writeStream.foreachBatch(per_batch).option(
+        "checkpointLocation", _checkpoint(spark, checkpoint)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return bk.snapshot(spark, out_dir)
