@@ -3,7 +3,7 @@
 No piece of such a model crosses a whitespace mark (checked when the model is
 read), so BPE merges never leave a marked word: a run of marks and what follows
 up to the next mark.  Texts are cut into marked words in blocks of about
-``BLOCK`` characters.  A block keeps its texts as numbers of its distinct words;
+``BLOCK`` bytes.  A block keeps its texts as numbers of its distinct words;
 the distinct words alone are dealt by ``SHARDS`` hash shards over the cluster,
 where every word that any block holds is segmented once, and the ids return to
 their blocks to be joined by position.
@@ -46,7 +46,7 @@ from noticeflow.llm.common import partitions
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_TEXT = " ⁇ "
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 SHARDS = 512
 SHORT = 64
 CUT = b"\xff"                       # in no UTF-8 text
@@ -250,7 +250,8 @@ def block_row(keys: pa.Array, texts: pa.Array, model: Model) -> pa.RecordBatch:
     counts, codes = marked_words(model.normalized(texts.cast(pa.large_string()).fill_null("")))
     words = codes.dictionary.to_pylist()
     shard = np.fromiter((zlib.crc32(w) % SHARDS for w in words), dtype=np.int64, count=len(words))
-    order = sorted(range(len(words)), key=list(zip(shard.tolist(), words)).__getitem__)
+    by_word = np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.int64)
+    order = by_word[np.argsort(shard[by_word], kind="stable")]
     place = np.empty(len(words), dtype=np.int64)
     place[order] = np.arange(len(words))
     data = CUT.join([words[k] for k in order])
@@ -282,6 +283,7 @@ def cut_blocks(model: Model):
                 if size >= BLOCK:
                     yield flushed()
                     keys, texts, upto, size = [], [], upto - size, 0
+                    pa.default_memory_pool().release_unused()
         if keys:
             yield flushed()
     return run
@@ -338,6 +340,7 @@ def join_positions(model: Model):
         ids = np.concatenate([np.frombuffer(zstandard.decompress(x), dtype=width) for _, x in found]) if found else sizes
         parts = [joined(row, sizes, ids) for row in blocks.select(["keys", "counts", "codes"]).to_batches(1)
                  if row.num_rows]
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(parts)
 
     def joined(row: pa.RecordBatch, sizes: np.ndarray, ids: np.ndarray) -> pa.Table:
