@@ -89,13 +89,15 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 def buckets(host: Column, path: Column) -> Column:
     """Hash buckets of the character n-grams of host and path, each part with marked ends."""
-    def grams(tag: str, text: Column) -> Column:
-        chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-        chars = F.filter(chars, lambda c: c != "")
+    def hashed(tag: str, chars: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.size(chars) - (GRAM - 1), F.lit(1)))
         return F.transform(at, lambda i: F.pmod(
             F.xxhash64(F.lit(tag), F.concat_ws("", F.slice(chars, i, GRAM))), F.lit(BUCKETS)).cast("int"))
 
+    def grams(tag: str, text: Column) -> Column:
+        chars = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
+        return F.element_at(F.transform(F.array(chars), lambda cs: hashed(tag, cs)), 1)     # split once
+
     return F.concat(grams("host", host), grams("path", path))
 
 
@@ -129,9 +131,13 @@ def train(spark: SparkSession, rows: list[tuple[str, int]] | None = None) -> lis
 
 def bad_probability(host: Column, path: Column, weights: list[float]) -> Column:
     table = F.from_json(F.lit(json.dumps(weights[:-1])), "array<double>")
-    b = F.array_distinct(buckets(host, path))
-    total = F.aggregate(b, F.lit(0.0), lambda acc, k: acc + F.element_at(table, k + 1))
-    return 1.0 / (1.0 + F.exp(-(total / F.sqrt(F.size(b).cast("double")) + F.lit(weights[-1]))))
+
+    def margin(b: Column) -> Column:
+        total = F.aggregate(b, F.lit(0.0), lambda acc, k: acc + F.element_at(table, k + 1))
+        return total / F.sqrt(F.size(b).cast("double")) + F.lit(weights[-1])
+
+    z = F.element_at(F.transform(F.array(F.array_distinct(buckets(host, path))), margin), 1)
+    return 1.0 / (1.0 + F.exp(-z))
 
 
 def judge(pages: DataFrame, weights: list[float], url: str = "url", rules=RULES) -> DataFrame:

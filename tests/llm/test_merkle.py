@@ -57,3 +57,15 @@ def test_edges(spark):
     by = {r.doc_id: r for r in out}
     assert by[1].fingerprint == by[2].fingerprint and by[1].near_next == 1.0
     assert by[None].edited_sha256 == hashlib.sha256(b"tai").hexdigest()        # the first text is empty
+
+
+def test_many_ranges(spark):
+    rows = [(3 * k - 400, f"text {k} " * 5) for k in range(500)] + [(None, "a"), (None, "b")]
+    want = {(r.doc_id, r.fingerprint): r for r in merkle.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        got = merkle.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {(r.doc_id, r.fingerprint): r for r in got} == want and len(got) == len(rows)
