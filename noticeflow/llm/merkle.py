@@ -13,6 +13,8 @@ is its own successor; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,19 +103,17 @@ def with_next(docs: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
         _range_number(F.col(key), cuts)))
     first = dealt.groupBy("_range").agg(F.min(key).alias("_first")).collect()      # one row per range
     first = sorted((r["_range"], r["_first"]) for r in first)
-    guests = dealt
-    if first:
-        to = [(first[i - 1][0], first[i][0], first[i][1]) for i in range(len(first))]
-        target = F.lit(None).cast("int")
-        found = F.lit(False)
-        for host, home, k in to:
-            here = (F.col("_range") == home) & F.col(key).eqNullSafe(F.lit(k))
-            target, found = F.when(here, F.lit(host)).otherwise(target), found | here
-        ids = [k for _, _, k in to if k is not None]
-        wanted = F.col(key).isin(ids) if ids else F.lit(False)
-        if any(k is None for _, _, k in to):
-            wanted = wanted | F.col(key).isNull()
-        guests = dealt.where(wanted).withColumn("_range", target.cast("int"))
+    # the first row of every range, and the range before it (before the first: the last)
+    kind = docs.schema[key].dataType.simpleString()
+    borders = json.dumps([{"_home": home, "_first": k, "_host": first[i - 1][0]} for i, (home, k) in enumerate(first)])
+    hosts = docs.sparkSession.range(1).select(F.inline(F.from_json(
+        F.lit(borders), f"array<struct<_home:int,_first:{kind},_host:int>>")))
+    ids = [k for _, k in first if k is not None]
+    wanted = F.col(key).isin(ids) if ids else F.lit(False)
+    if any(k is None for _, k in first):
+        wanted = wanted | F.col(key).isNull()
+    guests = dealt.where(wanted).join(hosts, (F.col("_range") == F.col("_home")) & F.col(key).eqNullSafe(
+        F.col("_first"))).withColumn("_range", F.col("_host")).select(dealt.columns)
     rows = dealt.withColumn("_guest", F.lit(0)).unionByName(guests.withColumn("_guest", F.lit(1)))
     order = Window.partitionBy("_range").orderBy("_guest", F.col(key).asc_nulls_last(), F.col(text))
     nexts = [F.lead(F.col(c)).over(order).alias(f"next_{c}") for c in (text, *carried)]
