@@ -42,7 +42,8 @@ from noticeflow.llm.suffixes import suffix_array
 SPAN = 50
 GRAM = 20
 RUN = 4
-UNIT_BYTES = 24_000_000
+UNIT_BYTES = 12_000_000
+HELD_WINDOWS = 300_000             # windows that a shard's task holds before it packs them
 SLICES = 1
 SUFFIX_BYTES = 40_000
 LAST = 2 ** 63 - 1
@@ -441,38 +442,81 @@ def _settle(rows: list[tuple]) -> dict[int, list[tuple[int, int]]]:
     return found
 
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _homes(found: dict[int, list], shards: int) -> pa.RecordBatch:
+    """The windows of the row keys, a row per home shard of the keys."""
+    names = np.fromiter(found, np.int64, len(found))
+    counts = np.fromiter((len(v) for v in found.values()), np.uint32, len(found))
+    flat = np.array([w for v in found.values() for w in v], np.int32).reshape(-1, 2)
+    home = (names.astype(np.uint64) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    first = np.cumsum(counts) - counts
+    rows = []
+    for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else []:
+        n = counts[part].astype(np.int64)
+        index = np.arange(n.sum()) + np.repeat(first[part].astype(np.int64) - np.cumsum(n) + n, n)
+        rows.append((int(home[part[0]]), _packed(names[part], counts[part], flat[index].ravel())))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
+                                       pa.array([r[1] for r in rows], pa.binary())], ["home", "blob"])
+
+
+def _shard(shards: int):
     """Step 3, shards: rows come sorted by anchor; settles them in chunks of whole anchors."""
     names = ("anchor", "off", "text", "id", "key", "at")
 
-    def batch_of(found: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()),
-                                           pa.array([_spans(v) for v in found.values()], pa.binary())],
-                                          ["_key", "_spans"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size, found, windows = [], 0, {}, 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if row[1] < 0:
+                    settled = np.frombuffer(row[2], np.int32).reshape(-1, 2).tolist()
+                    found.setdefault(row[4], []).extend(settled)
+                    windows += len(settled)
+                    continue
+                if size >= UNIT_BYTES and rows[-1][0] != row[0]:
+                    for key, some in _settle(rows).items():
+                        found.setdefault(key, []).extend(some)
+                        windows += len(some)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[2]) + 150
+            if windows >= HELD_WINDOWS:
+                yield _homes(found, shards)
+                found, windows = {}, 0
+        for key, some in _settle(rows).items() if rows else ():
+            found.setdefault(key, []).extend(some)
+        if found:
+            yield _homes(found, shards)
+    return run
 
-    rows, size = [], 0
+
+def _spans_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of a row key, gathered in its home shard, as one row."""
+    keys, counts, flat = [], [], []
     for batch in batches:
-        passed: dict = {}
-        for row in zip(*(batch.column(c).to_pylist() for c in names)):
-            if row[1] < 0:
-                passed.setdefault(row[4], []).extend(np.frombuffer(row[2], np.int32).reshape(-1, 2).tolist())
-                continue
-            if size >= UNIT_BYTES and rows[-1][0] != row[0]:
-                yield batch_of(_settle(rows))
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[2]) + 150
-        if passed:
-            yield batch_of(passed)
-    if rows:
-        yield batch_of(_settle(rows))
-
-
-def _removed(data: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
+        for blob in batch.column("blob").to_pylist():
+            for held, part in zip((keys, counts, flat), _unpacked(blob, np.int64, np.uint32, np.int32)):
+                held.append(part)
+    if not keys:
+        return
+    keys, counts, flat = np.concatenate(keys), np.concatenate(counts).astype(np.int64), np.concatenate(flat).reshape(-1, 2)
+    order = np.argsort(keys, kind="stable")
+    n, first = counts[order], (np.cumsum(counts) - counts)[order]
+    flat = flat[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
+    names, start = np.unique(keys[order], return_index=True)
+    upto = np.concatenate([[0], np.cumsum(n)])
+    edges = np.append(upto[start], upto[-1]).tolist()
+    for a in range(0, len(names), 20_000):
+        b = min(len(names), a + 20_000)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[a:b]), pa.array([flat[x:y].tobytes() for x, y in zip(edges[a:b], edges[a + 1:b + 1])],
+                                            pa.binary())], ["_key", "_spans"])
+
+
+def _removed(data: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
     """Kept bytes, removed bytes, removed runs."""
     if not spans:
         return data, 0, 0
-    found = np.concatenate([np.frombuffer(s, np.int32) for s in spans]).reshape(-1, 2)
+    found = np.frombuffer(spans, np.int32).reshape(-1, 2)
     edge = np.zeros(len(data) + 1, np.int32)
     np.add.at(edge, found[:, 0], 1)
     np.add.at(edge, found[:, 1] - 1 + SPAN, -1)
@@ -509,8 +553,8 @@ def _without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     hits = hits.repartition(n, "home").sortWithinPartitions("home").mapInArrow(_hits, "_key long, _hits binary")
     stretches = heads.join(hits, "_key").mapInArrow(_stretches, STRETCH_ROWS)
     spans = stretches.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(
-        _shard, "_key long, _spans binary")
-    spans = spans.groupBy("_key").agg(F.collect_list("_spans").alias("_spans"))
+        _shard(n), "home int, blob binary")
+    spans = spans.repartition(n, "home").mapInArrow(_spans_by_key, "_key long, _spans binary")
     own = [c if c != text else "text" for c in docs.columns]
     out_names = [*own, *(f.name for f in RESULT)]
 
