@@ -45,7 +45,7 @@ WINDOW = 8
 LITERALS = 4
 RUN = 13
 BLOCK_CHARS = 10_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 CHUNK_CHARS = 1_000_000
 NUMBER, NAME, UNIT = 1, 2, 3
 MIX = 0x9E3779B97F4A7C15

@@ -41,7 +41,7 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK_SHINGLES = 60_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 MIX = 0x9E3779B97F4A7C15
 
 

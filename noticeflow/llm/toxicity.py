@@ -53,7 +53,7 @@ ROUNDS = 3
 FLOOR = -4.0
 ALPHABET = 64
 WINDOW = 14
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 CHUNK_CHARS = 4_000_000
 LETTERS = re.compile(r"[^\W_]+")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
