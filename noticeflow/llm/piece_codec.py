@@ -46,9 +46,10 @@ from noticeflow.llm.common import partitions
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_TEXT = " ⁇ "
-BLOCK = 8_000_000
+BLOCK = 10_000_000
 SHARDS = 512
 SHORT = 64
+LEVEL = 9
 CUT = b"\xff"                       # in no UTF-8 text
 
 
@@ -237,7 +238,7 @@ def marked_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
 
 def _packed(numbers: np.ndarray) -> bytes:
     """Whole numbers below 2^32, their bytes by place."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), LEVEL)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -258,7 +259,7 @@ def block_row(keys: pa.Array, texts: pa.Array, model: Model) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([hashlib.sha256(data).digest()]), pa.ListArray.from_arrays([0, len(keys)], keys),
          pa.array([_packed(counts)]), pa.array([_packed(place[codes.indices.to_numpy()])]),
-         pa.array([_packed(np.bincount(shard, minlength=SHARDS))]), pa.array([zstandard.compress(data)])],
+         pa.array([_packed(np.bincount(shard, minlength=SHARDS))]), pa.array([zstandard.compress(data, LEVEL)])],
         ["block", "keys", "counts", "codes", "sizes", "words"])
 
 
@@ -296,7 +297,7 @@ def deal_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, at, rows = zstandard.decompress(words.as_py()).split(CUT), 0, []
             for shard, n in enumerate(_unpacked(sizes.as_py()).tolist()):
                 if n:
-                    rows.append((shard, zstandard.compress(CUT.join(words[at:at + n]))))
+                    rows.append((shard, zstandard.compress(CUT.join(words[at:at + n]), LEVEL)))
                     at += n
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block.as_py()] * len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()),
