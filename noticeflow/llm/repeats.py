@@ -42,7 +42,7 @@ from noticeflow.llm.suffixes import suffix_array
 SPAN = 50
 GRAM = 20
 RUN = 4
-UNIT_BYTES = 12_000_000
+UNIT_BYTES = 20_000_000
 HELD_WINDOWS = 300_000             # windows that a shard's task holds before it packs them
 SLICES = 1
 SUFFIX_BYTES = 40_000
