@@ -68,6 +68,11 @@ HOST_INDEED = "pe.indeed.com"
 HOST_LINKEDIN = "pe.linkedin.com"
 HOST_BUMERAN = "www.bumeran.com.pe"
 
+# Search addresses.
+SEED_PATH_COMPUTRABAJO = "/empleos-en-lima-en-"
+SEED_PATH_LINKEDIN = ("/jobs/search?keywords=&location=Provincia%20de%20Ca%C3%B1ete%2C%20Lima%2C%20Per%C3%BA"
+                      "&geoId=106443255&position=1&pageNum=0")
+
 PREFIX_COMPUTRABAJO = "CT"
 PREFIX_INDEED = "IN"
 PREFIX_LINKEDIN = "LI"

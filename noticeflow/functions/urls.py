@@ -106,83 +106,87 @@ def _resolve_dots(segs: Column) -> Column:
     return F.when(last.isin(".", ".."), F.concat(resolved, F.array(F.lit("")))).otherwise(resolved)
 
 
+DOTS = r"(?:^|/)\.\.?(?:/|$)"
+
+
+def _merged(base_path: Column, path_: Column) -> Column:
+    """The path of a link that has one, on top of the base's; dots are resolved only where there are any."""
+    def relative(folder):
+        def squeezed(all_):
+            n = F.size(all_)
+            return F.when(n <= 2, all_).otherwise(F.concat(
+                F.slice(all_, 1, 1), F.filter(F.slice(all_, 2, n - 2), lambda x: x != ""), F.slice(all_, -1, 1)))
+        return let(F.concat(F.when(F.try_element_at(folder, F.lit(-1)) != "", F.slice(folder, 1, F.size(folder) - 1))
+                            .otherwise(folder), F.split(path_, "/")), squeezed)
+
+    whole = F.when(path_.startswith("/"), path_).otherwise(
+        F.array_join(let(F.split(base_path, "/"), relative), "/"))
+    return let(whole, lambda p: F.when(p.rlike(DOTS), F.array_join(let(F.split(p, "/"), _resolve_dots), "/")).otherwise(p))
+
+
 def join(base, href) -> Column:
-    """Resolve ``href`` against ``base`` the way ``urllib.parse.urljoin`` does (http/https bases)."""
+    """Resolve ``href`` against ``base`` the way ``urllib.parse.urljoin`` does (http/https bases).
+
+    Both are split once; a constant base is split when the plan is made.
+    """
     base, href = _c(base), _c(href)
-    b_scheme, b_netloc, b_path, b_params, b_query = (
-        scheme(base), netloc(base), path(base), params(base), query(base))
-    h_raw = prepare(href)
-    h_has_scheme = h_raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    h_scheme = F.when(h_has_scheme, scheme(href)).otherwise(b_scheme)
-    h_has_netloc = has_netloc(href)
-    h_netloc, h_path, h_params, h_query, h_frag = (
-        netloc(href), path(href), params(href), query(href), fragment(href))
-
-    base_parts = F.split(b_path, "/")
-    base_dir = F.when(F.try_element_at(base_parts, F.lit(-1)) != "",
-                      F.slice(base_parts, 1, F.size(base_parts) - 1)).otherwise(base_parts)
-    rel = F.concat(base_dir, F.split(h_path, "/"))
-    n = F.size(rel)
-    rel = F.when(n <= 2, rel).otherwise(
-        F.concat(F.slice(rel, 1, 1), F.filter(F.slice(rel, 2, n - 2), lambda x: x != ""), F.slice(rel, -1, 1)))
-    segs = F.when(h_path.startswith("/"), F.split(h_path, "/")).otherwise(rel)
-    joined = F.array_join(_resolve_dots(segs), "/")
-    merged_path = F.when(joined == "", F.lit("/")).otherwise(joined)
-
-    no_path = (h_path == "") & (h_params == "")
-    out_path = F.when(no_path, b_path).otherwise(merged_path)
-    out_params = F.when(no_path, b_params).otherwise(h_params)
-    out_query = F.when(no_path & (h_query == ""), b_query).otherwise(h_query)
-    out_netloc = F.when(h_has_netloc, h_netloc).otherwise(b_netloc)
-    out_path = F.when(h_has_netloc, h_path).otherwise(out_path)
-    out_params = F.when(h_has_netloc, h_params).otherwise(out_params)
-    out_query = F.when(h_has_netloc, h_query).otherwise(out_query)
-
-    p = F.concat(out_path, F.when(out_params != "", F.concat(F.lit(";"), out_params)).otherwise(F.lit("")))
-    p = F.when((p != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
-    rebuilt = F.concat(
-        h_scheme, F.lit("://"), out_netloc, p,
-        F.when(out_query != "", F.concat(F.lit("?"), out_query)).otherwise(F.lit("")),
-        F.when(h_frag != "", F.concat(F.lit("#"), h_frag)).otherwise(F.lit("")),
-    )
-    different_scheme = h_has_scheme & (scheme(href) != b_scheme)
-    return (F.when(h_raw == "", base)
-            .when(F.coalesce(base, F.lit("")) == "", href)
-            .when(different_scheme, href)
-            .otherwise(rebuilt))
+    raw = prepare(href)
+    x = F.struct(base.alias("base"), href.alias("href"), raw.alias("raw"), parts(base).alias("b"), parts(href).alias("h"),
+                 raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:").alias("has_scheme"), has_netloc(href).alias("has_netloc"))
+
+    def resolved(x):
+        b, h, own = x.b, x.h, x.has_netloc
+        no_path = (h.path == "") & (h.params == "")
+        path_ = F.when(own, h.path).when(no_path, b.path).otherwise(let(
+            _merged(b.path, h.path), lambda p: F.when(p == "", F.lit("/")).otherwise(p)))
+        params_ = F.when(own | ~no_path, h.params).otherwise(b.params)
+        query_ = F.when(~own & no_path & (h.query == ""), b.query).otherwise(h.query)
+        tail = let(F.concat(path_, F.when(params_ != "", F.concat(F.lit(";"), params_)).otherwise(F.lit(""))),
+                   lambda p: F.when((p != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p))
+        rebuilt = F.concat(
+            F.when(x.has_scheme, h.scheme).otherwise(b.scheme), F.lit("://"), F.when(own, h.netloc).otherwise(b.netloc), tail,
+            let(query_, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))),
+            F.when(h.fragment != "", F.concat(F.lit("#"), h.fragment)).otherwise(F.lit("")))
+        return (F.when(x.raw == "", x.base)
+                .when(F.coalesce(x.base, F.lit("")) == "", x.href)
+                .when(x.has_scheme & (h.scheme != b.scheme), x.href)
+                .otherwise(rebuilt))
+
+    return let(x, resolved)
 
 
 def path_only(u) -> Column:
     """``scheme://netloc/path`` (query and fragment dropped)."""
-    return F.concat(scheme(u), F.lit("://"), netloc(u), path(u))
+    return let(parts(u), lambda P: F.concat(P.scheme, F.lit("://"), P.netloc, P.path))
 
 
 def canonical_path_url(href, base: str, host_name: str, path_prefix: str,
                        path_suffix: str | None = None, strip_slash: bool = False) -> Column:
     """Individual-listing URL with host/path allow rule, else ''."""
-    u = join(F.lit(base), href)
-    ok = (host(u) == host_name) & path(u).startswith(path_prefix)
-    if path_suffix:
-        ok = ok & path(u).endswith(path_suffix)
-    out = path_only(u)
-    if strip_slash:
-        out = F.regexp_replace(out, "/+$", "")
-    return F.when(ok, out).otherwise(F.lit(""))
+    def rule(P):
+        ok = (P.host == host_name) & P.path.startswith(path_prefix)
+        if path_suffix:
+            ok = ok & P.path.endswith(path_suffix)
+        out = F.concat(P.scheme, F.lit("://"), P.netloc, P.path)
+        if strip_slash:
+            out = F.regexp_replace(out, "/+$", "")
+        return F.when(ok, out).otherwise(F.lit(""))
+
+    return let(parts(join(F.lit(base), href)), rule)
 
 
 def key_param(u, name: str) -> Column:
     """First non-blank value of query parameter ``name`` (decoded), else ''."""
-    pairs = F.split(query(u), "&")
-    hit = F.filter(pairs, lambda x: x.contains("=") & (F.substring_index(x, "=", 1) == name)
-                   & (F.length(x) > len(name) + 1))
-    raw = F.substring(F.try_element_at(hit, F.lit(1)), len(name) + 2, 1 << 30)
-    decoded = F.coalesce(F.try_url_decode(raw), F.replace(raw, F.lit("+"), F.lit(" ")))
-    return F.coalesce(decoded, F.lit(""))
+    def value(raw):
+        return F.coalesce(F.try_url_decode(raw), F.replace(raw, F.lit("+"), F.lit(" ")), F.lit(""))
+
+    hit = F.filter(F.split(query(u), "&"), lambda x: x.startswith(name + "=") & (F.length(x) > len(name) + 1))
+    return let(F.substring(F.try_element_at(hit, F.lit(1)), len(name) + 2, 1 << 30), value)
 
 
 def key_param_url(href, base: str, name: str = "jk", path_str: str = "/viewjob") -> Column:
-    code = key_param(join(F.lit(base), href), name)
-    return F.when(code != "", F.concat(F.lit(base + path_str + "?" + name + "="), code)).otherwise(F.lit(""))
+    return let(key_param(join(F.lit(base), href), name), lambda code: F.when(
+        code != "", F.concat(F.lit(base + path_str + "?" + name + "="), code)).otherwise(F.lit("")))
 
 
 def _http(P) -> Column:

@@ -65,6 +65,25 @@ def link_violations(df: DataFrame, pos: str = "pos", links: str = "enlaces_bases
                       F.coalesce(F.col("l.url"), F.lit("")).alias("detail"))
 
 
+def raw_link_violations(df: DataFrame, pos: str = "pos", raw: str = "links_json") -> DataFrame:
+    """The link rules over unparsed JSON: links that are no list, and elements that are no object with a valid address.
+
+    Absent and empty values (null, false, 0, empty text, list or object) break no rule.
+    """
+    value = F.try_parse_json(F.col(raw))
+    rows = df.where(tx.truthy(raw)).select(pos, "id", F.col(raw).alias("_raw"), value.alias("_v"), F.coalesce(
+        F.schema_of_variant(value), F.lit("TEXT")).alias("_kind"))
+    empty = F.trim("_raw").isin("null", "false", '""', "{}", "[]") | F.coalesce(
+        F.try_variant_get("_v", "$", "double") == 0, F.lit(False))
+    rows = rows.where(~empty)
+    is_list = F.col("_kind").startswith("ARRAY")
+    no_list = rows.where(~is_list).select(pos, "id", F.lit("links_not_a_list").alias("rule"), F.col("_raw").alias("detail"))
+    each = rows.where(is_list).select(pos, "id", F.explode(F.try_variant_get("_v", "$", "array<variant>")).alias("_e"))
+    url = F.coalesce(F.try_variant_get("_e", "$.url", "string"), F.lit(""))
+    bad = each.select(pos, "id", url.alias("detail")).where(~(tx.truthy("detail") & ur.is_valid_application("detail")))
+    return no_list.unionByName(bad.select(pos, "id", F.lit("invalid_document_link").alias("rule"), "detail"))
+
+
 def file_violations(df: DataFrame, generated: DataFrame, documents: DataFrame | None = None,
                     pos: str = "pos") -> DataFrame:
     """File rules.  ``generated``: (name, content) of detail files; ``documents``: (path)."""

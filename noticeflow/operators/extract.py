@@ -15,9 +15,9 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed_values as fv
+from ..functions import markup as mk
 from ..functions import text as tx
 from ..functions import urls as ur
 
@@ -138,18 +138,6 @@ HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b.*?(?:</\1\
 ANCHOR = r"(?is)<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?=</a\s*>|<a\s|\z)"
 HREF = r"(?is)^<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"'])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 OPENING = r"(?is)^<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-# The named character references of links (numbers are decoded by rule).
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&#39;", "'"),
-            ("&#34;", '"'), ("&#x27;", "'"), ("&amp;", "&"), ("&#38;", "&"))
-
-
-def decoded(c: Column) -> Column:
-    """The usual character references of attributes and link texts, ``&amp;`` last."""
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
-
-
 def harvest_links(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """One row per page with its links as an ordered array of (pos, url, text); hrefs resolved
     against the page URL.  Comments and scripts hold no links; the text is what the anchor
@@ -161,8 +149,8 @@ def harvest_links(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     def link(a, i):
         href = F.concat(*[F.regexp_extract(a, HREF, k) for k in (1, 2, 3)])
         text = F.regexp_replace(F.regexp_replace(a, OPENING, ""), r"(?s)<[^>]*>", "")
-        return F.struct(i.alias("pos"), ur.join(base, tx.py_strip(decoded(href))).alias("url"),
-                        tx.clean(decoded(text)).alias("text"))
+        return F.struct(i.alias("pos"), ur.join(base, tx.py_strip(mk.decoded(href))).alias("url"),
+                        tx.clean(mk.decoded(text)).alias("text"))
 
     return pages.select(id_col, F.transform(anchors, link).alias("links"))
 
@@ -188,20 +176,7 @@ def classify_links(df: DataFrame, id_col: str, links_col: str = "links") -> Data
         documents.alias("enlaces_bases"), direct["url"].alias("url_postulacion"), consult["url"].alias("url_consulta"))
 
 
-# ------------------------------------------------------------ EXT-1..4 HTML cards
-CARD = T.StructType([
-    T.StructField("page_id", T.LongType()),
-    T.StructField("card_pos", T.IntegerType()),
-    T.StructField("card_text", T.StringType()),
-    T.StructField("href", T.StringType()),
-    T.StructField("link_text", T.StringType()),
-    T.StructField("link_title", T.StringType()),
-    T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("paragraphs", T.ArrayType(T.StringType())),
-    T.StructField("strings", T.ArrayType(T.StringType())),
-])
-
-
+# ------------------------------------------------------------ generic article cards
 def article_cards(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Generic ``article`` cards of a page table: title (first h1..h3), paragraphs, visible characters.
 
@@ -213,35 +188,9 @@ def article_cards(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     title = F.regexp_extract("card", r"(?is)<(h[1-3])\b[^>]*>(.*?)</\1\s*>", 2)
 
     def visible(c):
-        return tx.clean(decoded(F.regexp_replace(c, r"(?s)<[^>]*>", " ")))
+        return tx.clean(mk.decoded(F.regexp_replace(c, r"(?s)<[^>]*>", " ")))
 
     return cards.select(
         id_col, "card_pos", visible(title).alias("title"),
         F.regexp_count("card", F.lit(r"(?i)<p[\s>]")).cast("bigint").alias("n_paragraphs"),
         F.char_length(visible(F.col("card"))).cast("bigint").alias("card_chars"))
-
-
-def html_cards(pages: DataFrame, spec: dict, id_col: str = "page_id", html_col: str = "html",
-               district_col: str = "district") -> DataFrame:
-    """Raw card strings per page with the page's district, via a tolerant stdlib HTML parser in ``mapInPandas``.
-
-    ``spec``: ``mode`` "container" (cards are elements matching ``card``; the
-    card's first ``link``) or "link" (cards start at links matching ``link``;
-    the card is the nearest ancestor accepted by ``ancestor``); ``fields`` maps a
-    name to selectors whose first match's text is returned.
-    """
-    from . import html_cards as hc
-
-    names = [f.name for f in CARD.fields]
-
-    def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            rows = []
-            for pid, html, district in zip(pdf["page_id"], pdf["html"], pdf["district"]):
-                rows.extend((*card, district) for card in hc.cards_of_page(int(pid), html or "", spec))
-            yield pd.DataFrame(rows, columns=[*names, "district"])
-
-    raw = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).alias("html"),
-                       F.col(district_col).alias("district"))
-    return raw.mapInPandas(run, T.StructType([*CARD.fields, T.StructField("district", T.StringType())]))

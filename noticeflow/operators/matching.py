@@ -1,31 +1,65 @@
 """First-match containment of texts against an ordered term list (district detection).
 
 "The first term, in declared order, whose key is a substring of the text's
-key."  This is a theta join (substring containment), so it is never planned as
-a join: the term list, a dimension, becomes one sorted array in a scalar
-subquery, and every text looks for the first of its terms that it contains.
-One path for any list; texts and terms are keyed alike.
+key."  A theta join in meaning, planned as equi-joins: every term is known by one
+of its grams (``GRAM`` characters, all of it if shorter), the one that the
+fewest texts hold; texts and terms meet on that gram, the pairs that meet are
+verified, and the smallest order wins.  One path for ten terms and for ten
+thousand; neither list is collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize
+
+GRAM = 3
+
+
+def _grams(key: Column, size: int) -> Column:
+    return F.array_distinct(F.regexp_extract_all(key, F.lit("(?s)(?=(.{%d}))" % size), F.lit(1)))
+
+
+def _gram_rows(df: DataFrame, key: str, sizes, *keep: str) -> DataFrame:
+    """(keep..., gram): a row per distinct gram of the sizes."""
+    found = F.concat(*[_grams(F.col(key), n) for n in sizes])
+    return df.select(*keep, F.explode(found).alias("gram"))
+
+
+def seeds(terms: DataFrame, held: DataFrame) -> DataFrame:
+    """``terms`` (o, k, t) with the gram that the fewest texts of ``held`` (row, gram) hold.
+
+    Terms with a gram that no text holds are in no text and are left out.
+    """
+    n = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    size = F.least(F.length("k"), F.lit(GRAM))
+    own = terms.select("o", "k", "t", F.explode(F.when(size == 1, _grams(F.col("k"), 1)).when(
+        size == 2, _grams(F.col("k"), 2)).otherwise(_grams(F.col("k"), GRAM))).alias("gram"))
+    counted = own.join(n, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return counted.groupBy("o", "k", "t").agg(
+        F.min(F.struct("n", "gram")).alias("seed")).where("seed.n > 0").select("o", "k", "t", "seed.gram")
 
 
 def first_match(df: DataFrame, text_col: str, terms: DataFrame, ord_col: str, term_col: str,
                 out: str = "label") -> DataFrame:
     """Adds ``out``: the first matching term (by ``ord_col``) or '' when none matches.
 
-    Terms without any letter (an empty key) match nothing.
+    Terms without any letter (an empty key) match nothing; of terms with one key the first counts.
     """
-    keyed = terms.select(F.col(ord_col).alias("o"), tx.text_key(term_col).alias("k"), F.col(term_col).alias("t"))
-    listed = keyed.where("k <> ''").select(F.sort_array(F.collect_list(F.struct("o", "k", "t")))).scalar()
-
-    def label(key):
-        return F.coalesce(F.try_element_at(F.filter(F.col("_terms"), lambda t: key.contains(t["k"])), F.lit(1))["t"],
-                          F.lit(""))
-
-    return df.withColumn("_terms", listed).withColumn(out, tx.let(tx.text_key(text_col), label)).drop("_terms")
+    listed = materialize(terms.select(F.col(ord_col).alias("o"), tx.text_key(term_col).alias("k"),
+                                      F.col(term_col).alias("t")).where("k <> ''").groupBy("k").agg(
+        F.min(F.struct("o", "t")).alias("first")).select("first.o", "k", "first.t"))
+    sizes = [r[0] for r in listed.select(F.least(F.length("k"), F.lit(GRAM))).distinct().collect()]   # at most GRAM
+    rows = materialize(df.withColumn("_key", tx.text_key(text_col)).withColumn("_row", F.monotonically_increasing_id()))
+    if not sizes:
+        return rows.withColumn(out, F.lit("")).drop("_key", "_row")
+    asked = _gram_rows(listed, "k", sizes).distinct()
+    held = materialize(_gram_rows(rows, "_key", sizes, "_row").join(asked, "gram", "left_semi"))
+    met = held.join(seeds(listed, held), "gram").select("_row", "o", "k", "t")
+    found = met.join(rows.select("_row", "_key"), "_row").where(F.col("_key").contains(F.col("k")))
+    first = found.groupBy("_row").agg(F.min(F.struct("o", "t")).alias("_first"))
+    return rows.join(first, "_row", "left").withColumn(out, F.coalesce("_first.t", F.lit(""))).drop(
+        "_key", "_row", "_first")

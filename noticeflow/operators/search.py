@@ -58,14 +58,15 @@ def section_visibility(df_with_visible: DataFrame, dim: DataFrame, section_col:
     """Per dimension section: visible hits, total rows, and whether the section shows.
 
     A section shows when it has a visible hit, or when it is empty, selected,
-    and neither text nor saved-only filtering is active.
+    and neither text nor saved-only filtering is active; a text of blanks is none.
     """
     counts = (df_with_visible.groupBy(F.col(section_col).alias(dim_key))
               .agg(F.count_if("visible").alias("n_visible"), F.count(F.lit(1)).alias("n_rows")))
     out = dim.join(counts, dim_key, "left")
     nv = F.coalesce(F.col("n_visible"), F.lit(0)).cast("bigint")
     nr = F.coalesce(F.col("n_rows"), F.lit(0)).cast("bigint")
-    empty_selected = (nr == 0) & F.lit(not text and not saved_only) & (F.col(dim_key) == F.lit(district or ""))
+    blank = tx.search_key(F.lit(text or "")) == ""
+    empty_selected = (nr == 0) & blank & F.lit(not saved_only) & (F.col(dim_key) == F.lit(district or ""))
     return out.select(*dim.columns, nv.alias("n_visible"), nr.alias("n_rows"),
                       ((nv > 0) | empty_selected).alias("section_visible"))
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import fixed_values as fv
 from ..functions import text as tx
+from .dedupe import last_wins
 
 
 def location_parts(df: DataFrame, loc: str = "ubicacion", dept: str = "departamento",
@@ -131,3 +132,8 @@ def with_listing_columns(df: DataFrame) -> DataFrame:
     return (out.withColumn("fuente", F.coalesce("fuente", F.lit(fv.SOURCE_OFFICIAL)))
             .withColumn("url_oficial", F.coalesce("url_oficial", F.lit(fv.OFFICIAL_URL)))
             .withColumn("id", tx.stable_id("entidad", "numero_convocatoria", "titulo", "ubicacion", code)))
+
+
+def keyed_scan(df: DataFrame, pos: Column) -> DataFrame:
+    """SRC-2: the rows of a snapshot with their id made again; of each id the last row."""
+    return last_wins(with_listing_columns(df), "id", pos, first_pos_as=None)

@@ -59,6 +59,51 @@ SELECT batch_id, count(DISTINCT bucket) AS n_buckets, count(k) AS n_rows FROM hi
     "stream_fresh": """SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS last_event_id,
        arg_max(value, (ts, event_id)) AS value FROM events
 WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY user_id, event_type""",
+    "array_snapshot": r"""SELECT CAST(o_orderkey AS VARCHAR) AS numero_convocatoria,
+       '{"' || o_orderpriority || '"},[\ "' || o_orderkey AS titulo, CASE WHEN o_orderstatus = 'F' THEN '}, {' END AS first_link,
+       CASE WHEN o_orderstatus = 'F' THEN 'https://example.org/' || o_custkey END AS first_url, true AS no_entity FROM orders""",
+    "array_ledger": """SELECT DISTINCT 'a, "' || o_custkey || '" ]' AS token FROM orders""",
+    "keyed_snapshot": f"""WITH {LISTED}
+SELECT id, max(o_orderkey) AS o_orderkey, arg_max(vacantes, o_orderkey) AS vacantes, arg_max(fuente, o_orderkey) AS fuente
+FROM l GROUP BY id""",
+    "seed_table": """WITH d AS (
+  SELECT * FROM (VALUES (100, 'MALA'), (101, 'ASIA'), (102, 'SAN VICENTE DE CAÑETE'), (103, 'CHILCA'), (104, 'SAN ANTONIO'),
+    (105, 'CALANGO'), (106, 'CERRO AZUL'), (107, 'COAYLLO'), (108, 'IMPERIAL'), (109, 'LUNAHUANÁ'), (110, 'NUEVO IMPERIAL'),
+    (111, 'PACARÁN'), (112, 'QUILMANÁ'), (113, 'SAN LUIS'), (114, 'SANTA CRUZ DE FLORES'), (115, 'ZÚÑIGA')) v(ord, district)
+  UNION ALL SELECT n_nationkey::INTEGER, n_name FROM nation),
+n AS (SELECT ord, district, regexp_replace(strip_accents(lower(district)), '[^a-z0-9]+', '-', 'g') AS slug,
+  array_to_string(list_transform(string_split(lower(district), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM d)
+SELECT 'Computrabajo Perú' AS source, ord, district, 'https://pe.computrabajo.com/empleos-en-lima-en-' || slug AS url FROM n
+UNION ALL SELECT 'Indeed Perú', ord, district, 'https://pe.indeed.com/jobs?l=' || replace(url_encode(
+  CASE WHEN district IN ('SAN LUIS', 'SAN ANTONIO') THEN title || ' de Cañete' ELSE title END || ', Lima'), '%20', '+')
+  || '&sort=date' FROM n
+UNION ALL SELECT 'Bumeran Perú', ord, district, 'https://www.bumeran.com.pe/empleos-en-' || slug ||
+  CASE WHEN district IN ('SAN LUIS', 'SAN ANTONIO') THEN '-de-canete' ELSE '' END || '-lima.html' FROM n
+UNION ALL SELECT 'LinkedIn', NULL, NULL, 'https://pe.linkedin.com/jobs/search?keywords=&location=Provincia%20de%20Ca%C3%B1ete%2C'
+  || '%20Lima%2C%20Per%C3%BA&geoId=106443255&position=1&pageNum=0'""",
+    "serve_details": f"""WITH {LISTED.replace("'C-' || o.o_custkey", "'N-' || o.o_orderkey").replace(
+        'o.o_orderdate,', 'o.o_orderdate, o.o_orderpriority AS p,')}
+SELECT id, ubicacion AS district, CASE WHEN p = '3-MEDIUM' THEN 'direct' WHEN p IN ('4-NOT SPECIFIED', '5-LOW') THEN 'portal'
+       ELSE 'none' END AS action_kind, p = '4-NOT SPECIFIED' AS certificate_notice,
+       concat_ws('|', CASE WHEN o_orderkey % 2 = 0 THEN 'Requerimiento=r' END, CASE WHEN o_orderkey % 3 <> 0 THEN 'Experiencia=e' END,
+                 CASE WHEN o_orderkey % 5 = 0 THEN 'Competencias=c' END) AS requirements,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'Descargar bases o anexo oficial=https://example.org/' || o_orderkey END AS documents FROM l""",
+    "serve_counts": f"""WITH {LISTED}
+SELECT 'count' AS kind, n_name AS name, (SELECT count(*) FROM l WHERE l.ubicacion = n_name) AS n FROM nation
+UNION ALL SELECT DISTINCT 'facet', ubicacion, 0 FROM l""",
+    "raw_links": """WITH r AS (SELECT o_orderkey AS pos, CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 9 AS n FROM orders)
+SELECT pos, id, 'links_not_a_list' AS rule, CASE n WHEN 1 THEN '{"titulo": "t", "url": "https://example.org/' || pos || '"}'
+       WHEN 5 THEN '"text"' ELSE 'not json' END AS detail FROM r WHERE n IN (1, 5, 6)
+UNION ALL SELECT pos, id, 'invalid_document_link', unnest(CASE n WHEN 4 THEN ['', ''] ELSE ['https://sub.perutrabajos.com/d', ''] END)
+FROM r WHERE n IN (4, 7)""",
+    "document_types": """WITH f AS (SELECT p_partkey AS k, 's3/root/d' || p_partkey || '/f' || (p_partkey % 40) ||
+    ['.tmp', '.PDF', '', '.tmp', '.docx'][p_partkey % 5 + 1] AS name,
+    CASE WHEN p_partkey % 5 = 0 THEN unhex('504B0304') ELSE encode('%PDF') END || encode(p_name) AS content FROM part)
+SELECT name, substr(sha256(content), 1, 10) AS version, ['.docx', '.pdf', '.docx', '.tmp', '.docx'][k % 5 + 1] AS doc_ext FROM f
+UNION ALL SELECT s_name, '1', NULL FROM supplier""",
+    "document_renames": """SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN CASE WHEN p_partkey % 3 = 0 THEN './' ELSE '' END ||
+    'd' || p_partkey || '/f' || (p_partkey % 40) || ['.docx', '.PDF', '', '.tmp', '.docx'][p_partkey % 5 + 1] END AS archivo_oficial,
+    p_partkey % 7 <> 0 AND p_partkey % 5 = 0 AS renamed FROM part""",
     "text_records": f"""SELECT 'C-' || c_custkey AS numero_convocatoria, c_name AS titulo, c_mktsegment AS entidad,
        r_name || ' - ' || n_name || ' - ' || c_mktsegment AS ubicacion, r_name AS departamento, n_name AS provincia,
        c_mktsegment AS distrito, CAST(c_custkey % 4 AS VARCHAR) AS vacantes, 'S/. ' || c_nationkey AS remuneracion,

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schema as sc
 from .. import storage
 from ..functions import text as tx
 from ..functions import urls as ur
@@ -16,6 +17,7 @@ from ..operators import extract as ex
 from ..operators import merge as mg
 from ..operators import refresh as rf
 from ..operators import search as se
+from ..operators import seeds as sd
 from ..operators import views as vw
 from ..session import scratch_path
 from ..sources import files as fs
@@ -56,6 +58,48 @@ def keyed_scan(spark, sf):
     return dd.last_wins(rows, "id", F.col("pos"), first_pos_as=None).select("id", "titulo", "fuente")
 
 
+def _write_arrays(rows: DataFrame, order: str, value, path: str):
+    """JSON array files of the rows' ``value``, one a range of the order."""
+    from pyspark.sql import Window
+    part = F.spark_partition_id()
+    w = Window.partitionBy("part").orderBy(order)
+    placed = rows.repartitionByRange(4, order).select(order, value.alias("v"), part.alias("part")).withColumn(
+        "n", F.row_number().over(w)).withColumn("last", F.lead("n").over(w).isNull())
+    line = F.concat(F.when(F.col("n") == 1, "[").otherwise(","), "v", F.when(F.col("last"), "]").otherwise(""))
+    placed.select(line.alias("value"), "part").write.partitionBy("part").option("lineSep", "\n ").text(path)
+
+
+def array_snapshot(spark, sf):
+    """SRC-1: JSON array files of listings with braces, quotes and nested links in them, read in splits."""
+    o = table(spark, sf, "orders")
+    title = F.concat(F.lit('{"'), F.col("o_orderpriority"), F.lit('"},[\\ "'), _s("o_orderkey"))
+    links = F.when(F.col("o_orderstatus") == "F", F.array(
+        F.struct(F.lit("}, {").alias("titulo"), F.concat(F.lit("https://example.org/"), _s("o_custkey")).alias("url")),
+        F.struct(F.lit("b").alias("titulo"), F.lit("u").alias("url"))))
+    path = _scratch(spark, "arrays")
+    _write_arrays(o, "o_orderkey", F.to_json(F.struct(
+        _s("o_orderkey").alias("numero_convocatoria"), title.alias("titulo"), links.alias("enlaces_bases"))), path)
+    return fs.read_snapshot(spark, path).select(
+        "numero_convocatoria", "titulo", F.get("enlaces_bases", 0)["titulo"].alias("first_link"),
+        F.get("enlaces_bases", 0)["url"].alias("first_url"), F.col("entidad").isNull().alias("no_entity"))
+
+
+def array_ledger(spark, sf):
+    """SRC-3: JSON array files of scalars, read in splits; tokens repeat and hold commas and quotes."""
+    o = table(spark, sf, "orders")
+    token = F.concat(F.lit('a, "'), _s("o_custkey"), F.lit('" ]'))
+    path = _scratch(spark, "arrays")
+    quoted = F.regexp_replace(F.to_json(F.struct(token.alias("t"))), r'^\{"t":|\}$', "")
+    _write_arrays(o, "o_orderkey", quoted, path)
+    return fs.read_ledger(spark, path)
+
+
+def keyed_snapshot(spark, sf):
+    """SRC-2: a snapshot scanned by ids made again; of each id the last row."""
+    lst = _listings(spark, sf).drop("id")
+    return vw.keyed_scan(lst, F.col("o_orderkey")).select("id", "o_orderkey", "vacantes", "fuente")
+
+
 def ledger_update(spark, sf):
     """SRC-3, SRT-3: tokens added to a written ledger, unique."""
     path = _scratch(spark, "ledger")
@@ -191,15 +235,22 @@ def seed_urls(spark, sf):
         F.lit(".html")).alias("url"))
 
 
+def seed_table(spark, sf):
+    """SRC-5: the search addresses of the districts, and of the nations as further ones, on every source."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("ord"), F.col("n_name").alias("district"))
+    own = sc.districts_df(spark).withColumn("ord", F.col("ord") + 100)
+    return sd.seed_urls(own.unionByName(n))
+
+
 # ----------------------------------------------------------------- views
 def index_cards(spark, sf):
-    """PRJ-2: index cards."""
+    """PRJ-8: index cards."""
     cards = vw.index_cards(_listings(spark, sf).drop("distrito"), "o_orderkey")
     return cards.select("o_orderkey", "titulo", "entidad", "loc_department", "vacantes", "code", "source_badge", "file_name")
 
 
 def listing_defaults(spark, sf):
-    """PRJ-8: absent source and official URL get their defaults; the id is made again."""
+    """PRJ-2: absent source and official URL get their defaults; the id is made again."""
     o = table(spark, sf, "orders")
     rows = o.select("o_orderkey", F.col("o_orderpriority").alias("titulo"), _s("o_custkey").alias("entidad"),
                     F.col("o_orderstatus").alias("ubicacion"), _s("o_orderkey").alias("numero_convocatoria"),
@@ -216,6 +267,32 @@ def serve_views(spark, sf):
         F.count(F.lit(1)).alias("n_cards"), F.countDistinct("id").alias("n_ids"))
 
 
+def serve_details(spark, sf):
+    """PRJ-4, SNK-3: the written detail view: requirements in display order, documents with a title, action and notice."""
+    k = F.col("o_orderkey")
+    lst = _listings(spark, sf).drop("file_name", "id").withColumns({
+        "requerimiento": F.when(k % 2 == 0, "r"), "experiencia": F.when(k % 3 == 0, "").otherwise("e"),
+        "competencias": F.when(k % 5 == 0, "c"), "numero_convocatoria": F.concat(F.lit("N-"), _s("o_orderkey")),
+        "enlaces_bases": F.when(k % 4 == 0, F.array(
+            F.struct(F.lit("").alias("titulo"), F.concat(F.lit("https://example.org/"), _s("o_orderkey")).alias("url")),
+            F.struct(F.lit("x").alias("titulo"), F.lit("").alias("url"))))})
+    root = jobs.serve_views(spark, lst, tq._nation_dim(spark, sf), _scratch(spark, "site"), AS_OF)
+    return spark.read.parquet(root + "/detail_view").select(
+        "id", F.col("label").alias("district"), "action_kind", "certificate_notice",
+        F.array_join(F.transform("requirements", lambda x: F.concat(x.label, F.lit("="), x.text)), "|").alias("requirements"),
+        F.array_join(F.transform("documents", lambda x: F.concat(x.titulo, F.lit("="), x.url)), "|").alias("documents"))
+
+
+def serve_counts(spark, sf):
+    """SNK-3: the written counts and facets."""
+    lst = _listings(spark, sf).drop("file_name")
+    root = jobs.serve_views(spark, lst, tq._nation_dim(spark, sf), _scratch(spark, "site"), AS_OF)
+    counts = spark.read.parquet(root + "/district_counts").select(
+        F.lit("count").alias("kind"), F.col("district").alias("name"), F.col("n_listings").cast("bigint").alias("n"))
+    return counts.unionByName(spark.read.parquet(root + "/facets").select(
+        F.lit("facet").alias("kind"), F.col("value").alias("name"), F.lit(0).cast("bigint").alias("n")))
+
+
 def document_lookup(spark, sf):
     """JN-9: the previous document of an id, else the row's own, if the file exists."""
     p = table(spark, sf, "part")
@@ -244,6 +321,17 @@ def link_rules(spark, sf):
     return out.select("pos", "id", "rule", "detail")
 
 
+def raw_links(spark, sf):
+    """AUD-1, AUD-3: unparsed links: no list, elements that are no objects, empty and blocked addresses."""
+    o, url = table(spark, sf, "orders"), F.concat(F.lit('{"titulo": "t", "url": "https://example.org/'), _s("o_orderkey"), F.lit('"}'))
+    n = F.col("o_orderkey") % 9
+    raw = F.when(n == 0, F.concat(F.lit("["), url, F.lit("]"))).when(n == 1, url).when(n == 2, "[]").when(n == 3, "{}").when(
+        n == 4, '["https://example.org/x", {"url": ""}]').when(n == 5, '"text"').when(n == 6, "not json").when(
+        n == 7, '[{"url": "https://sub.perutrabajos.com/d"}, 5]')
+    rows = o.select(F.col("o_orderkey").alias("pos"), _s("o_orderkey").alias("id"), raw.alias("links_json"))
+    return au.raw_link_violations(rows).select("pos", "id", "rule", "detail")
+
+
 def file_rules(spark, sf):
     """AUD-2: missing detail files and documents, forbidden contents."""
     p = table(spark, sf, "part")
@@ -279,6 +367,40 @@ def _upserts(spark, sf) -> tuple[DataFrame, str]:
     return snap, out
 
 
+def _stored_files(spark, sf) -> DataFrame:
+    """(path, name, content) of files as a written table: parts as documents of several kinds and folders."""
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    ext = F.when(k % 5 == 0, ".tmp").when(k % 5 == 1, ".PDF").when(k % 5 == 2, "").when(k % 5 == 3, ".tmp").otherwise(".docx")
+    name = F.concat(F.lit("f"), _s(k % 40), ext)
+    head = F.when(k % 5 == 0, F.unhex(F.lit("504B0304"))).otherwise(F.lit("%PDF").cast("binary"))
+    path = _scratch(spark, "files")
+    p.select(F.concat(F.lit("s3/root/d"), _s("p_partkey"), F.lit("/"), name).alias("path"), name.alias("name"),
+             F.concat(head, F.col("p_name").cast("binary")).alias("content")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def document_types(spark, sf):
+    """SRC-7, SRC-9: the kind and the fingerprint of stored files, and the versions of wanted assets."""
+    files = _stored_files(spark, sf).select(F.col("path").alias("name"), fs.document_extension("name", "content").alias(
+        "doc_ext"), fs.fingerprint("content").alias("version"))
+    wanted = files.select("name").unionByName(table(spark, sf, "supplier").select(F.col("s_name").alias("name")))
+    return fs.asset_versions(wanted, files).join(files.select("name", "doc_ext"), "name", "left").select(
+        "name", "version", "doc_ext")
+
+
+def document_renames(spark, sf):
+    """SRC-8: stored documents with a temporary suffix get their own; equal bare names lie in many folders."""
+    docs = _stored_files(spark, sf).select("path", F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)).alias("ext"),
+                                           fs.document_extension("name", "content").alias("doc_ext"))
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    ext = F.when(k % 5 == 0, ".tmp").when(k % 5 == 1, ".PDF").when(k % 5 == 2, "").when(k % 5 == 3, ".tmp").otherwise(".docx")
+    stored = F.concat(F.when(k % 3 == 0, "./").otherwise(""), F.lit("d"), _s(k), F.lit("/f"), _s(k % 40), ext)
+    rows = p.select("p_partkey", F.when(k % 7 != 0, stored).alias("archivo_oficial"))
+    return fs.rename_plan(rows, docs).select("p_partkey", "archivo_oficial", "renamed")
+
+
 def stream_upsert(spark, sf):
     """STR-2: orders landed in three parts, upserted batch by batch with carry-forward."""
     return _upserts(spark, sf)[0].select("id", "titulo", "requerimiento")
@@ -313,6 +435,6 @@ def stream_fresh(spark, sf):
 
 
 QUERIES = {q.__name__: q for q in (
-    snapshot_write, guarded_snapshot, keyed_scan, ledger_update, outbox_state, outbox_replay, text_records, service_codes, crawl_completeness, place_names,
-    canonical_url, key_param_url, seed_urls, index_cards, listing_defaults, serve_views, document_lookup, link_rules,
+    snapshot_write, guarded_snapshot, array_snapshot, array_ledger, keyed_scan, keyed_snapshot, ledger_update, outbox_state, outbox_replay, text_records, service_codes, crawl_completeness, place_names,
+    canonical_url, key_param_url, seed_urls, seed_table, index_cards, listing_defaults, serve_views, serve_details, serve_counts, document_lookup, link_rules, raw_links, document_types, document_renames,
     file_rules, file_inventory, stream_upsert, stream_buckets, stream_fresh)}

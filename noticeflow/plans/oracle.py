@@ -538,6 +538,50 @@ SELECT dim.source, COALESCE(c.n_visible, 0) AS n_visible, COALESCE(c.n_rows, 0)
 FROM dim LEFT JOIN c ON dim.source = c.source"""
 
 
+def _q_search_index():
+    return f"""
+WITH h AS (SELECT doc_id, {_hay()} AS hay FROM documents),
+g AS (SELECT DISTINCT doc_id, substr(hay, i::INTEGER, 3) AS gram FROM (
+        SELECT doc_id, hay, unnest(range(1, length(hay) - 1)) AS i FROM h))
+SELECT gram, count(*) AS n_docs FROM g GROUP BY gram"""
+
+
+def _q_search_phrases():
+    return " UNION ALL ".join(
+        f"SELECT {lit(p)} AS needle, doc_id FROM documents WHERE contains({_hay()}, {SK(lit(p))})"
+        for p in ("Licensed under", "  ÉS  ", "straße", "no such phrase here", "x"))
+
+
+def _q_search_blank():
+    return """
+SELECT source, 0::BIGINT AS n_visible, count(doc_id) AS n_rows, source = 'none' AS section_visible,
+       0::BIGINT AS n_visible_total
+FROM (SELECT source, doc_id FROM documents UNION ALL SELECT 'none', NULL UNION ALL SELECT 'other', NULL) GROUP BY source"""
+
+
+def _q_first_match_vocabulary():
+    return f"""
+WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{8,}}')) AS term FROM conversations),
+d AS (SELECT term, row_number() OVER (ORDER BY term) AS ord FROM v),
+t AS (SELECT doc_id, {K('text')} AS k FROM documents),
+m AS (SELECT doc_id, arg_min(term, ord) AS label FROM t JOIN d ON contains(t.k, d.term) GROUP BY doc_id)
+SELECT t.doc_id, COALESCE(m.label, '') AS label FROM t LEFT JOIN m ON t.doc_id = m.doc_id"""
+
+
+def _q_place_detection():
+    places = ", ".join(lit(p) for p in ("Asia", "ZUÑIGA", "Nuevo Imperial", "san vicente", "San Luis de Cañete",
+                                        "Lunahuana", "Chincha", "Cerro  Azul", "Quilmaná", "MALAYA", ""))
+    names = {"SAN VICENTE DE CAÑETE": "San Vicente de Cañete", "SAN LUIS": "San Luis de Cañete",
+             "SAN ANTONIO": "San Antonio de Cañete"}
+    first = " ".join(f"WHEN contains(k, {K(lit(names.get(d, d)))}) THEN {lit(d)}" for d in fv.DISTRICTS)
+    return f"""
+WITH c AS (SELECT c_custkey, concat_ws(', ', c_mktsegment, [{places}][c_custkey % 11 + 1],
+                  CASE WHEN c_custkey % 3 = 0 THEN 'cerca de Mala' END) AS text FROM customer),
+t AS (SELECT c_custkey, {K('text')} AS k FROM c),
+d AS (SELECT c_custkey, CASE {first} ELSE '' END AS district FROM t)
+SELECT c_custkey, district, district AS by_column FROM d"""
+
+
 def _q_collated_rank():
     # Spanish base letters: n-tilde is a letter after n, every other accent is dropped
     word = "replace(strip_accents(replace(lower(regexp_extract(coalesce(text, ''), '\\p{L}+', 0)), 'ñ', 'n~')), 'ß', 'ss')"

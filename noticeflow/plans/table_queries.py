@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 from ..functions import dates as dt
 from ..functions import text as tx
 from ..functions import urls as ur
@@ -23,8 +24,10 @@ from ..operators import extract as ex
 from ..operators import matching as mt
 from ..operators import merge as mg
 from ..operators import outbox as ob
+from ..operators import portals as pt
 from ..operators import refresh as rf
 from ..operators import search as se
+from ..operators import search_index as sx
 from ..operators import views as vw
 from ..session import materialize, scratch_path
 
@@ -43,8 +46,13 @@ PAGES_OFFICIAL = ("example.org",)
 PAGES_BLOCKED = ("spam-farm.example.org", "cheap-pills.example.com")
 
 # Search parameters for the documents table.
+# Places that customers are given, as portals write them.
+PLACES = ("Asia", "ZUÑIGA", "Nuevo Imperial", "san vicente", "San Luis de Cañete", "Lunahuana", "Chincha", "Cerro  Azul",
+          "Quilmaná", "MALAYA", "")
+
 SEARCH_TEXT = "QUÉ"
 SEARCH_LANG = "fr"
+SEARCH_PHRASES = ("Licensed under", "  ÉS  ", "straße", "no such phrase here", "x")
 
 # Detail sections searched in the documents table (field, opening, closing).
 DOC_SECTIONS = (
@@ -197,6 +205,31 @@ def first_match_label(spark, sf):
         "doc_id", "label")
 
 
+def _vocabulary(spark, sf) -> DataFrame:
+    """(ord, term): the words of at least eight letters that the conversations hold, in order."""
+    words = table(spark, sf, "conversations").select(F.explode(F.regexp_extract_all(
+        F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("term")).distinct()
+    return cm.global_row_number(words, ["term"], "ord")
+
+
+def first_match_vocabulary(spark, sf):
+    """JN-8: the first of thousands of terms in every document."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return mt.first_match(d, "text", _vocabulary(spark, sf), "ord", "term", out="label").select("doc_id", "label")
+
+
+def place_detection(spark, sf):
+    """LOC-2: the first district, in declared order, whose name the location or the title holds."""
+    c = table(spark, sf, "customer")
+    place = F.element_at(F.array(*[F.lit(x) for x in PLACES]), (F.col("c_custkey") % len(PLACES) + 1).cast("int"))
+    text = F.concat_ws(", ", F.col("c_mktsegment"), place, F.when(F.col("c_custkey") % 3 == 0, "cerca de Mala"))
+    dim = spark.createDataFrame([(i, d, fv.PLACE_NAMES_LINKEDIN.get(d, d.title())) for i, d in enumerate(fv.DISTRICTS)],
+                                "ord int, district string, name string")
+    found = mt.first_match(c.select("c_custkey", text.alias("text")), "text", dim, "ord", "name", out="name")
+    return found.join(dim.select("name", "district"), "name", "left").select(
+        "c_custkey", F.coalesce("district", F.lit("")).alias("district"), pt.detect_district(F.col("text")).alias("by_column"))
+
+
 # ----------------------------------------------------------------- dedupe / top-k
 def dedupe_last(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value")
@@ -439,20 +472,59 @@ def _doc_listings(spark, sf) -> DataFrame:
                     F.col("lang").alias("distrito"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}       # (application, tables) -> where this session built the index
+
+
+def _build_index(spark, sf) -> str:
+    path = scratch_path(spark, f"search-index-{uuid.uuid4().hex}")
+    _INDEXES[spark.sparkContext.applicationId, sf] = sx.build(
+        _doc_listings(spark, sf), path, keep=("id", "entidad", "distrito"))
+    return path
+
+
+def _index(spark, sf) -> str:
+    """The search index of the documents, built at the session's first use."""
+    return _INDEXES.get((spark.sparkContext.applicationId, sf)) or _build_index(spark, sf)
+
+
+def search_index(spark, sf):
+    """SCL-3, FLT-7: the postings of a new index: how many documents hold each trigram."""
+    lists = sx.postings(spark, _build_index(spark, sf))
+    return lists.groupBy("gram").agg(F.sum(F.size("rows")).alias("n_docs"))
+
+
 def search_docs(spark, sf):
     saved = table(spark, sf, "labels").where(F.col("quality") == 1).select(F.col("doc_id").alias("id"))
-    out = se.search(_doc_listings(spark, sf), text=SEARCH_TEXT, district=SEARCH_LANG, saved=saved)
+    out = sx.search(spark, _index(spark, sf), text=SEARCH_TEXT, district=SEARCH_LANG, saved=saved)
     return out.select(F.col("id").alias("doc_id"))
 
 
+def search_phrases(spark, sf):
+    """FLT-7: needles of one, two and many characters."""
+    out = None
+    for text in SEARCH_PHRASES:
+        found = sx.search(spark, _index(spark, sf), text=text).select(F.lit(text).alias("needle"), F.col("id").alias("doc_id"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _doc_sources(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("source").alias("district")).distinct()
+
+
 def search_sections(spark, sf):
-    docs = _doc_listings(spark, sf)
-    vis = se.visibility(docs, text=SEARCH_TEXT)
-    dim = docs.select(F.col("entidad").alias("district")).distinct()
-    out = se.section_visibility(vis, dim, section_col="entidad", text=SEARCH_TEXT)
+    out = sx.sections(spark, _index(spark, sf), _doc_sources(spark, sf), section_col="entidad", text=SEARCH_TEXT)
     return out.select(F.col("district").alias("source"), "n_visible", "n_rows", "section_visible")
 
 
+def search_blank(spark, sf):
+    """AGG-8: a text of blanks is no text: the selected section shows although it is empty; the hits of all sections."""
+    dim = _doc_sources(spark, sf).unionByName(spark.createDataFrame([("none",), ("other",)], "district string"))
+    out = sx.sections(spark, _index(spark, sf), dim, section_col="entidad", text="  ", district="none",
+                      district_col="entidad")
+    return out.withColumnRenamed("district", "source")
+
+
 def collated_rank(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", r"\p{L}+", 0).alias("word"))
     out = cm.global_row_number(d, [F.collate(F.col("word"), se.SORT_COLLATION), F.col("doc_id")])
@@ -574,6 +646,8 @@ QUERIES = {
     "freshness_window": freshness_window,
     "expiry": expiry,
     "first_match_label": first_match_label,
+    "first_match_vocabulary": first_match_vocabulary,
+    "place_detection": place_detection,
     "dedupe_last": dedupe_last,
     "dedupe_first": dedupe_first,
     "topk_per_group": topk_per_group,
@@ -592,7 +666,10 @@ QUERIES = {
     "display_fields": display_fields,
     "message": message,
     "newest_outbox": newest_outbox,
+    "search_index": search_index,
     "search_docs": search_docs,
+    "search_phrases": search_phrases,
+    "search_blank": search_blank,
     "search_sections": search_sections,
     "collated_rank": collated_rank,
     "saved_toggle": saved_toggle,

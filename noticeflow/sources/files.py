@@ -4,45 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from .. import schema as sc
 from .. import storage
 from ..functions import text as tx
+from . import json_arrays as ja
 
 FLAT_RUN = "before"            # the run that a flat ledger becomes
 
 def read_snapshot(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Snapshot scan with the fixed listing schema (no inference); a missing path is empty.
 
-    ``json``: a JSON array of objects (multi-line); ``parquet``: our own snapshots.
+    ``json``: a JSON array of objects, read in splits (``json_arrays``); ``parquet``: our own snapshots.
     """
     if not storage.exists(spark, path):
         return sc.empty_listings(spark)
     if fmt == "parquet":
         return spark.read.schema(sc.LISTING).parquet(path)
-    return spark.read.schema(sc.LISTING).option("multiLine", True).json(path)
+    return ja.read_objects(spark, path, sc.LISTING).drop("pos", "file")
 
 
 def read_snapshot_with_pos(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array snapshot with each element's position (``pos``, 0-based) kept.
-
-    The array is exploded with its index, so the list order survives as data.
-    """
+    """JSON array snapshot with each element's position in its file (``pos``, 0-based): list order as data."""
     if not storage.exists(spark, path):
         return sc.empty_listings(spark).withColumn("pos", F.lit(None).cast("int"))
-    raw = spark.read.text(path, wholetext=True)
-    arr = F.from_json(F.col("value"), T.ArrayType(sc.LISTING))
-    return raw.select(F.posexplode(arr).alias("pos", "r")).select("r.*", F.col("pos").cast("int").alias("pos"))
+    return ja.read_objects(spark, path, sc.LISTING).drop("file")
 
 
 def read_ledger(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Ledger scan -> distinct tokens.
 
-    ``json``: one JSON array of scalar strings.  The JSON reader turns a
-    top-level array of scalars into corrupt records, so the file is read whole
-    and parsed with ``from_json``.  ``parquet``: the ledger table written by
+    ``json``: one JSON array of scalar strings, read in splits (``json_arrays``).
+    ``parquet``: the ledger table written by
     ``write_ledger``, or the runs that ``append_ledger`` adds without those that
     they gave back (the forms used at scale: no single-array file).
     """
@@ -60,8 +54,7 @@ def read_ledger(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
                 *[f"{root}/_released/run={r}" for r in gone])
             taken = taken.join(released, ["run", "token"], "left_anti")
         return taken.select("token").distinct()
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.explode(F.from_json("value", "array<string>")).alias("token")).distinct()
+    return ja.read_scalars(spark, path).select(F.col("value").alias("token")).distinct()
 
 
 def write_ledger(tokens: DataFrame, path: str) -> None:
@@ -138,16 +131,14 @@ def rename_plan(listings: DataFrame, docs: DataFrame, doc_col: str = "archivo_of
 
     ``docs``: (path, ext, doc_ext) from ``fingerprints``.  A listing stores a
     path relative to some root, so a file matches when its path ends with it at
-    a folder boundary: both sides are joined on the bare name, then the tails
-    are compared, and each listing keeps one row.
+    a folder boundary: every path is listed under each of its folder suffixes,
+    and the stored path meets the one it equals.  Each listing keeps one row.
     """
-    name = r"([^/]*)$"
-    d = docs.select(F.regexp_extract("path", name, 1).alias("_n"), F.col("path").alias("_path"), "doc_ext",
-                    F.col("ext").alias("_ext"))
+    parts = F.split("path", "/")
+    suffix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    d = docs.select(F.explode(suffix).alias("_tail"), F.col("path").alias("_path"), "doc_ext", F.col("ext").alias("_ext"))
     tail = F.regexp_replace(F.col(doc_col), r"^(\./|/)+", "")
-    fits = (F.col("_path") == tail) | F.col("_path").endswith(F.concat(F.lit("/"), tail))
-    found = listings.select(doc_col).where(tx.truthy(doc_col)).distinct().withColumn(
-        "_n", F.regexp_extract(F.col(doc_col), name, 1)).join(d, "_n").where(fits)
+    found = listings.select(doc_col).where(tx.truthy(doc_col)).distinct().withColumn("_tail", tail).join(d, "_tail")
     best = found.groupBy(doc_col).agg(F.min(F.struct(F.length("_path").alias("l"), "_path", "_ext", "doc_ext")).alias("b"))
     j = listings.join(best, doc_col, "left")
     fix = F.coalesce((F.col("b._ext") == ".tmp") & (F.col("b.doc_ext") != ".tmp"), F.lit(False))

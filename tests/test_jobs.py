@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow import fixed_values as fv
+from noticeflow import storage
 from noticeflow.operators import extract
 from noticeflow.operators.refresh import EmptyResult
 from noticeflow.plans import jobs
@@ -43,6 +44,31 @@ def test_publishing_advances_the_ledger_and_repeats_leave_one_copy(spark, snapsh
     assert sorted(r.status for r in done.collect()) == ["failed"] + ["pending"] * 9
 
 
+def test_a_run_started_again_finds_its_messages_and_failed_ones_are_taken_again(spark, snapshot, tmp_dir):
+    outbox, ledger = os.path.join(tmp_dir, "outbox"), os.path.join(tmp_dir, "ledger")
+
+    def publish(run):
+        return {r.id for r in jobs.publish_job(spark, snapshot, ledger, AS_OF, outbox, limit=15, run=run).collect()}
+
+    first = publish("a")
+    assert publish("a") == first and spark.read.parquet(outbox + "/run=a").count() == 15
+    second = publish("b")
+    storage.delete(spark, ledger + "/run=b")                   # lost between the two writes
+    assert publish("b") == second and not first & second
+    results = spark.createDataFrame([(i, "failed" if k < 3 else "sent") for k, i in enumerate(sorted(first))], "id string, status string")
+    assert sorted(r.status for r in jobs.report_results(spark, results, ledger, outbox, "a").collect()) == ["failed"] * 3 + ["sent"] * 12
+    third = publish("c")
+    assert set(sorted(first)[:3]) <= third and not third & second and len(third) == 13
+    assert {r.token for r in files.read_ledger(spark, ledger, "parquet").collect()} == first | second | third
+
+
+def test_an_empty_run_keeps_the_snapshot_of_its_date(spark, snapshot, tmp_dir):
+    path = jobs.write_snapshot(snapshot, tmp_dir, AS_OF)
+    with pytest.raises(EmptyResult):
+        jobs.write_snapshot(snapshot.where("false"), tmp_dir, AS_OF)
+    assert spark.read.parquet(path).count() == len(sample())
+
+
 def test_audit_raises_when_strict(spark, snapshot):
     assert jobs.audit_job(spark, snapshot.where("pos % 12 between 2 and 9"), None, AS_OF, strict=True).count() == 0
     with pytest.raises(jobs.AuditFailed):
@@ -98,5 +124,3 @@ def test_stream_batches_merge_and_a_replay_changes_nothing(spark, tmp_dir):
     for _ in range(2):
         snap = ingest.run_listing_upsert(spark, landing, typed, out, carried=("requerimiento",), checkpoint=ckpt)
         assert {r.id: (r.titulo, r.requerimiento) for r in snap.collect()} == want
-    kept = sorted(d for d in os.listdir(os.path.join(out, "snapshot")) if d.startswith("batch_id="))
-    assert kept == ["batch_id=2", "batch_id=3"]

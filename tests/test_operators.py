@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from noticeflow import fixed_values as fv
 from noticeflow import schema as sc
 from noticeflow.functions import text as tx
-from noticeflow.functions.unicode_maps import exact_key
+from tests.keys import plain_key
 from noticeflow.operators import audit, common, dedupe, extract, matching, merge, outbox, refresh, search, views
 from noticeflow.sources import files
 
@@ -27,7 +27,7 @@ def sample(n=40):
 def expected_id(r):
     parts = [r[c] for c in ("entidad", "numero_convocatoria", "titulo", "ubicacion")]
     parts += [r["codigo_servir"]] if r["codigo_servir"] else []
-    return hashlib.sha256("|".join(map(exact_key, parts)).encode()).hexdigest()[:20]
+    return hashlib.sha256("|".join(map(plain_key, parts)).encode()).hexdigest()[:20]
 
 
 def test_sample_snapshot_ids_files_and_district_counts(spark, tmp_dir):
@@ -38,7 +38,7 @@ def test_sample_snapshot_ids_files_and_district_counts(spark, tmp_dir):
     ident = tx.stable_id("entidad", "numero_convocatoria", "titulo", "ubicacion", F.col("codigo_servir"))
     rows = df.select("pos", ident.alias("rid"), tx.file_name(ident, "titulo").alias("fname")).orderBy("pos").collect()
     for r, want in zip(rows, sample(), strict=True):
-        assert r.rid == expected_id(want) and r.fname == f"{r.rid}-{exact_key(want['titulo']).replace('/', '-').replace(' ', '-')}.html"
+        assert r.rid == expected_id(want) and r.fname == f"{r.rid}-{plain_key(want['titulo']).replace('/', '-').replace(' ', '-')}.html"
     fresh = refresh.fresh(df, "2027-05-10")
     want = [r for r in sample() if 3 <= int(r["fecha_inicio"][:2]) <= 10]
     assert fresh.count() == len(want)

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow import fixed_values as fv
-from noticeflow.operators import html_cards, portals
+from noticeflow.operators import portals
+from noticeflow.operators import tag_table as tt
 
 AS_OF = "2026-03-10"
 PAGE = "page_id long, source string, district string, url string, html string"
@@ -119,9 +120,78 @@ def test_every_portal_and_no_pages(spark):
     assert portals.all_portal_listings(df.limit(0), AS_OF).count() == 0
 
 
-def test_deep_and_unclosed_markup():
-    spec = portals.CARD_SPECS[fv.SOURCE_COMPUTRABAJO]
-    deep = "<article>" + "<div>" * 5000 + '<h2><a href="/ofertas-de-trabajo/1">x</a></h2>'
-    assert html_cards.cards_of_page(1, deep, spec)[0][3] == "/ofertas-de-trabajo/1"
-    flat = "<article>" + "<p>text " * 3000
-    assert [len(p) for p in html_cards.cards_of_page(1, flat, spec)[0][7]] == [4] * 3000
+def cards(spark, source, html):
+    df = spark.createDataFrame([(1, source, "Asia", "u", html)], PAGE)
+    return portals.REGISTRY[source].cards(portals.page_rows(df)).collect()
+
+
+def test_deep_and_unclosed_markup(spark):
+    deep = "<article>" + "<div>" * 3000 + '<h2><a href="/ofertas-de-trabajo/1">x</a></h2>'
+    assert cards(spark, fv.SOURCE_COMPUTRABAJO, deep)[0].href == "/ofertas-de-trabajo/1"
+    flat = '<article><h2><a href="/ofertas-de-trabajo/1">x</a></h2>' + "<p>text " * 500
+    assert [len(p) for p in cards(spark, fv.SOURCE_COMPUTRABAJO, flat)[0].paragraphs] == [4] * 500
+
+
+def elements(spark, html):
+    df = spark.createDataFrame([(html,)], "html string")
+    rows = tt.page_table(df).collect()
+    return {(r.tag, r.pos): r.end for r in rows if r.end is not None}, rows
+
+
+def test_ends_of_closed_unclosed_and_stray_elements(spark):
+    ends, _ = elements(spark, "<div><p>a<p>b<b>c</div></p><ul><li>d<li>e</ul><br/></div><i>f")
+    # positions: div0 p1 a2 p3 b4 b5 c6 /div7 /p8 ul9 li10 d11 li12 e13 /ul14 br15 /div16 i17 f18
+    assert ends == {("div", 0): 7, ("p", 1): 3, ("p", 3): 7, ("b", 5): 7, ("ul", 9): 14, ("li", 10): 14,
+                    ("li", 12): 14, ("br", 15): 15, ("i", 17): tt.LAST}
+
+
+def test_nested_elements_of_one_name_and_hidden_text(spark):
+    ends, rows = elements(spark, "<div><!-- <p> --><script>'<div>'</script><div>x</div>y</div><div>z</div>")
+    assert len(ends) == 3
+    assert [r.text for r in sorted(rows, key=lambda r: r.pos) if r.kind == "text"] == ["x", "y", "z"]
+    outer = min(ends)
+    assert all(outer[1] < pos and end < ends[outer] for (_, pos), end in ends.items() if pos in range(1, ends[outer])
+               and pos != outer[1])
+
+
+def test_nearest_marked_element(spark):
+    df = spark.createDataFrame([('<div class="m"><div><a>1</a><div class="m"><a>2</a></div><a>3</a></div></div><a>4</a>',)],
+                               "html string")
+    rows = tt.page_table(df).withColumn("m", F.col("class").isNotNull() & F.col("end").isNotNull())
+    got = tt.innermost(rows.withColumn("m", F.coalesce("m", F.lit(False))), "m", "near")
+    near = [r.near for r in got.where("tag = 'a' and kind = 'open'").orderBy("pos").collect()]
+    starts = [r.pos for r in rows.where("m").orderBy("pos").collect()]
+    assert near == [starts[0], starts[1], starts[0], None]
+
+
+def test_references_and_attributes(spark):
+    from noticeflow.functions import markup
+    cases = [("&amp;#38; &#38; &#x41;&#65;", "&#38; & AA"), ("&ntilde;&eacute;&nbsp;&bogus; & &#128512;", "ñé\u00a0&bogus; & 😀"),
+             ("&#0;&#xD800;", "\ufffd\ufffd"), ("plain", "plain"), (None, None)]
+    df = spark.createDataFrame(cases, "raw string, want string")
+    assert all(r.got == r.want for r in df.select("want", markup.decoded(F.col("raw")).alias("got")).collect())
+    raws = [(' href="/a?b=1&amp;c=2" class=x', "/a?b=1&c=2"), (" HREF='q'", "q"), (" data-href=1 href=2", "2"),
+            (' title="x href=9" href', ""), (' title="href=1"', None), ("", None)]
+    df = spark.createDataFrame(raws, "raw string, want string")
+    assert [r.got for r in df.select(markup.attribute(F.col("raw"), "href").alias("got")).collect()] == [w for _, w in raws]
+
+
+def test_a_source_can_be_registered(spark):
+    from noticeflow import schema as sc
+    spec = sc.SourceSpec("Plain", 9, "PL", 2, "plain.example", "https://plain.example", False, False)
+
+    def rule(found, s):
+        return found.select("page_id", "card_pos", F.concat(F.lit(s.base), F.col("href")).alias("url"),
+                            F.col("link_text").alias("titulo"), F.lit("e").alias("entidad"), F.lit("u").alias("ubicacion"),
+                            F.col("district").alias("distrito"), F.lit("").alias("remuneracion"), F.lit("hoy").alias("antiguedad"))
+
+    def found(rows):
+        return tt.containers(rows, F.col("tag") == "li", F.col("tag") == "a", {}, portals.KEEP)
+
+    portals.register(portals.Portal(spec, found, rule))
+    try:
+        out = listings(spark, "Plain", ("Asia", "<ul>" + "".join(f'<li><a href="/{k}">t{k}</a></li>' for k in range(5)) + "</ul>"))
+        assert [(r.titulo, r.fuente, r.src_ord, r.url_oficial) for r in out] == [
+            ("t0", "Plain", 9, "https://plain.example/0"), ("t1", "Plain", 9, "https://plain.example/1")]
+    finally:
+        del portals.REGISTRY["Plain"]
