@@ -41,6 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeflow.llm.common import freed
+
 WINDOW = 8
 LITERALS = 4
 RUN = 13
@@ -436,7 +438,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                                                  ["doc_id", "item_id", "first_token", "n_tokens", "changed"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            find, "doc_id long, item_id long, first_token int, n_tokens int, changed boolean")
+            freed(find), "doc_id long, item_id long, first_token int, n_tokens int, changed boolean")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -452,5 +454,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     clean[t] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(freed(keep), docs.schema)
     return docs

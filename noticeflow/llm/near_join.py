@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import on_core, partitions, saved
+from noticeflow.llm.common import freed, on_core, partitions, saved
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -300,12 +300,12 @@ def near_join(docs: DataFrame) -> DataFrame:
     n = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prof = saved(texts.withColumn("key", F.xxhash64("text")).mapInArrow(
-        _profile, "doc_id long, key long, set1 long, set2 long, n int, sig binary"))
+        freed(_profile), "doc_id long, key long, set1 long, set2 long, n int, sig binary"))
     real = prof.where("n > 0 and doc_id is not null")
     sets = saved(real.groupBy("set1", "set2").agg(
         F.min(F.struct("doc_id", "key")).alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"),
         F.min("sig").alias("sig")).withColumn("node", F.xxhash64("set1", "set2")))
-    rows = sets.select("node", "sig").mapInArrow(_bands, "bucket long, node long")
+    rows = sets.select("node", "sig").mapInArrow(freed(_bands), "bucket long, node long")
     buckets = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where(
         "least < most").select("bucket", "least")
     ties = rows.join(buckets, "bucket").where("node > least").select(
@@ -322,7 +322,7 @@ def near_join(docs: DataFrame) -> DataFrame:
                        F.explode(pairs).alias("p"))
     wanted = part.join(texts, "doc_id").select("block", "p.pair", "p.side", "node", "copies", "set1", "set2", "text")
     found = saved(wanted.repartition(n, "block", "pair").sortWithinPartitions("block", "pair").mapInArrow(
-        _blocks, LINKS))
+        freed(_blocks), LINKS))
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = sets.drop("sig", "n").join(links, "node", "left").join(linked, "node", "left").withColumn(

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeflow.llm.common import on_core, partitions
+from noticeflow.llm.common import freed, on_core, partitions
 from noticeflow.llm.suffixes import suffix_array
 
 SPAN = 50
@@ -547,14 +547,14 @@ def _without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     marked = plain.join(first, "_key")
     heads = marked.where(F.col("_id") <= F.col("_first"))          # an equality would become a key of the join
     # no column is dropped before these two: all three joins then read one shuffle of the texts
-    sent = heads.mapInArrow(_send_anchors(n), ANCHOR_ROWS)
+    sent = heads.mapInArrow(freed(_send_anchors(n)), ANCHOR_ROWS)
     hits = sent.repartition(n, "shard").sortWithinPartitions("shard", "slice").mapInArrow(
-        _answer_anchors(n), "home int, blob binary")
-    hits = hits.repartition(n, "home").sortWithinPartitions("home").mapInArrow(_hits, "_key long, _hits binary")
-    stretches = heads.join(hits, "_key").mapInArrow(_stretches, STRETCH_ROWS)
+        freed(_answer_anchors(n)), "home int, blob binary")
+    hits = hits.repartition(n, "home").sortWithinPartitions("home").mapInArrow(freed(_hits), "_key long, _hits binary")
+    stretches = heads.join(hits, "_key").mapInArrow(freed(_stretches), STRETCH_ROWS)
     spans = stretches.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(
-        _shard(n), "home int, blob binary")
-    spans = spans.repartition(n, "home").mapInArrow(_spans_by_key, "_key long, _spans binary")
+        freed(_shard(n)), "home int, blob binary")
+    spans = spans.repartition(n, "home").mapInArrow(freed(_spans_by_key), "_key long, _spans binary")
     own = [c if c != text else "text" for c in docs.columns]
     out_names = [*own, *(f.name for f in RESULT)]
 
@@ -575,7 +575,7 @@ def _without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 [*(batch.column(c) for c in own), *(pa.array(c, k) for c, k in zip(cols, kinds))], out_names)
 
     schema = T.StructType([*(T.StructField(c, docs.schema[d].dataType) for c, d in zip(own, docs.columns)), *RESULT])
-    return marked.join(spans, "_key", "left").mapInArrow(remove, schema).withColumnRenamed("text", text)
+    return marked.join(spans, "_key", "left").mapInArrow(freed(remove), schema).withColumnRenamed("text", text)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeflow.llm.common import on_core
+from noticeflow.llm.common import freed, on_core
 
 DECAY = 0.6
 PAIR_WEIGHT = 0.5
@@ -441,7 +441,7 @@ def _with_score(docs: DataFrame, model: Model, text: str, out: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())],
                                              [*batch.schema.names, out])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(freed(score), schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
