@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Defined results, in every stage: an empty table gives an empty table; other
+columns pass through whatever their names, NULL in them or not; repeated rows
+stay repeated where the stage keeps their text; very long texts are worked on
+whole.
+"""
 
 from __future__ import annotations
 
@@ -14,19 +20,25 @@ from noticeflow.session import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5."""
+    """Documents that score below 0.5; NULL, empty and letterless texts score as clean."""
     model = toxicity.train(table(spark, sf_dir, "documents", "doc_id", "text"),
                            table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return toxicity.with_score(docs, model).where("_toxicity < 0.5").drop("_toxicity")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every class of near copies."""
+    """The document with the smallest id of every class of near copies.
+
+    Texts without five words are alike only if equal; NULL and empty texts and rows without an id stay.
+    """
     return near_join.one_per_class(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the passages that an earlier one holds."""
+    """Every document, without the passages that an earlier one holds; NULL texts stay NULL.
+
+    Of equal texts the one with the smallest id stays whole; rows without an id come last.
+    """
     cut = repeats.without_repeats(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -34,12 +46,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item; NULL and empty texts leak none, NULL and short items are leaked by none."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the text that the mix takes of it, repeats on lines of their own, and the counts."""
+    """Every document with the text that the mix takes of it, repeats on lines of their own, and the counts.
+
+    NULL texts stay NULL and count no words; documents of which nothing is taken stay with an empty text.
+    """
     mixed = mixing.mix(docs)
     pieces = F.array_join(mixing.taken_texts(F.col("text"), F.col("ranges")), "\n")
     mixed = mixed.withColumn("text", F.when(F.col("text").isNotNull(), pieces))
