@@ -22,6 +22,7 @@ from .. import schema as sc
 from ..functions import dates as dt
 from ..functions import text as tx
 from ..functions import urls as ur
+from ..session import materialize
 from . import tag_table as tt
 from .dedupe import first_wins, top_k_per_group
 
@@ -243,7 +244,8 @@ def listings_from_cards(cards: DataFrame, source: str, as_of, limit: int | None
     """One portal's rules over a card table (page_id, card_pos, district, link, fields, texts)."""
     portal = REGISTRY[source]
     spec = portal.spec
-    found = portal.rule(cards.withColumnRenamed("card", "card_pos"), spec)
+    # saved, so that the planner does not look at the rules again after each of the joins that made the cards
+    found = portal.rule(materialize(cards).withColumnRenamed("card", "card_pos"), spec)
 
     def distinct(rows: DataFrame) -> DataFrame:
         return first_wins(rows, ["page_id", "url"], F.col("card_pos"))
