@@ -69,22 +69,21 @@ class LatestRow(StatefulProcessor):
                 best = values
         if best is None:
             return
-        old = tuple(self.row.get()) if self.row.exists() else None
-        if old is not None and self._order(best) <= self._order(old):
+        old = self.row.get()                                        # each call to the state is a message
+        if old is not None and self._order(best) <= self._order(tuple(old)):
             return
         if self.event_time:
             if old is not None:
-                self.handle.deleteTimer(self._time(old))
+                self.handle.deleteTimer(self._time(tuple(old)))
             self.handle.registerTimer(self._time(best))
         self.row.update(best)
         yield self._change(key, best, UPSERT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.row.exists():
-            values = tuple(self.row.get())
-            if self._time(values) <= expiredTimerInfo.getExpiryTimeInMs():
-                self.row.clear()
-                yield self._change(key, values, EXPIRE)
+        held = self.row.get()
+        if held is not None and self._time(tuple(held)) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.row.clear()
+            yield self._change(key, tuple(held), EXPIRE)
 
     def close(self) -> None:
         pass
