@@ -77,7 +77,7 @@ def test_empty_tables(spark, tmp_dir):
 
 def test_every_number_has_one_query():
     numbers = [int(q[2:].split("_")[0]) for q in queries.QUERIES]
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert all(name in entry.queries() for name in queries.QUERIES)
 
 
