@@ -1,9 +1,10 @@
 """Equivalent DuckDB SQL for the table queries (the correctness oracle).
 
-Written independently of the Spark code: plain SQL over the same parquet
-tables.  Shared fragments (text key, strict date parse, URL split) are small
-SQL generators; the whitespace classes come from the same rule as the Spark
-side.  Scope notes: the key uses ``strip_accents`` + ``lower`` (equal to the
+Plain SQL over the same parquet tables.  Fragments (text key, strict date
+parse, URL split) are small SQL generators; the white-space classes, the date
+and URL patterns and some constants are the implementation's own, so a wrong one
+would agree with itself here (the function tests hold them against Python's
+library).  Scope notes: the key uses ``strip_accents`` + ``lower`` (equal to the
 NFKD/casefold key on Latin text, which is what the tables contain); the URL
 join covers absolute, network-path and root-relative links (the page tables
 have no dot segments).
