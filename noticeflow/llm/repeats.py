@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from noticeflow.llm.suffixes import suffix_array
 SPAN = 50
 GRAM = 20
 RUN = 4
-UNIT_BYTES = 20_000_000
+UNIT_BYTES = 24_000_000            # what a task works on at once; less takes less memory and sends more
 HELD_WINDOWS = 300_000             # windows that a shard's task holds before it packs them
 SLICES = 1
 SUFFIX_BYTES = 40_000
@@ -110,8 +111,8 @@ def _unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(row key, id, bytes) of a task's documents, in units of about UNIT_BYTES."""
+def _units(batches: Iterator[pa.RecordBatch], unit_bytes: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(row key, id, bytes) of a task's documents, in units of about ``unit_bytes``."""
     unit, size = [], 0
     for batch in batches:
         for key, i, text in zip(*(batch.column(c).to_pylist() for c in ("_key", "_id", "text"))):
@@ -119,7 +120,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, b
             if len(data) >= SPAN:
                 unit.append((key, i, data))
                 size += len(data)
-            if size >= UNIT_BYTES:
+            if size >= unit_bytes:
                 yield unit
                 unit, size = [], 0
     if unit:
@@ -152,10 +153,10 @@ def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
 
 
-def _send_anchors(shards: int):
+def _send_anchors(shards: int, unit_bytes: int):
     """Step 1, tasks: hits known here (slice -1) and one row per other anchor, packed by shard and slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in _units(batches):
+        for unit in _units(batches, unit_bytes):
             hs, docs = [], []
             for d, (_, _, data) in enumerate(unit):
                 at, h, _ = anchors(np.frombuffer(data, np.uint8))
@@ -286,7 +287,7 @@ def _spans(rows: list[tuple[int, int]]) -> bytes:
     return np.array(rows, np.int32).tobytes()
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretches(batches: Iterator[pa.RecordBatch], unit_bytes: int) -> Iterator[pa.RecordBatch]:
     """Step 2: stretches for the shards; settled windows (start, end) as rows with ``off`` -1.
 
     A stretch is (anchor, offset of the anchor, bytes); its windows start at
@@ -330,7 +331,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             held[1] = i
                         held[2].append((i, key, a))
                         size += 100
-            if size >= 4 * UNIT_BYTES:
+            if size >= 4 * unit_bytes:
                 yield from flush(seen)
                 seen, size = {}, 0
     if seen:
@@ -459,7 +460,7 @@ def _homes(found: dict[int, list], shards: int) -> pa.RecordBatch:
                                        pa.array([r[1] for r in rows], pa.binary())], ["home", "blob"])
 
 
-def _shard(shards: int):
+def _shard(shards: int, unit_bytes: int):
     """Step 3, shards: rows come sorted by anchor; settles them in chunks of whole anchors."""
     names = ("anchor", "off", "text", "id", "key", "at")
 
@@ -472,7 +473,7 @@ def _shard(shards: int):
                     found.setdefault(row[4], []).extend(settled)
                     windows += len(settled)
                     continue
-                if size >= UNIT_BYTES and rows[-1][0] != row[0]:
+                if size >= unit_bytes and rows[-1][0] != row[0]:
                     for key, some in _settle(rows).items():
                         found.setdefault(key, []).extend(some)
                         windows += len(some)
@@ -530,15 +531,17 @@ RESULT = [T.StructField("_n_bytes", T.LongType()), T.StructField("_n_removed", T
           T.StructField("_kept", T.StringType())]
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                    unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """``docs`` with ``_n_bytes``, ``_n_removed``, ``_n_spans``, ``_sha256`` of the kept bytes and ``_kept``.
 
     ``_kept`` is the kept text; bytes of a character that was cut are left out.
     """
-    return on_core(docs, (doc_id, text), lambda d: _without_repeats(d, doc_id, text), tuple(f.name for f in RESULT))
+    return on_core(docs, (doc_id, text), lambda d: _without_repeats(d, doc_id, text, unit_bytes),
+                   tuple(f.name for f in RESULT))
 
 
-def _without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _without_repeats(docs: DataFrame, doc_id: str, text: str, unit_bytes: int) -> DataFrame:
     n = partitions(docs.sparkSession)
     # Equal texts work as one, under their smallest id; the same shuffle by text serves all three joins.
     plain = docs.withColumnRenamed(text, "text").withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)))
@@ -547,13 +550,13 @@ def _without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     marked = plain.join(first, "_key")
     heads = marked.where(F.col("_id") <= F.col("_first"))          # an equality would become a key of the join
     # no column is dropped before these two: all three joins then read one shuffle of the texts
-    sent = heads.mapInArrow(freed(_send_anchors(n)), ANCHOR_ROWS)
+    sent = heads.mapInArrow(freed(_send_anchors(n, unit_bytes)), ANCHOR_ROWS)
     hits = sent.repartition(n, "shard").sortWithinPartitions("shard", "slice").mapInArrow(
         freed(_answer_anchors(n)), "home int, blob binary")
     hits = hits.repartition(n, "home").sortWithinPartitions("home").mapInArrow(freed(_hits), "_key long, _hits binary")
-    stretches = heads.join(hits, "_key").mapInArrow(freed(_stretches), STRETCH_ROWS)
+    stretches = heads.join(hits, "_key").mapInArrow(freed(partial(_stretches, unit_bytes=unit_bytes)), STRETCH_ROWS)
     spans = stretches.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(
-        freed(_shard(n)), "home int, blob binary")
+        freed(_shard(n, unit_bytes)), "home int, blob binary")
     spans = spans.repartition(n, "home").mapInArrow(freed(_spans_by_key), "_key long, _spans binary")
     own = [c if c != text else "text" for c in docs.columns]
     out_names = [*own, *(f.name for f in RESULT)]
