@@ -39,7 +39,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of equal texts the one with the smallest id stays whole; rows without an id come last.
     """
-    cut = repeats.without_repeats(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
+    # workers that have run other stages have less room: smaller units
+    cut = repeats.without_repeats(docs, unit_bytes=8_000_000)
+    cut = cut.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
