@@ -142,7 +142,7 @@ def _indeed_cards(rows: DataFrame) -> DataFrame:
         "company": element & (_is("testid", "company-name", "companyName") | _has_class("companyName")),
         "salary": element & (_has_class("salary-snippet-container") | _has_class("salaryText") | _is(
             "testid", "attribute_snippet_testid")),
-        "age": element & (_has_class("date") | _is("testid", "myJobsStateDate"))}, KEEP)
+        "age": element & (_has_class("date") | _is("testid", "myJobsStateDate"))}, KEEP, shown=())
 
 
 def _indeed(cards: DataFrame, spec: sc.SourceSpec) -> DataFrame:
@@ -184,7 +184,7 @@ def _linkedin_cards(rows: DataFrame) -> DataFrame:
         _tag("a") & _holds("href", "/jobs/view/"),
         {"title": element & (_has_class("base-search-card__title") | _tag("h3")),
          "company": element & (_has_class("base-search-card__subtitle") | _tag("h4")),
-         "location": element & _has_class("job-search-card__location"), "age": _tag("time")}, KEEP)
+         "location": element & _has_class("job-search-card__location"), "age": _tag("time")}, KEEP, shown=())
 
 
 def _linkedin(cards: DataFrame, spec: sc.SourceSpec) -> DataFrame:
@@ -204,7 +204,7 @@ def _bumeran_cards(rows: DataFrame) -> DataFrame:
     link = _tag("a") & _holds("href", "/empleos/") & F.coalesce(F.col("href").endswith(".html"), F.lit(False))
     return tt.linked(rows, link, _tag("article", "li", "div"), {
         "title": _tag("h2", "h3"), "company": element & (_holds("testid", "company") | _holds("class", "company"))},
-        KEEP, fv.BUMERAN_CARD_MAX_CHARS, "(?iu)" + fv.BUMERAN_CARD_PATTERN)
+        KEEP, fv.BUMERAN_CARD_MAX_CHARS, "(?iu)" + fv.BUMERAN_CARD_PATTERN, ("card_text",))
 
 
 def _bumeran(cards: DataFrame, spec: sc.SourceSpec) -> DataFrame:

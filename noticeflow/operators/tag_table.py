@@ -8,8 +8,10 @@ at the next block, closed or not.  Scripts, styles, templates and comments hold
 neither elements nor text.
 
 Cards are elements (or links and their nearest accepted ancestors); what a card
-shows is what lies between its start and its end.  No page is parsed by Python,
-and no task holds more than one page's rows of a key.
+shows is what lies between its start and its end: a slice of the page's texts,
+which are numbered.  Rows are dealt to tasks once, by page; all windows, and the
+row per page that the cards are made of, work in place.  No page is parsed by
+Python, and no task holds more than one page's rows of a key.
 """
 
 from __future__ import annotations
@@ -47,7 +49,15 @@ def tokens(pages: DataFrame, html_col: str = "html", keep=()) -> DataFrame:
 
 
 def with_ends(rows: DataFrame) -> DataFrame:
-    """Adds ``end``: the position where an element ends (its own for void ones, NULL for other rows)."""
+    """Adds ``n``, ``end`` and ``end_n``, without a shuffle if the rows lie by page.
+
+    ``end`` is the position where an element ends (its own for void ones, NULL
+    for other rows); ``n`` and ``end_n`` number the texts of the page before the
+    row and before that position, so that a span of texts is a slice of them.
+    """
+    ahead = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("n", F.count(F.when(F.col("kind") == "text", 1)).over(ahead).cast("int"))
+    here, last = F.struct("pos", "n"), F.struct(F.lit(LAST).alias("pos"), F.lit(LAST).alias("n"))
     tagged = Window.partitionBy("page", "tag").orderBy("pos")
     so_far, earlier = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
@@ -58,7 +68,7 @@ def with_ends(rows: DataFrame) -> DataFrame:
     out = out.withColumn("_level", F.when(F.col("kind") == "open", F.col("_before") + 1).when(
         (F.col("kind") == "close") & (F.col("_before") > 0), F.col("_before")))
     level = Window.partitionBy("page", "tag", "_level").orderBy("pos")
-    own = F.when((F.col("kind") == "open") & (F.lead("kind").over(level) == "close"), F.lead("pos").over(level))
+    own = F.when((F.col("kind") == "open") & (F.lead("kind").over(level) == "close"), F.lead(here).over(level))
     closes = F.when((F.col("kind") == "close") & F.col("_level").isNotNull() & (F.lag("kind").over(level) == "open"), 1)
     out = out.withColumn("_own", F.when(F.col("_level").isNotNull(), own)).withColumn(
         "_closes", F.coalesce(closes, F.lit(0)))
@@ -72,15 +82,16 @@ def with_ends(rows: DataFrame) -> DataFrame:
         "_deep", deep + F.when(F.coalesce(closed, F.lit(False)), 1).otherwise(0))
     # what comes next is what came last, read backwards (a frame that grows costs one step a row)
     around = Window.partitionBy("page", "_deep").orderBy(F.desc("pos")).rowsBetween(*earlier)
-    outer = F.last(F.when(F.col("_closed"), F.col("pos")), ignorenulls=True).over(around)
+    outer = F.last(F.when(F.col("_closed"), here), ignorenulls=True).over(around)
     edge = ((F.col("kind") == "open") & F.col("tag").isin(*BLOCKS)) | (
         (F.col("kind") == "close") & ~F.col("tag").isin(*INLINE))
     back = Window.partitionBy("page").orderBy(F.desc("pos")).rowsBetween(*earlier)
-    following = F.last(F.when(edge, F.col("pos")), ignorenulls=True).over(back)
-    out = out.withColumn("_outer", F.coalesce(outer, F.lit(LAST))).withColumn("_edge", F.coalesce(following, F.lit(LAST)))
-    end = F.when(F.col("kind") == "void", F.col("pos")).when(F.col("kind") == "open", F.when(
+    following = F.last(F.when(edge, here), ignorenulls=True).over(back)
+    out = out.withColumn("_outer", F.coalesce(outer, last)).withColumn("_edge", F.coalesce(following, last))
+    end = F.when(F.col("kind") == "void", here).when(F.col("kind") == "open", F.when(
         F.col("tag") == "p", F.col("_edge")).otherwise(F.coalesce("_own", "_outer")))
-    return out.withColumn("end", end).drop(*[c for c in out.columns if c.startswith("_")])
+    out = out.withColumn("_end", end)
+    return out.withColumn("end", F.col("_end.pos")).withColumn("end_n", F.col("_end.n")).drop("_end").drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def within(mark: Column) -> Column:
@@ -89,38 +100,43 @@ def within(mark: Column) -> Column:
     return F.coalesce(F.max(F.when(mark, F.col("end"))).over(before) > F.col("pos"), F.lit(False))
 
 
-def innermost(rows: DataFrame, mark: str, name: str) -> DataFrame:
-    """Adds ``name``: the start of the nearest element around a row whose column ``mark`` is true.
+def innermost(rows: DataFrame, mark: str, name: str, value: Column | None = None) -> DataFrame:
+    """Adds ``name``: the start of the nearest element around a row whose column ``mark`` is true (or its ``value``).
 
-    The elements' ends join the rows as events; on each level of nesting the last
-    marked start before a row is the one around it.
+    A marked row is listed once more where it ends; on each level of nesting the
+    last marked start before a row is the one around it.
     """
-    ends = rows.where(F.col(mark)).select("page", F.col("end").alias("pos"), F.lit(1).alias("_ends"))
+    value = F.col("pos") if value is None else value
+    here, end = (F.struct(F.lit(k).alias("ends"), F.col(c).alias("at")) for k, c in ((0, "pos"), (1, "end")))
     # at one position ends come first, so that an element that starts there is outside
-    events = rows.withColumn("_ends", F.lit(0)).unionByName(ends, allowMissingColumns=True)
-    opens = (F.col("_ends") == 0) & F.coalesce(F.col(mark), F.lit(False))
-    order = Window.partitionBy("page").orderBy("pos", F.desc("_ends")).rowsBetween(Window.unboundedPreceding, 0)
-    level = F.sum(F.when(opens, 1).otherwise(0) - F.col("_ends")).over(order)
+    events = rows.withColumn("_event", F.explode(F.when(F.col(mark), F.array(here, end)).otherwise(F.array(here))))
+    ends = F.col("_event.ends")
+    opens = (ends == 0) & F.coalesce(F.col(mark), F.lit(False))
+    order = Window.partitionBy("page").orderBy("_event.at", F.desc("_event.ends")).rowsBetween(Window.unboundedPreceding, 0)
+    level = F.sum(F.when(opens, 1).otherwise(0) - ends).over(order)
     events = events.withColumn("_around", level - F.when(opens, 1).otherwise(0)).withColumn(
-        "_level", F.when(opens, level).otherwise(F.col("_around")))
+        "_level", F.when(opens, F.col("_around") + 1).otherwise(F.col("_around")))
     # an opening row looks one level up, so it is listed on both
-    listed = events.where(F.col("_ends") == 0).withColumn("_at", F.explode(F.when(
+    listed = events.where(ends == 0).withColumn("_at", F.explode(F.when(
         opens, F.array("_level", "_around")).otherwise(F.array("_around"))))
     own = opens & (F.col("_at") == F.col("_level"))
     last = Window.partitionBy("page", "_at").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    found = F.last(F.when(own, F.col("pos")), ignorenulls=True).over(last)
+    found = F.last(F.when(own, value), ignorenulls=True).over(last)
     return listed.withColumn(name, F.when(F.col("_around") > 0, found)).where(~own).drop(
-        "_ends", "_around", "_level", "_at")
+        "_event", "_around", "_level", "_at")
 
 
 ATTRIBUTES = {"href": "href", "title": "title", "class": "class", "testid": "data-testid", "jk": "data-jk"}
 
 
 def page_table(pages: DataFrame, keep=(), html_col: str = "html", attributes: dict = ATTRIBUTES) -> DataFrame:
-    """The saved rows of all pages, with the ``attributes`` and the paragraph that each text stands in (``para``)."""
-    found = tokens(pages, html_col, keep)
-    found = found.withColumns({c: attribute(F.col("raw"), name) for c, name in attributes.items()}).drop("raw")
-    rows = with_ends(found)
+    """The saved rows of all pages, with the ``attributes`` and the paragraph that each text stands in (``para``).
+
+    Pages are dealt once, whole; what follows here and in the cards are sorts in
+    place, as saved rows keep their partitioning.
+    """
+    rows = with_ends(tokens(pages, html_col, keep).repartition("page"))
+    rows = rows.withColumns({c: attribute(F.col("raw"), name) for c, name in attributes.items()}).drop("raw")
     before = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     is_p = (F.col("tag") == "p") & F.col("end").isNotNull()
     para = F.last(F.when(is_p, F.struct("pos", "end")), ignorenulls=True).over(before)
@@ -128,63 +144,91 @@ def page_table(pages: DataFrame, keep=(), html_col: str = "html", attributes: di
     return materialize(rows.drop("_p"))
 
 
-def _inside(cards: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows that lie inside a card, per card."""
-    return cards.select(F.col("page").alias("_page"), "card", "start", "stop").join(rows, (
-        F.col("_page") == F.col("page")) & (F.col("pos") > F.col("start")) & (F.col("pos") < F.col("stop"))).drop("_page")
+SHOWN = ("card_text", "paragraphs", "strings")
+SPAN = ("pos", "end", "n", "end_n")
+
+
+def _next(rows: DataFrame, marks: dict, *columns) -> DataFrame:
+    """Adds a column per mark: the next row of the page (``SPAN`` and ``columns``) that it holds for.
+
+    What comes next is what came last, read backwards: one sort for any number
+    of cards, however deep they lie in each other.
+    """
+    back = Window.partitionBy("page").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({name: F.last(F.when(mark, F.struct(*SPAN, *columns)), ignorenulls=True).over(back)
+                             for name, mark in marks.items()})
+
+
+def _field_marks(fields: dict) -> dict:
+    return {f"_at_{name}": mark & F.col("end").isNotNull() for name, mark in fields.items()}
+
+
+def _texts() -> Column:
+    """The texts of a page, in order (an aggregate)."""
+    return F.sort_array(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", "text", "para"))))
 
 
-def contents(rows: DataFrame, cards: DataFrame, fields: dict) -> DataFrame:
-    """What each card (page, card, start, stop, link, ...) shows.
+def contents(rows: DataFrame, is_card: Column, columns: dict, fields, keep, shown) -> DataFrame:
+    """What each card shows: a row per row of ``rows`` that ``is_card`` holds for.
+
+    ``columns`` makes card, start, stop, from_n, to_n, link, link_end, link_n,
+    link_to_n, href and link_title of it; ``_at_<field>`` holds the first element
+    that fits the field, if it lies inside the card.  Texts are slices of the
+    page's, so nested cards cost no more than what they show.
+    """
+    card = F.struct(*keep, *[c.alias(name) for name, c in columns.items()], *[f"_at_{f}" for f in fields])
+    firsts = [F.min(F.when(mark, F.struct(*SPAN))).alias(f"_first{name}") for name, mark in _field_marks(fields).items()]
+    pages = rows.groupBy("page").agg(_texts().alias("_texts"), F.collect_list(F.when(is_card, card)).alias("_cards"), *firsts)
+
+    def show(c):
+        def texts(low: Column, high: Column) -> Column:
+            return F.slice("_texts", low + 1, F.greatest(F.least(high, c.to_n) - low, F.lit(0)))
+
+        def joined(low: Column, high: Column) -> Column:
+            return F.array_join(texts(low, high).getField("text"), " ")
+
+        def field(name):
+            at = F.when(c.start < 0, F.col(f"_first_at_{name}")).otherwise(c[f"_at_{name}"])
+            return F.when(at.pos < c.stop, F.struct(F.lit(name).alias("key"), joined(at.n, at.end_n).alias("value")))
+
+        found = F.array_compact(F.array(*[field(name) for name in fields])) if fields else None
+        out = [*[c[k].alias(k) for k in keep], *[c[k].alias(k) for k in ("card", "link", "link_end", "href", "link_title")],
+               F.when(c.link.isNotNull(), joined(c.link_n, c.link_to_n)).alias("link_text"),
+               (F.when(F.size(found) > 0, F.map_from_entries(found)) if fields else F.lit(None).cast(
+                   "map<string,string>")).alias("fields")]
+        whole = texts(c.from_n, c.to_n)
+        if "card_text" in shown:
+            out.append(F.array_join(whole.getField("text"), " ").alias("card_text"))
+        if "strings" in shown:
+            out.append(whole.getField("text").alias("strings"))
+        if "paragraphs" in shown:
+            paras = F.array_distinct(F.filter(whole.getField("para"), lambda p: p > c.start))
+            out.append(F.transform(paras, lambda p: F.array_join(F.filter(
+                whole, lambda s: s.para == p).getField("text"), " ")).alias("paragraphs"))
+        return F.struct(*out)
+
+    return pages.select("page", F.inline(F.transform("_cards", show)))
+
+
+def containers(rows: DataFrame, card: Column, link: Column, fields: dict, keep=(), shown=SHOWN) -> DataFrame:
+    """Elements that ``card`` holds for, with the first element inside that is a ``link``.
 
     ``fields`` names conditions on elements; the first element inside the card
-    that fits gives the field its text.
+    that fits gives the field its text.  ``shown`` names what else of the card's
+    text is wanted.
     """
-    texts = rows.where(F.col("kind") == "text").select("page", "pos", "text", "para")
-    shown = _inside(cards, texts).groupBy("page", "card").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "text", F.when(F.col("para") > F.col("start"), F.col("para")).alias(
-            "para")))).alias("shown"))
-    out = cards.join(shown, ["page", "card"], "left")
-    if fields:
-        marks = F.array_compact(F.array(*[F.when(mark, F.lit(name)) for name, mark in fields.items()]))
-        marked = rows.where(F.col("end").isNotNull()).select("page", "pos", "end", F.explode(marks).alias("name"))
-        first = _inside(cards, marked).groupBy("page", "card", "name").agg(
-            F.min(F.struct("pos", "end")).alias("at"))
-        found = first.groupBy("page", "card").agg(F.map_from_entries(F.collect_list(F.struct("name", "at"))).alias("at"))
-        out = out.join(found, ["page", "card"], "left")
-    else:
-        out = out.withColumn("at", F.lit(None).cast("map<string,struct<pos:int,end:int>>"))
-    strings = F.coalesce("shown", F.array().cast("array<struct<pos:int,text:string,para:int>>"))
-
-    def between(low: Column, high: Column) -> Column:
-        return F.array_join(F.transform(F.filter(strings, lambda s: (s.pos > low) & (s.pos < high)), lambda s: s.text), " ")
-
-    paras = F.filter(F.array_distinct(F.transform(strings, lambda s: s.para)), lambda p: p.isNotNull())
-    return out.select(
-        *[c for c in cards.columns if c not in ("start", "stop")],
-        F.array_join(F.transform(strings, lambda s: s.text), " ").alias("card_text"),
-        F.when(F.col("link").isNotNull(), between(F.col("link"), F.col("link_end"))).alias("link_text"),
-        F.transform_values("at", lambda _, at: between(at.pos, at.end)).alias("fields"),
-        F.transform(paras, lambda p: F.array_join(F.transform(F.filter(
-            strings, lambda s: s.para == p), lambda s: s.text), " ")).alias("paragraphs"),
-        F.transform(strings, lambda s: s.text).alias("strings"))
-
-
-def containers(rows: DataFrame, card: Column, link: Column, fields: dict, keep=()) -> DataFrame:
-    """Elements that ``card`` holds for, with the first element inside that is a ``link``."""
-    links = rows.where(link).select("page", "pos", "end", "href", F.col("title").alias("link_title"))
-    cards = rows.where(card).select("page", *keep, F.col("pos").alias("card"), F.col("pos").alias("start"),
-                                    F.col("end").alias("stop"))
-    first = _inside(cards, links).groupBy("page", "card").agg(F.min(F.struct("pos", "end", "href", "link_title")).alias("l"))
+    rows = _next(rows, _field_marks(fields))
+    rows = _next(rows, {"_l": link}, "href", F.col("title").alias("link_title"))
     # a card without a link is no listing
-    cards = cards.join(first, ["page", "card"]).select(
-        "page", *keep, "card", "start", "stop", F.col("l.pos").alias("link"), F.col("l.end").alias("link_end"),
-        F.coalesce("l.href", F.lit("")).alias("href"), "l.link_title")
-    return contents(rows, cards, fields)
+    is_card = F.coalesce(card & (F.col("_l.pos") < F.col("end")), F.lit(False))
+    return contents(rows, is_card, {
+        "card": F.col("pos"), "start": F.col("pos"), "stop": F.col("end"), "from_n": F.col("n"), "to_n": F.col("end_n"),
+        "link": F.col("_l.pos"), "link_end": F.col("_l.end"), "link_n": F.col("_l.n"), "link_to_n": F.col("_l.end_n"),
+        "href": F.coalesce("_l.href", F.lit("")), "link_title": F.col("_l.link_title")}, fields, keep, shown)
 
 
 def linked(rows: DataFrame, link: Column, ancestor: Column, fields: dict, keep=(), max_chars: int | None = None,
-           pattern: str | None = None) -> DataFrame:
+           pattern: str | None = None, shown=SHOWN) -> DataFrame:
     """Links, each with its nearest ancestor that ``ancestor`` holds for, or else its parent, as the card.
 
     With ``max_chars`` and ``pattern`` an ancestor must also show no more than
@@ -194,40 +238,42 @@ def linked(rows: DataFrame, link: Column, ancestor: Column, fields: dict, keep=(
                                                  F.lit(False)))
     if max_chars is not None:
         marked = _short(marked, max_chars, pattern)
-    marked = marked.withColumn("_any", (F.col("kind") == "open") & F.col("end").isNotNull()).withColumn(
-        "_link", F.coalesce(link, F.lit(False)))
-    around = innermost(innermost(marked, "_fits", "_near"), "_any", "_parent")
-    links = around.where("_link").withColumn("start", F.coalesce("_near", "_parent")).select(
-        "page", *keep, F.col("pos").alias("link"), F.col("end").alias("link_end"), "start",
-        F.coalesce("href", F.lit("")).alias("href"), F.col("title").alias("link_title"))
-    shells = rows.where("end is not null").select("page", F.col("pos").alias("start"), F.col("end").alias("stop"))
+    marked = _next(marked, _field_marks(fields)).withColumn(
+        "_any", (F.col("kind") == "open") & F.col("end").isNotNull()).withColumn("_link", F.coalesce(link, F.lit(False)))
+    shell = F.struct(*SPAN, *[f"_at_{f}" for f in fields])
+    around = innermost(innermost(marked, "_fits", "_near", shell).withColumn("_near", F.when(F.col("_link"), F.col("_near"))),
+                       "_any", "_parent", shell)
+    around = around.withColumn("_shell", F.when(F.col("_link"), F.coalesce("_near", "_parent"))).withColumns(
+        {f"_at_{f}": F.col(f"_shell._at_{f}") for f in fields})
     # a link that no element surrounds has the whole page as its card
-    cards = links.join(shells, ["page", "start"], "left").select(
-        "page", *keep, F.col("link").alias("card"), F.coalesce("start", F.lit(-1)).alias("start"),
-        F.coalesce("stop", F.lit(LAST)).alias("stop"), "link", "link_end", "href", "link_title")
-    return contents(rows, cards, fields)
+    return contents(around, F.col("_link"), {
+        "card": F.col("pos"), "start": F.coalesce("_shell.pos", F.lit(-1)), "stop": F.coalesce("_shell.end", F.lit(LAST)),
+        "from_n": F.coalesce("_shell.n", F.lit(0)), "to_n": F.coalesce("_shell.end_n", F.lit(LAST)),
+        "link": F.col("pos"), "link_end": F.col("end"), "link_n": F.col("n"), "link_to_n": F.col("end_n"),
+        "href": F.coalesce("href", F.lit("")), "link_title": F.col("title")}, fields, keep, shown)
 
 
 def _short(rows: DataFrame, max_chars: int, pattern: str) -> DataFrame:
     """Keeps ``_fits`` for elements that show at most ``max_chars`` characters, the pattern among them."""
     page = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    clean = tx.clean(F.coalesce("text", F.lit("")))
-    size = F.when(F.col("kind") == "text", F.length(clean) + 1).otherwise(0)
+    size = F.when(F.col("kind") == "text", F.length(tx.clean(F.coalesce("text", F.lit("")))) + 1).otherwise(0)
     summed = rows.withColumn("_sum", F.sum(size).over(page))
-    stops = Window.partitionBy("page").orderBy("pos")
-    ends = summed.where("_fits").select("page", F.col("pos").alias("start"), F.col("end").alias("stop"),
-                                        F.col("_sum").alias("_from"))
-    # the running sum at an element's end is that of the last row before it
-    events = summed.select("page", "pos", "_sum", F.lit(None).cast("int").alias("start"), F.lit(None).cast("long").alias(
-        "_from"), F.lit(1).alias("_row")).unionByName(ends.select("page", F.col("stop").alias("pos"), F.lit(None).cast(
-            "long").alias("_sum"), "start", "_from", F.lit(0).alias("_row")))
-    reached = F.last("_sum", ignorenulls=True).over(stops.rowsBetween(Window.unboundedPreceding, -1))
-    reached = events.withColumn("_upto", reached).where("_row = 0").where(
-        F.col("_upto") - F.col("_from") - 1 <= max_chars).select("page", F.col("start").alias("card"), "start",
-                                                                F.col("pos").alias("stop"))
-    texts = rows.where(F.col("kind") == "text").select("page", "pos", "text")
-    said = _inside(reached, texts).groupBy("page", "card").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s.text), " ").alias("said"))
-    good = said.where(tx.clean("said").rlike(pattern)).select("page", F.col("card").alias("pos"), F.lit(True).alias("_good"))
-    return rows.join(good, ["page", "pos"], "left").withColumn(
-        "_fits", F.col("_fits") & F.coalesce("_good", F.lit(False))).drop("_good")
+    others = [c for c in rows.columns if c not in ("page", "_fits")]
+    pages = summed.groupBy("page").agg(
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", "text", "_sum")))).alias("_texts"),
+        F.collect_list(F.struct(*others, "_fits")).alias("_rows"))
+
+    def said(r):
+        some = F.slice("_texts", r.n + 1, F.least(r.end_n, F.size("_texts")) - r.n)
+        return tx.clean(F.array_join(some.getField("text"), " "))
+
+    def upto(n: Column) -> Column:
+        return F.when(n > 0, F.get("_texts", n - 1).getField("_sum")).otherwise(0)
+
+    def judged(r):
+        last = F.least(r.end_n, F.size("_texts"))
+        fits = F.when(r._fits & (last > r.n), F.when(
+            upto(last) - upto(r.n) - 1 <= max_chars, said(r).rlike(pattern)).otherwise(False)).otherwise(False)
+        return F.struct(*[r[c].alias(c) for c in others], F.coalesce(fits, F.lit(False)).alias("_fits"))
+
+    return pages.select("page", F.inline(F.transform("_rows", judged)))

@@ -195,3 +195,16 @@ def test_a_source_can_be_registered(spark):
             ("t0", "Plain", 9, "https://plain.example/0"), ("t1", "Plain", 9, "https://plain.example/1")]
     finally:
         del portals.REGISTRY["Plain"]
+
+
+def test_pages_are_dealt_once_and_nested_cards_show_slices(spark):
+    """Cards of a page are made where its rows lie: no shuffle, no join, no text per card but what is asked for."""
+    item = '<li><a href="https://pe.linkedin.com/jobs/view/p-%d/">t%d</a><h3>%s</h3>'
+    html = "<ul>" + "".join(item % (k, k, "x" * 50) for k in range(40)) + "</ul>"       # never closed: each holds the rest
+    df = spark.createDataFrame([(1, fv.SOURCE_LINKEDIN, "Asia", "u", html)], PAGE)
+    found = portals.REGISTRY[fv.SOURCE_LINKEDIN].cards(portals.page_rows(df))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert "card_text" not in found.columns
+    out = found.orderBy("card").collect()
+    assert [(r.link_text, r.fields["title"]) for r in out] == [(f"t{k}", "x" * 50) for k in range(40)]
