@@ -101,6 +101,21 @@ def test_first_match_is_one_rule_for_any_list(spark):
         assert {r.i: r.label for r in out.collect()} == {1: "San Luis", 2: "강남", 3: "", 4: "", 5: ""}
 
 
+def test_first_match_of_many_terms_copies_no_text(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 2)                       # terms come in several blocks
+    long = "y" * 40
+    texts = spark.createDataFrame([(1, "xx " + long + "z"), (2, "xx " + long), (3, "\U0001f600abc"), (4, "c" * 9 + "ddddddddd")],
+                                  "i int, t string")
+    terms = spark.createDataFrame([(1, long + "z"), (2, "?abc"), (3, "cccccccc" + "x"), (4, "dddddddd"), (5, "xx"), (6, "b")],
+                                  "o int, term string")
+    out = matching.first_match(texts, "t", terms, "o", "term")
+    assert {r.i: r.label for r in out.collect()} == {1: long + "z", 2: "xx", 3: "b", 4: "dddddddd"}
+    rows = spark.createDataFrame([(1, "abc")], "_row long, _key string")
+    asked = spark.createDataFrame([(1, "abc", "abc")], "n int, k string, gram string")
+    plan = matching.first_numbers(rows, asked, [3], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_message_lacking_a_part_is_not_published(spark):
     df = spark.createDataFrame([(str(k), "T", e, "L", "1", "5", "01/01/2026", "02/01/2026") for k, e in enumerate(("E", None))],
                                "id string, titulo string, entidad string, ubicacion string, vacantes string, remuneracion string, "
