@@ -9,8 +9,8 @@ neither elements nor text.
 
 Cards are elements (or links and their nearest accepted ancestors); what a card
 shows is what lies between its start and its end: a slice of the page's texts,
-which are numbered.  Rows are dealt to tasks once, by page; all windows, and the
-row per page that the cards are made of, work in place.  No page is parsed by
+which are numbered.  Rows are dealt to tasks by page, before they are saved and
+after; windows, and the row per page that the cards are made of, need no join.  No page is parsed by
 Python, and no task holds more than one page's rows of a key.
 """
 
@@ -132,8 +132,8 @@ ATTRIBUTES = {"href": "href", "title": "title", "class": "class", "testid": "dat
 def page_table(pages: DataFrame, keep=(), html_col: str = "html", attributes: dict = ATTRIBUTES) -> DataFrame:
     """The saved rows of all pages, with the ``attributes`` and the paragraph that each text stands in (``para``).
 
-    Pages are dealt once, whole; what follows here and in the cards are sorts in
-    place, as saved rows keep their partitioning.
+    Pages are dealt whole; what follows here are sorts in place.  Saved rows are
+    dealt by page once more where the cards are made.
     """
     rows = with_ends(tokens(pages, html_col, keep).repartition("page"))
     rows = rows.withColumns({c: attribute(F.col("raw"), name) for c, name in attributes.items()}).drop("raw")
