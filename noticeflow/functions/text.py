@@ -58,7 +58,7 @@ def py_strip(c) -> Column:
 def _expanded(s: Column, multi) -> Column:
     """Characters whose key has several letters, and Hangul syllables, written out.
 
-    A text without any of them (one regex test) stays as it is.
+    A text without any of them stays as it is.
     """
     table = F.from_json(F.lit(json.dumps(dict(multi))), "map<string,string>")
     syllable = "[\\x{%04X}-\\x{%04X}]" % (um.HANGUL_FIRST, um.HANGUL_LAST)
@@ -77,11 +77,14 @@ def _expanded(s: Column, multi) -> Column:
         return F.when(ch.rlike(syllable), hangul(ch)).otherwise(F.coalesce(F.try_element_at(table, ch), ch))
 
     def step(t):
-        # each different character is looked up once; then all are put back in order
-        some = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)."), 0)), lambda c: c.rlike(any_of))
-        return F.when(t.rlike(any_of), F.aggregate(some, t, lambda acc, c: F.replace(acc, c, written(c)))).otherwise(t)
-
-    any_of = um.java_class([a for a, _ in multi])[:-1] + syllable[1:]
+        # each different character is looked up once; then all are put back in order.  They are picked by few ranges
+        # that hold them all, as Java tests a text's every character against a class range by range
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(hull), F.lit(0)))
+        some = F.filter(found, lambda c: c.rlike(any_of))
+        return F.when(t.rlike(beyond), F.aggregate(some, t, lambda acc, c: F.replace(acc, c, written(c)))).otherwise(t)
+
+    beyond = "[\\x{%04X}-\\x{10FFFF}]" % min(um.HANGUL_FIRST, *(ord(a) for a, _ in multi))
+    any_of, hull = (um.java_class([a for a, _ in multi], gap)[:-1] + syllable[1:] for gap in (1, um.HULL_GAP))
     return let(s, step)
 
 
@@ -125,10 +128,8 @@ def search_key(c) -> Column:
     Marks outside U+0300-036F keep the order in which they were written.
     """
     matching, replacement, multi = um.search_maps()
-    t = um.java_class(um.js_trim_chars())
     return _keyed(c, lambda s: F.btrim(F.lower(s), F.lit("\t\n\x0b\x0c\r ")),
-                  lambda s: F.regexp_replace(_expanded(F.translate(s, matching, replacement), multi),
-                                             "^" + t + "+|" + t + "+$", ""))
+                  lambda s: F.btrim(_expanded(F.translate(s, matching, replacement), multi), F.lit(um.js_trim_chars())))
 
 
 def identity(entity, reference, title, location, code=None) -> Column:

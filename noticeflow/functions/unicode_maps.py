@@ -18,6 +18,7 @@ import unicodedata
 HANGUL_FIRST, HANGUL_LAST = 0xAC00, 0xD7A3
 LEADS, VOWELS, TRAILS = 0x1100, 0x1161, 0x11A7
 N_VOWELS, N_TRAILS = 21, 28
+HULL_GAP = 256
 
 
 @functools.lru_cache(maxsize=None)
@@ -26,17 +27,19 @@ def _all() -> tuple[str, ...]:
     return tuple(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) not in ("Cn", "Co", "Cs"))
 
 
-def java_class(chars) -> str:
+def java_class(chars, gap: int = 1) -> str:
     """A regex character class usable by Java and RE2 (``\\x{HHHH}`` escapes).
 
     Consecutive code points are merged into ranges: Java tests a class as a
-    chain of predicates, so fewer items make every position cheaper.
+    chain of predicates, so fewer items make every position cheaper.  With a
+    larger ``gap`` code points at most so far apart share a range, which then
+    holds what lies between them too.
     """
     cps = sorted({ord(c) for c in chars})
     items, i = [], 0
     while i < len(cps):
         j = i
-        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+        while j + 1 < len(cps) and cps[j + 1] <= cps[j] + gap:
             j += 1
         items.append("\\x{%04X}" % cps[i] if i == j else "\\x{%04X}-\\x{%04X}" % (cps[i], cps[j]))
         i = j + 1
