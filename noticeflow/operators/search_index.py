@@ -15,15 +15,27 @@ trigram.  Both tables are published whole (``storage``).
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import text as tx
 
+# Task functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_BITS = 16
 GRAM = 3
 GRAMS = "(?s)(?=(.{%d}))" % GRAM
+CHUNK_CHARS = 2_000_000
+LISTS = "gram string, block long, rows array<long>"
 
 
 def haystack(fields) -> Column:
@@ -35,16 +47,60 @@ def grams(key: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(key, F.lit(GRAMS), F.lit(1)))
 
 
+def _lists(points: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code points of the different trigrams, where each one's list ends, the lists) of texts laid end to end."""
+    seen = np.zeros(int(points.max(initial=0)) + 1, bool)
+    seen[points] = True
+    letters, n = np.flatnonzero(seen), len(sizes)
+    if n > 1 and len(letters) ** GRAM * n >= 1 << 63:               # a code would not fit: texts apart
+        half = n // 2
+        cut = int(sizes[:half].sum())
+        yield from _lists(points[:cut], sizes[:half], numbers[:half])
+        yield from _lists(points[cut:], sizes[half:], numbers[half:])
+        return
+    codes = (np.cumsum(seen) - 1)[points]
+    owner = np.repeat(np.arange(n), sizes)
+    m = max(0, len(codes) - GRAM + 1)
+    gram = codes[:m]
+    for k in range(1, GRAM):
+        gram = gram * len(letters) + codes[k:m + k]
+    found = gram * n + owner[:m]
+    found = np.sort(found[owner[:m] == owner[GRAM - 1:]])
+    found = found[np.append(True, found[1:] != found[:-1])[:len(found)]]
+    gram, owner = found // n, found % n
+    last = np.flatnonzero(np.append(gram[1:] != gram[:-1], True)) if len(gram) else np.zeros(0, np.int64)
+    powers = len(letters) ** np.arange(GRAM - 1, -1, -1)
+    yield letters[gram[last][:, None] // powers % max(1, len(letters))], last + 1, numbers[owner]
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stored keys to the lists of their trigrams, as far as one chunk of a block's texts goes."""
+    for batch in batches:
+        sizes = pc.utf8_length(batch.column("hay")).to_numpy(zero_copy_only=False).astype(np.int64)
+        block, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "row"))
+        part = (np.cumsum(sizes) - sizes) // CHUNK_CHARS
+        cut = np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+            keys = "".join(batch.column("hay").slice(a, b - a).to_pylist())
+            points = np.frombuffer(keys.encode("utf-32-le"), np.uint32)
+            for grams, ends, rows in _lists(points, sizes[a:b], row[a:b]):
+                text = grams.astype(np.uint32).tobytes().decode("utf-32-le")
+                offsets = np.append(0, ends).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([text[i:i + GRAM] for i in range(0, len(text), GRAM)], pa.string()),
+                    pa.array(np.full(len(ends), block[a] if b > a else 0, np.int64)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows, pa.int64()))], ["gram", "block", "rows"])
+
+
 def build(df: DataFrame, path: str, fields=("titulo", "entidad", "distrito"), keep=("id", "distrito")) -> str:
     """Write the index of ``df``: its key columns ``keep`` and the search key of ``fields``."""
     spark, root = df.sparkSession, path.rstrip("/")
     number = F.monotonically_increasing_id()
-    texts = df.select(*keep, haystack(fields).alias("hay"), number.alias("row")).withColumn(
+    rows = df.select(*keep, haystack(fields).alias("hay"), number.alias("row")).withColumn(
         "block", F.shiftright("row", BLOCK_BITS))
-    storage.write_published(texts, f"{root}/texts", "block")
-    stored = spark.read.parquet(f"{root}/texts").select(
-        F.col("block").cast("long").alias("block"), "row", F.explode(grams(F.col("hay"))).alias("gram"))
-    lists = stored.groupBy("gram", "block").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    storage.write_published(rows, f"{root}/texts", "block")
+    parts = texts(spark, root).select("block", "row", "hay").mapInArrow(_postings, LISTS)
+    lists = parts.groupBy("gram", "block").agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("rows"))
     storage.write_published(lists.repartitionByRange("gram").sortWithinPartitions("gram", "block"), f"{root}/postings")
     return root
 
