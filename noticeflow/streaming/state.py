@@ -1,7 +1,8 @@
 """Keyed refresh with state kept in the engine: one row per key, dropped once it is too old.
 
-The state is a RocksDB store that Spark keeps, checkpoints and restores; a
-micro-batch touches only the keys it brings and the keys whose time has come.
+The state is a RocksDB store that Spark keeps, checkpoints and restores, by
+buckets of keys; a micro-batch touches only the buckets of the keys it brings and
+of the keys whose time has come.
 What changed is written as one folder per batch (``changes/batch_id=N``:
 ``upsert`` rows with their values, ``expire`` rows with the key), so the rows
 written are in proportion to the batch.  The table is the last change of every
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -28,67 +29,109 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 UPSERT, EXPIRE = "upsert", "expire"
 AT = "_at"
+BUCKET, BUCKETS = "_bucket", 1024               # a checkpoint holds its state by these buckets
 
 
 class LatestRow(StatefulProcessor):
     """Per key the row with the greatest position, with event time the newest row and ties by position.
 
-    NULL positions come before all others.
+    NULL positions come before all others.  The rows of a bucket of keys are one
+    value of the state, with one timer for the oldest of them: each call to the
+    state is a message, so there are a few a bucket and batch, not a few a key.
     """
 
     def __init__(self, schema: T.StructType, keys: list[str], pos: str, event_time: str | None):
         self.schema, self.keys, self.pos, self.event_time = schema, keys, pos, event_time
-        self.values = [f for f in schema.fields if f.name not in keys]
+        names = schema.names
+        self.key_at = [names.index(c) for c in keys]
+        self.order_at = [names.index(c) for c in (event_time, pos) if c]
+        self.time_at = names.index(event_time) if event_time else None
+        self.changed = Row(*names, "change")
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.row = handle.getValueState("row", T.StructType(self.values))
+        self.rows = handle.getValueState("rows", T.StructType([T.StructField("rows", T.ArrayType(self.schema))]))
 
-    def _order(self, values: tuple) -> tuple:
-        named = dict(zip([f.name for f in self.values], values))
-        return tuple((named[c] is not None, named[c]) for c in (self.event_time, self.pos) if c)
+    def _key(self, row: tuple) -> tuple:
+        return tuple(_plain(row[i]) for i in self.key_at)
 
-    def _time(self, values: tuple) -> int | None:
-        t = values[[f.name for f in self.values].index(self.event_time)]
-        return None if t is None else t // 1000
+    def _order(self, row: tuple) -> tuple:
+        return tuple((row[i] is not None, row[i]) for i in self.order_at)
 
-    def _change(self, key: tuple, values: tuple, change: str) -> Row:
-        names = [f.name for f in self.values]
-        both = dict(zip(self.keys, key)) | dict(zip(names, values))
-        return Row(**{f.name: both[f.name] for f in self.schema.fields}, change=change)
+    def _time(self, row: tuple) -> int | None:
+        return None if row[self.time_at] is None else row[self.time_at] // 1000
+
+    def _change(self, row: tuple, change: str) -> Row:
+        return self.changed(*row, change)
+
+    def _held(self) -> dict[tuple, tuple]:
+        held = self.rows.get()
+        return {} if held is None else {self._key(r): tuple(r) for r in held[0]}
+
+    def _oldest(self, held: dict[tuple, tuple]) -> int | None:
+        return min(map(self._time, held.values()), default=None) if self.event_time else None
+
+    def _keep(self, held: dict[tuple, tuple], timer: int | None) -> None:
+        """Store the rows; ``timer`` is the one registered so far."""
+        oldest = self._oldest(held)
+        if timer is not None and timer != oldest:
+            self.handle.deleteTimer(timer)
+        if oldest is not None and timer != oldest:
+            self.handle.registerTimer(oldest)
+        if held:
+            self.rows.update(([tuple(r) for r in held.values()],))
+        else:
+            self.rows.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        names, best = [f.name for f in self.values], None
-        for row in rows:
-            values = tuple(row[n] for n in names)
+        at, best = None, {}
+        floor = timerValues.getCurrentWatermarkInMs() if self.event_time else None
+        for found in rows:
+            at = at or [found.__fields__.index(n) for n in self.schema.names]      # by place: a name is searched each time
+            row = tuple([found[i] for i in at])
             if self.event_time:
-                at = self._time(values)
-                if at is None or at < timerValues.getCurrentWatermarkInMs():
+                time = self._time(row)
+                if time is None or time < floor:
                     continue                                    # too old, or of no known age
-            if best is None or self._order(values) > self._order(best):
-                best = values
-        if best is None:
-            return
-        old = self.row.get()                                        # each call to the state is a message
-        if old is not None and self._order(best) <= self._order(tuple(old)):
+            k = self._key(row)
+            if k not in best or self._order(row) > self._order(best[k]):
+                best[k] = row
+        if not best:
             return
-        if self.event_time:
-            if old is not None:
-                self.handle.deleteTimer(self._time(tuple(old)))
-            self.handle.registerTimer(self._time(best))
-        self.row.update(best)
-        yield self._change(key, best, UPSERT)
+        held = self._held()
+        timer = self._oldest(held)
+        new = {k: row for k, row in best.items() if k not in held or self._order(row) > self._order(held[k])}
+        if new:
+            held.update(new)
+            self._keep(held, timer)
+        for row in new.values():
+            yield self._change(row, UPSERT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.row.get()
-        if held is not None and self._time(tuple(held)) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.row.clear()
-            yield self._change(key, tuple(held), EXPIRE)
+        held, floor = self._held(), timerValues.getCurrentWatermarkInMs()
+        gone = {k: row for k, row in held.items() if self._time(row) < floor}
+        # the timer that has fired is gone by itself
+        self._keep({k: row for k, row in held.items() if k not in gone}, None)
+        for row in gone.values():
+            yield self._change(row, EXPIRE)
 
     def close(self) -> None:
         pass
 
 
+def _plain(value):
+    """A key's value as a dictionary key that is equal when Spark groups the values together."""
+    if isinstance(value, float):
+        return "NaN" if value != value else value + 0.0
+    return value if getattr(value, "__hash__", None) and not isinstance(value, tuple) else repr(value)
+
+
+def _bucket(schema: T.StructType, keys: list[str]) -> Column:
+    floats = (T.FloatType, T.DoubleType)
+    columns = [F.col(c) + F.lit(0.0) if isinstance(schema[c].dataType, floats) else F.col(c) for c in keys]   # no -0.0
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS))
+
+
 def changes_dir(out_dir: str, batch_id: int) -> str:
     return f"{out_dir.rstrip('/')}/changes/batch_id={batch_id}"
 
@@ -104,7 +147,7 @@ def keyed_refresh(stream: DataFrame, keys: list[str], pos: str, out_dir: str, ch
         rows = rows.withColumn(AT, F.unix_micros(stamp.cast("timestamp"))).withColumn(
             event_time, F.timestamp_micros(F.col(AT))).withWatermark(event_time, max_age)
     kept = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name != event_time])
-    changes = rows.groupBy(*keys).transformWithState(
+    changes = rows.withColumn(BUCKET, _bucket(kept, keys)).groupBy(BUCKET).transformWithState(
         LatestRow(kept, list(keys), pos, AT if event_time else None),
         T.StructType([*kept.fields, T.StructField("change", T.StringType())]), "Update",
         "EventTime" if event_time else "None")
