@@ -37,9 +37,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from noticeflow.llm.common import freed
 
@@ -63,6 +63,7 @@ UNIT_WORDS = frozenset(
     "ounces l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day "
     "days week weeks month months year years percent usd eur dollar dollars cent cents euro euros rupee rupees yen "
     "kmh mph kph hz khz mhz w kw kwh watt watts volt volts degree degrees celsius fahrenheit kb mb gb tb".split())
+KNOWN_WORDS = NUMBER_WORDS | UNIT_WORDS
 NUMERAL = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?%?")
 DIGIT = re.compile(r"\d")
 JOINED = re.compile(r"([+-]?\d[\d.,]*)([^\W\d_]+)")
@@ -85,6 +86,10 @@ class Words(dict):
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self)
+        if word.islower() and word.isalpha() and word not in KNOWN_WORDS:       # most words: no rule applies
+            self.plain.append(xxh3_64_intdigest(word) | 8)
+            self.facts.append(0)
+            return at
         plain, kind, flags = self._facts(word)
         self.plain.append(plain)
         self.facts.append(kind << 8 | flags)
@@ -118,7 +123,7 @@ class Words(dict):
             flags |= IS_UNIT | (MORE_UNIT if low != "in" else 0)
         title = core[0].isupper() and core[1:] == core[1:].lower()
         kind = NUMBER if number or low in NUMBER_WORDS else NAME if title else 0
-        return xxhash.xxh3_64_intdigest(low) | 8, kind, flags
+        return xxh3_64_intdigest(low) | 8, kind, flags
 
 
 def _parts(word: str) -> tuple[str, ...]:
