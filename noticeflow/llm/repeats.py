@@ -11,10 +11,11 @@ Documents of equal text work as one, under the smallest id; the others lose all.
 2. For its repeated anchors every document gives the stretch of text whose
    windows they own.  Equal stretches in one task are merged first: all but
    the earliest document's are settled, and one goes to the anchor's shard.
-3. A shard cuts stretches into short runs of windows around a common core and
-   sorts the suffixes of differing runs by linear grouping (``suffixes``);
-   neighbours equal in SPAN bytes are one string, and its earliest document
-   keeps it.
+3. A shard settles anchors whose stretches are all equal as columns.  It cuts the
+   stretches of others into short runs of windows around a common core and sorts
+   the suffixes of differing runs, equal pieces once, by linear grouping
+   (``suffixes``); neighbours equal in SPAN bytes are one string, and its
+   earliest document keeps it.
 4. Each document drops every byte covered by a window that others had first.
 
 Hot strings do not gather: tasks send one row per distinct string, however many
@@ -33,6 +34,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,7 +92,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def owned(at: np.ndarray, h: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Index into ``at`` of the anchor (the leftmost smallest) that owns each window."""
-    mine = np.searchsorted(at, np.arange(len(least)))
+    mine = np.repeat(np.arange(len(at)), np.diff(at, prepend=-1))[:len(least)]
     wrong = np.flatnonzero(h[at[mine]] != least)
     while len(wrong):
         mine[wrong] += 1
@@ -280,6 +282,11 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield gathered(held)
 
 
+def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``some`` (sorted, not empty); for short arrays ``np.isin`` is mostly overhead."""
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
+
+
 STRETCH_ROWS = "anchor long, off int, text binary, id long, key long, at int"
 
 
@@ -314,7 +321,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], unit_bytes: int) -> Iterator[p
         for key, i, text, hits in zip(*(batch.column(c).to_pylist() for c in ("_key", "_id", "text", "_hits"))):
             data = text.encode()
             at, h, least = anchors(np.frombuffer(data, np.uint8))
-            hit = np.flatnonzero(np.isin(_short(h[at]), np.frombuffer(hits, np.uint64)))
+            hit = np.flatnonzero(_among(_short(h[at]), np.sort(np.frombuffer(hits, np.uint64))))
             mine = owned(at, h, least)
             first = np.searchsorted(mine, hit, side="left").tolist()
             last = np.searchsorted(mine, hit, side="right").tolist()
@@ -340,151 +347,190 @@ def _stretches(batches: Iterator[pa.RecordBatch], unit_bytes: int) -> Iterator[p
 
 def first_holders(strings: list[tuple[bytes, int]]) -> list[list[int]]:
     """For each (bytes, id) the smallest id of all strings that hold each of its SPAN-byte windows."""
-    text: list[int] = []
-    starts = []
-    for data, _ in strings:
-        starts.append(len(text))
-        text.extend(b + 2 for b in data)
-        text.append(1)
-    text.append(0)
-    out = [[LAST] * (len(data) - SPAN + 1) for data, _ in strings]
-    owner, offset = [-1] * len(text), [0] * len(text)
-    for n, (begin, (data, _)) in enumerate(zip(starts, strings)):
-        for k in range(len(data) - SPAN + 1):
-            owner[begin + k], offset[begin + k] = n, k
-    run: list[int] = []
-    window = None
-
-    def close() -> None:
-        least = min(strings[owner[s]][1] for s in run)
-        for s in run:
-            out[owner[s]][offset[s]] = least
-
-    for s in suffix_array(text):
-        if owner[s] < 0:
-            continue
-        here = strings[owner[s]][0][offset[s]:offset[s] + SPAN]
-        if here != window and run:
-            close()
-            run = []
-        window = here
-        run.append(s)
-    if run:
-        close()
-    return out
+    lengths = np.array([len(data) for data, _ in strings], np.int64)
+    begins = np.cumsum(lengths + 1) - lengths - 1                # a separator ends each string
+    text = np.zeros(int(lengths.sum()) + len(strings) + 1, np.int32)
+    inside = np.ones(len(text) - 1, bool)
+    inside[begins + lengths] = False
+    text[:-1][inside] = np.frombuffer(b"".join(data for data, _ in strings), np.uint8) + np.int32(2)
+    text[begins + lengths] = 1
+    counts = lengths - SPAN + 1                                  # windows of each string
+    ends = np.cumsum(counts)
+    window = np.full(len(text), -1, np.int64)                    # number of the window that starts here
+    starts = np.arange(ends[-1]) + np.repeat(begins - ends + counts, counts)
+    window[starts] = np.arange(ends[-1])
+    ids = np.repeat(np.array([i for _, i in strings], np.int64), counts)
+
+    order = np.array(suffix_array(text.tolist()), np.int64)
+    order = order[window[order] >= 0]
+    spans = np.lib.stride_tricks.sliding_window_view(text, SPAN)
+    differs = (spans[order[1:]] != spans[order[:-1]]).any(axis=1)
+    head = np.flatnonzero(np.concatenate([[True], differs]))
+    least = np.minimum.reduceat(ids[window[order]], head)
+    out = np.empty(len(ids), np.int64)
+    out[window[order]] = np.repeat(least, np.diff(head, append=len(order)))
+    return [part.tolist() for part in np.split(out, ends[:-1])]
 
 
 def _settle(rows: list[tuple]) -> dict[int, list[tuple[int, int]]]:
     """Step 3 for whole anchors: windows of each document that an earlier document holds."""
-    found: dict[int, list[tuple[int, int]]] = {}
     whole: dict[int, dict[tuple[int, bytes], list]] = {}
     for anchor, off, text, i, key, at in rows:
-        held = whole.setdefault(anchor, {}).setdefault((off, text), [i, []])
+        held = whole.setdefault(anchor, {}).setdefault((off, text), [i, [], []])
         held[0] = min(held[0], i)
         held[1].append((i, key, at))
     queue: list[tuple[bytes, int, list]] = []
     size = 0
 
-    def mark(held: list, begin: int, least: list[int]) -> None:
-        for i, key, at in held:
-            start = None
-            for w, first in enumerate([*least, LAST]):
-                if first < i and start is None:
-                    start = w
-                elif first >= i and start is not None:
-                    found.setdefault(key, []).append((at + begin + start, at + begin + w))
-                    start = None
-
-    def mark_all(held: list, begin: int, end: int, least: int) -> None:
-        for i, key, at in held:
-            if least < i:
-                found.setdefault(key, []).append((at + begin, at + end))
-
+    # a stretch holds (begin, end, smallest id) of its windows, in any order
     def sort_queue() -> None:
-        for (_, _, held, begin), least in zip(queue, first_holders([(d, i) for d, i, _, _ in queue])):
-            mark(held, begin, least)
+        for (_, _, uses), least in zip(queue, first_holders([(d, i) for d, i, _ in queue])):
+            edges = [0, *(w for w in range(1, len(least)) if least[w] != least[w - 1]), len(least)]
+            for a, b in zip(edges, edges[1:]):
+                for known, begin in uses:
+                    known.append((begin + a, begin + b, least[a]))
 
     for stretches in whole.values():
         if len(stretches) == 1:
-            (((_, text), (least, held)),) = stretches.items()
-            mark_all(held, 0, len(text) - SPAN + 1, least)
+            (((_, text), (least, _, known)),) = stretches.items()
+            known.append((0, len(text) - SPAN + 1, least))
             continue
         runs: dict[tuple[int, bytes], dict[tuple[int, bytes], list]] = {}
-        for (off, text), (least, held) in stretches.items():
+        for (off, text), (least, _, known) in stretches.items():
             windows = len(text) - SPAN + 1
             # distance from a window's start to the anchor falls from `off` to `off - windows + 1`
             for q in range((off - windows + 1) // RUN, off // RUN + 1):
                 near = off - RUN * q
                 begin, end = max(0, near - RUN + 1), min(windows, near + 1)
-                pieces = runs.setdefault((q, text[near:near - RUN + 1 + SPAN]), {})
+                core = (q, text[near:near - RUN + 1 + SPAN])
+                pieces = runs.get(core)
+                if pieces is None:
+                    pieces = runs[core] = {}
                 name = (off - begin, text[begin:end + SPAN - 1])
                 held_by = pieces.get(name)
                 if held_by is None:
-                    pieces[name] = [least, [(held, begin)]]
+                    pieces[name] = [least, [(known, begin)]]
                 else:
                     if least < held_by[0]:
                         held_by[0] = least
-                    held_by[1].append((held, begin))
+                    held_by[1].append((known, begin))
         for pieces in runs.values():
             if len(pieces) == 1:
                 (((_, data), (least, uses)),) = pieces.items()
-                for held, begin in uses:
-                    mark_all(held, begin, begin + len(data) - SPAN + 1, least)
+                for known, begin in uses:
+                    known.append((begin, begin + len(data) - SPAN + 1, least))
                 continue
-            group = [(data, least, held, begin) for (_, data), (least, uses) in pieces.items()
-                     for held, begin in uses]
-            queue.extend(group)
-            size += sum(len(g[0]) for g in group)
+            for (_, data), (least, uses) in pieces.items():      # equal pieces are sorted once, for all that hold them
+                queue.append((data, least, uses))
+                size += len(data)
         if size >= SUFFIX_BYTES:
             sort_queue()
             queue, size = [], 0
     if queue:
         sort_queue()
+    found: dict[int, list[tuple[int, int]]] = {}
+    for stretches in whole.values():
+        for _, holders, known in stretches.values():
+            known.sort()
+            for i, key, at in holders:
+                start = None
+                for begin, _, least in known:
+                    if least < i:
+                        if start is None:
+                            start = begin
+                    elif start is not None:
+                        found.setdefault(key, []).append((at + start, at + begin))
+                        start = None
+                if start is not None:
+                    found.setdefault(key, []).append((at + start, at + known[-1][1]))
     return found
 
 
-def _homes(found: dict[int, list], shards: int) -> pa.RecordBatch:
-    """The windows of the row keys, a row per home shard of the keys."""
-    names = np.fromiter(found, np.int64, len(found))
-    counts = np.fromiter((len(v) for v in found.values()), np.uint32, len(found))
-    flat = np.array([w for v in found.values() for w in v], np.int32).reshape(-1, 2)
+def _equal_anchors(whole: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+    """Of sorted whole anchors: keys and windows to remove where all stretches are equal, and the rows of all others."""
+    anchor, off, i, key, at = (whole.column(c).to_numpy() for c in ("anchor", "off", "id", "key", "at"))
+    text = whole.column("text")
+    same = np.zeros(len(anchor), bool)
+    same[1:] = ((anchor[1:] == anchor[:-1]) & (off[1:] == off[:-1])
+                & pc.equal(text.slice(1), text.slice(0, len(text) - 1)).to_numpy(zero_copy_only=False))
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    rows = np.diff(first, append=len(anchor))
+    equal = np.repeat(np.add.reduceat(same, first, dtype=np.int64) == rows - 1, rows)
+    gone = np.flatnonzero(equal & (np.repeat(np.minimum.reduceat(i, first), rows) < i))
+    ends = at + pc.binary_length(text).to_numpy() - SPAN + 1
+    return key[gone], np.stack([at[gone], ends[gone]], 1).astype(np.int32), whole.filter(pa.array(~equal))
+
+
+def _homes(found: list[tuple[np.ndarray, np.ndarray]], shards: int) -> pa.RecordBatch:
+    """The windows of the row keys (pairs of keys and windows), a row per home shard of the keys."""
+    key, flat = np.concatenate([k for k, _ in found]), np.concatenate([w for _, w in found])
+    order = np.argsort(key, kind="stable")
+    key, flat = key[order], flat[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    names, counts = key[first], np.diff(first, append=len(key))
     home = (names.astype(np.uint64) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(home, kind="stable")
-    first = np.cumsum(counts) - counts
     rows = []
     for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else []:
-        n = counts[part].astype(np.int64)
-        index = np.arange(n.sum()) + np.repeat(first[part].astype(np.int64) - np.cumsum(n) + n, n)
-        rows.append((int(home[part[0]]), _packed(names[part], counts[part], flat[index].ravel())))
+        n = counts[part]
+        index = np.arange(n.sum()) + np.repeat(first[part] - np.cumsum(n) + n, n)
+        rows.append((int(home[part[0]]), _packed(names[part], n.astype(np.uint32), flat[index].ravel())))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
                                        pa.array([r[1] for r in rows], pa.binary())], ["home", "blob"])
 
 
+def _arrays(found: dict[int, list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray]:
+    names = np.fromiter(found, np.int64, len(found))
+    counts = np.fromiter((len(v) for v in found.values()), np.int64, len(found))
+    return np.repeat(names, counts), np.array([w for v in found.values() for w in v], np.int32).reshape(-1, 2)
+
+
+def _whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor, cut only where the anchor changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        anchor = batch.column("anchor").to_numpy()
+        if not len(anchor):
+            continue
+        last = int(np.searchsorted(anchor, anchor[-1]))                     # where the last anchor's rows begin
+        if last or held and held[-1].column("anchor")[0].as_py() != anchor[0]:
+            yield pa.concat_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _shard(shards: int, unit_bytes: int):
     """Step 3, shards: rows come sorted by anchor; settles them in chunks of whole anchors."""
     names = ("anchor", "off", "text", "id", "key", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, found, windows = [], 0, {}, 0
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names)):
-                if row[1] < 0:
-                    settled = np.frombuffer(row[2], np.int32).reshape(-1, 2).tolist()
-                    found.setdefault(row[4], []).extend(settled)
-                    windows += len(settled)
-                    continue
-                if size >= unit_bytes and rows[-1][0] != row[0]:
-                    for key, some in _settle(rows).items():
-                        found.setdefault(key, []).extend(some)
-                        windows += len(some)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[2]) + 150
+        rows, size, found, windows = [], 0, [], 0
+        for whole in _whole_anchors(batches):
+            off = whole.column("off").to_numpy()
+            done = np.flatnonzero(off < 0)
+            if len(done):
+                part = whole.take(pa.array(done))
+                spans = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in part.column("text").to_pylist()]
+                found += [(np.full(len(x), k), x) for k, x in zip(part.column("key").to_pylist(), spans)]
+                windows += sum(map(len, spans))
+                whole = whole.filter(pa.array(off >= 0))
+            if whole.num_rows:
+                key, spans, mixed = _equal_anchors(whole)
+                found.append((key, spans))
+                windows += len(key)
+                rows.extend(zip(*(mixed.column(c).to_pylist() for c in names)))
+                size += 150 * mixed.num_rows + (pc.sum(pc.binary_length(mixed.column("text"))).as_py() or 0)
+            if size >= unit_bytes:
+                found.append(_arrays(_settle(rows)))
+                windows += len(found[-1][0])
+                rows, size = [], 0
             if windows >= HELD_WINDOWS:
                 yield _homes(found, shards)
-                found, windows = {}, 0
-        for key, some in _settle(rows).items() if rows else ():
-            found.setdefault(key, []).extend(some)
+                found, windows = [], 0
+        if rows:
+            found.append(_arrays(_settle(rows)))
         if found:
             yield _homes(found, shards)
     return run

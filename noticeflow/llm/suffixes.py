@@ -13,27 +13,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
 
 def _groups(text: Sequence[int]) -> tuple[list[int], list[int]]:
-    """Group start of every suffix, and its previous smaller suffix (-1: none)."""
+    """Group start of every suffix (and -1 for "none", the last), and its previous smaller suffix (-1: none)."""
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    place, start, size = [0] * n, [0] * n, [0] * n
-    first = 0
-    for at, s in enumerate(order):
-        if text[s] != text[order[first]]:
-            first = at
-        place[s], start[s] = at, first
-        size[first] += 1
+    symbols = np.asarray(text)
+    by_symbol = np.argsort(symbols, kind="stable")
+    sizes = np.unique(symbols, return_counts=True)[1]
+    firsts = np.cumsum(sizes) - sizes
+    both = np.empty((2, n), np.int64)
+    both[:, by_symbol] = np.arange(n), np.repeat(firsts, sizes)
+    order, place, start, size = by_symbol.tolist(), both[0].tolist(), [*both[1].tolist(), -1], [0] * n
+    for first, count in zip(firsts.tolist(), sizes.tolist()):
+        size[first] = count
     previous = [-1] * n
     end = n - 1
     while end >= 0:
-        low = start[order[end]]
-        members = sorted(order[low:end + 1]) if end > low else [order[end]]
+        s = order[end]
+        low = start[s]
+        if low == end:                                   # a group of one: at most one suffix moves
+            p = s - 1
+            while start[p] >= low:
+                p = previous[p]
+            previous[s] = p
+            if p >= 0:
+                old = start[p]
+                left = size[old] - 1
+                if left:
+                    to = old + left
+                    other, here = order[to], place[p]
+                    order[here], place[other] = other, here
+                    order[to], place[p] = p, to
+                    start[p] = to
+                    size[old], size[to] = left, 1
+            end = low - 1
+            continue
+        members = sorted(order[low:end + 1])
         pointed: dict[int, int] = {}
         for s in members:
             p = s - 1
-            while p >= 0 and start[p] >= low:
+            while start[p] >= low:
                 p = previous[p]
             previous[s] = p
             if p >= 0:
@@ -45,6 +66,8 @@ def _groups(text: Sequence[int]) -> tuple[list[int], list[int]]:
             for count in sorted(by_count, reverse=True):
                 for old, moved in by_count[count].items():
                     left = size[old] - len(moved)
+                    if not left:                         # the whole group: it stays one
+                        continue
                     to = old + size[old] - 1
                     for p in moved:
                         other, here = order[to], place[p]
@@ -65,11 +88,11 @@ def suffix_array(text: Sequence[int]) -> list[int]:
         return []
     start, previous = _groups(text)
     free = list(range(n))
-    out, placed = [-1] * n, bytearray(n)
-    out[0], placed[n - 1] = n - 1, 1
+    out, placed = [-1] * n, bytearray(n + 1)
+    out[0], placed[n - 1], placed[n] = n - 1, 1, 1       # the last stands for "none", which ends a chain
     for i in range(n):
         s = out[i] - 1
-        while s >= 0 and not placed[s]:
+        while not placed[s]:
             group = start[s]
             at = free[group]
             free[group] = at + 1

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from noticeflow.llm import repeats
@@ -100,3 +101,53 @@ def test_run_length_does_not_matter(monkeypatch, run):
             want[i, at + w] = first < i
     got = {(i, p) for i, spans in found.items() for a, b in spans for p in range(a, b)}
     assert got == {k for k, v in want.items() if v}
+
+
+def shard_rows(rng, anchors, documents):
+    """Stretch rows, sorted by anchor: some anchors with equal stretches only, some with different ones."""
+    rows = []
+    for anchor in range(anchors):
+        core = words(rng, 60).encode()
+        for i in range(rng.randint(1, documents)):
+            tail = b"" if anchor % 2 else words(rng, 1).encode()
+            rows.append((anchor, 20, core[20:100] + tail, rng.randint(0, 50), 1000 * anchor + i, 20))
+    return rows
+
+
+def removed_windows(batches):
+    got = set()
+    for batch in repeats._shard(3, 2000)(iter(batches)):
+        for blob in batch.column("blob").to_pylist():
+            keys, counts, flat = repeats._unpacked(blob, "int64", "uint32", "int32")
+            spans = iter(flat.reshape(-1, 2).tolist())
+            got |= {(k, w) for k, n in zip(keys.tolist(), counts.tolist()) for _ in range(n) for w in range(*next(spans))}
+    return got
+
+
+@pytest.mark.parametrize("cut", [1, 7, 1000])
+def test_a_shard_settles_equal_stretches_as_columns(monkeypatch, cut):
+    rows = shard_rows(random.Random(cut), 30, 9)
+    want = set()
+    for anchor, off, text, i, key, at in rows:
+        for w in range(len(text) - 49):
+            if any(r[0] == anchor and r[3] < i and r[2][w:w + 50] == text[w:w + 50] for r in rows):
+                want.add((key, at + w))
+    rows.insert(0, (-9, -1, repeats._spans([(4, 6), (9, 10)]), 0, 77, 0))               # settled by a task before
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                     ["anchor", "off", "text", "id", "key", "at"])
+    one_by_one, settle = [], repeats._settle
+    monkeypatch.setattr(repeats, "_settle", lambda part: one_by_one.extend(part) or settle(part))
+    assert removed_windows(table.to_batches(max_chunksize=cut)) == want | {(77, 4), (77, 5), (77, 9)}
+    assert len({r[0] for r in one_by_one}) > 5 and all(r[0] % 2 == 0 for r in one_by_one)
+
+
+def test_equal_pieces_are_sorted_once(monkeypatch):
+    rng = random.Random(3)
+    core = words(rng, 60).encode()
+    rows = [(5, 30, core[:90] + bytes([97 + i % 5]) * 10, i, i, 0) for i in range(40)]
+    rows += [(5, 30, bytes([97 + i % 3]) + core[1:90], i, i, 0) for i in range(40, 60)]
+    sorted_, holders = [], repeats.first_holders
+    monkeypatch.setattr(repeats, "first_holders", lambda s: sorted_.extend(d for d, _ in s) or holders(s))
+    repeats._settle(rows)
+    assert sorted_ and len(sorted_) == len(set(sorted_))
